@@ -153,4 +153,23 @@ SQL: dict[str, str] = {
         LEFT JOIN dev dout ON att.out_device_id IS NOT DISTINCT FROM dout.device_id""",
     "holiday_replace":
         "SELECT n_nationkey, n_name, n_regionkey FROM nation",
+    "attendance_stream": """
+        WITH att AS (
+            SELECT CAST(user_id AS VARCHAR) AS emp_id, strftime(ts, '%Y-%m-%d') AS log_date,
+                   CAST(user_id AS VARCHAR) AS in_device_id,
+                   CASE WHEN event_type = 'error' THEN ''
+                        WHEN event_type <> 'view' THEN CAST(CAST(json_extract(props, '$.k') AS INTEGER) AS VARCHAR)
+                   END AS out_device_id,
+                   CAST(ts AS DATE) AS reportdate
+            FROM events),
+        dev AS (
+            SELECT CAST(c_custkey AS VARCHAR) AS device_id,
+                   CASE WHEN lpad(CAST(c_nationkey AS VARCHAR), 6, '0') = '000046' THEN c_name
+                        ELSE """ + _TITLE.format(x="c_mktsegment") + """ END AS entry_name
+            FROM customer)
+        SELECT att.emp_id, att.log_date, att.in_device_id, att.out_device_id,
+               di.entry_name AS in_location, dout.entry_name AS out_location, att.reportdate
+        FROM att
+        LEFT JOIN dev di ON att.in_device_id IS NOT DISTINCT FROM di.device_id
+        LEFT JOIN dev dout ON att.out_device_id IS NOT DISTINCT FROM dout.device_id""",
 }

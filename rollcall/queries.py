@@ -365,3 +365,42 @@ QUERIES: dict[str, QueryFn] = {
     "attendance_load": attendance_load,
     "holiday_replace": holiday_replace,
 }
+
+
+# -- streaming (PL1 as an availableNow file stream) ---------------------------------
+
+def _stream_landing(spark, sf_dir, landing: str) -> tuple[DataFrame, DataFrame]:
+    """Land events as attendance envelopes (JSON lines, one per day and page of
+    1000 ids, under reportdate= folders); customers are the device table."""
+    ev = _t(spark, sf_dir, "events")
+    k = json_field("props", "k", "int").cast("string")
+    out_dev = (F.when(F.col("event_type") == "error", F.lit(""))
+                .when(F.col("event_type") != "view", k))               # view -> null
+    rec = F.struct(F.col("user_id").cast("string").alias("emp_id"),
+                   iso_text("ts").alias("log_date"),
+                   F.col("user_id").cast("string").alias("in_device_id"),
+                   out_dev.alias("out_device_id"))
+    pages = ev.groupBy(F.col("ts").cast("date").alias("reportdate"), F.expr("event_id div 1000").alias("page"))
+    env = pages.agg(F.to_json(F.struct(F.collect_list(rec).alias("successattendance"))).alias("value"))
+    env.select("value", "reportdate").write.partitionBy("reportdate").text(f"{landing}/attendance")
+    c = _t(spark, sf_dir, "customer")
+    dev = c.select(F.col("c_custkey").cast("string").alias("device_id"),
+                   F.lpad(F.col("c_nationkey").cast("string"), 6, "0").alias("org_id"),
+                   F.col("c_name").alias("entry_name"),
+                   F.col("c_mktsegment").alias("org_name"))
+    return env, dev
+
+
+def attendance_stream_q(spark, sf_dir):
+    """Stream the landed days twice (the second run must add nothing); read back."""
+    from rollcall.streaming import attendance_stream, run_attendance_stream
+    root = scratch_path(spark, "attendance_stream")
+    landing, table, ckpt = f"{root}/landing", f"{root}/attendance", f"{root}/_checkpoint"
+    _, dev = _stream_landing(spark, sf_dir, landing)
+    for _ in range(2):
+        run_attendance_stream(attendance_stream(spark, landing, devices=dev, multi_line=False), table, ckpt)
+    return spark.read.parquet(table).select("emp_id", "log_date", "in_device_id", "out_device_id",
+                                            "in_location", "out_location", "reportdate")
+
+
+QUERIES["attendance_stream"] = attendance_stream_q

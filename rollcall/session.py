@@ -28,6 +28,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or (8 if cores == "*" else int(cores)))
     conf["spark.driver.memory"] = os.environ.get("ROLLCALL_DRIVER_MEMORY", "8g")
+    # One listing task per partition folder is right for a cluster; locally it is
+    # thousands of tiny tasks, so group folders into a few tasks per core.
+    n = os.cpu_count() if cores == "*" else int(cores)
+    conf["spark.sql.sources.parallelPartitionDiscovery.parallelism"] = str(4 * (n or 8))
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)

@@ -22,8 +22,16 @@ COMMITS = "_commits"
 _COMMIT_SCHEMA = "version LONG, committed_at STRING"
 
 
-def append_day(df: DataFrame, path: str, day_col: str = "reportdate") -> None:
-    """Write ``df`` partitioned by ``day_col``, replacing only the days it contains."""
+def append_day(df: DataFrame, path: str, day_col: str = "reportdate",
+               rebalance: bool = True) -> None:
+    """Write ``df`` partitioned by ``day_col``, replacing only the days it contains.
+
+    ``rebalance`` shuffles rows by day first (AQE ``REBALANCE``): each day lands in
+    few, well-sized files instead of one file per input task per day, and a day
+    holding a large share of the rows is split across several tasks, not one.
+    """
+    if rebalance:
+        df = df.hint("rebalance", day_col)
     (df.write.mode("overwrite")
        .option("partitionOverwriteMode", "dynamic")
        .partitionBy(day_col)

@@ -24,6 +24,11 @@ def envelope_schema(root: str, record: T.StructType, dated: bool = False) -> T.S
     return T.StructType(fields)
 
 
+def explode_root(df: DataFrame, root: str, record: T.StructType, keep: list[str]) -> DataFrame:
+    """Records of an already-read envelope frame (batch or streaming)."""
+    return _explode(df, F.col(root), record, [F.col(c) for c in keep])
+
+
 def _explode(df: DataFrame, root: Column, record: T.StructType, keep: list[Column]) -> DataFrame:
     # posexplode (not the _outer form): an empty or missing array yields no row.
     exploded = df.select(*keep, F.posexplode(root).alias(POS_COL, "__rec"))
@@ -33,18 +38,19 @@ def _explode(df: DataFrame, root: Column, record: T.StructType, keep: list[Colum
 
 
 def read_envelope(spark: SparkSession, path: str, root: str, record: T.StructType,
-                  dated: bool = False, mode: str = "FAILFAST") -> DataFrame:
+                  dated: bool = False, mode: str = "FAILFAST", multi_line: bool = True) -> DataFrame:
     """Records of every envelope under ``path`` as rows.
 
     Output: the record fields, ``_pos`` (position in its payload), ``_file``, and
     ``reportdate`` (a date, from the partition folder) when ``dated``. A filter on
     ``reportdate`` prunes folders before any file is opened. Malformed JSON fails
     the read (``FAILFAST``) rather than silently dropping the file's records.
-    Each file is one task (multi-line JSON is not splittable); files are API
-    pages, so their size is bounded by the page size.
+    With ``multi_line`` each file is one envelope and one task (not splittable;
+    files are API pages, so their size is bounded by the page size). Envelopes
+    stored one per line (``multi_line=False``) split like any JSON-lines file.
     """
     raw = (spark.read.schema(envelope_schema(root, record, dated))
-           .option("multiLine", "true").option("mode", mode).json(path))
+           .option("multiLine", str(multi_line).lower()).option("mode", mode).json(path))
     keep = [F.col("_metadata.file_path").alias(FILE_COL)]
     if dated:
         keep.append(F.col(DAY_COL))
