@@ -82,8 +82,9 @@ def role_join(fact: DataFrame, dim: DataFrame, roles: Mapping[str, str], dim_key
 
     Every fact row is kept; a dimension key listed twice doubles the rows of each
     role it matches (so up to four copies over two roles). ``dedupe_dim=True``
-    drops exact duplicate (key, value) pairs first. The size check runs once for
-    all roles.
+    drops exact duplicate (key, value) pairs first. The size check runs once, and
+    every role joins the same projection (renamed only after the join), so the
+    plan builds one broadcast and reuses it for each role.
     """
     d = dim.select(F.col(dim_key).alias("__dim_key"), F.col(value).alias("__dim_value"))
     if dedupe_dim:
@@ -92,18 +93,22 @@ def role_join(fact: DataFrame, dim: DataFrame, roles: Mapping[str, str], dim_key
         broadcast = fits_broadcast(d)
     out = fact
     for fact_key, out_name in roles.items():
-        r = d.withColumnRenamed("__dim_value", out_name)
-        out = left_join_null_safe(out, r, fact_key, "__dim_key", broadcast=broadcast)
+        out = left_join_null_safe(out, d, fact_key, "__dim_key", broadcast=broadcast)
+        out = out.withColumnRenamed("__dim_value", out_name)
     return out
 
 
 def lookup_keys(dim: DataFrame, key: str, keys: DataFrame, keys_col: str | None = None,
                 broadcast: bool | None = None) -> DataFrame:
-    """Rows of ``dim`` whose ``key`` is among ``keys`` (null-safe), dimension columns only."""
+    """Rows of ``dim`` whose ``key`` is among ``keys`` (null-safe), dimension columns only.
+
+    ``keys`` is usually derived from the fact (distinct ids), so checking its size
+    up front would scan the fact twice. By default (``None``) the choice is left
+    to AQE, which broadcasts the key side only after its shuffle has run and its
+    real size is known; ``True`` forces a broadcast the caller has bounded.
+    """
     kc = keys_col or keys.columns[0]
     k = keys.select(F.col(kc).alias("__lookup_key"))
-    if broadcast is None:
-        k = maybe_broadcast(k)
-    elif broadcast:
+    if broadcast:
         k = F.broadcast(k)
     return dim.join(k, dim[key].eqNullSafe(k["__lookup_key"]), "left_semi")

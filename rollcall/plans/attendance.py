@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall import schemas
-from rollcall.functions import format_day, if_else, title_case
-from rollcall.operators import distinct_keys, has_rows, lookup_keys, next_load_date, role_join
+from rollcall.functions import if_else, title_case
+from rollcall.operators import distinct_keys, lookup_keys, next_load_date, role_join
 from rollcall.sinks import append_day, read_days
 from rollcall.sources import DAY_COL, FILE_COL, POS_COL, read_envelope
 
@@ -67,14 +67,13 @@ def load_attendance(spark: SparkSession, landing: str, warehouse: str,
     if stored is not None:
         start = next_load_date(stored, "log_date", first=first_day).first()[0]
     elif first_day is not None:
-        start = F.lit(first_day).cast("date")
-        start = spark.range(1).select(start).first()[0]
+        start = dt.date.fromisoformat(first_day) if isinstance(first_day, str) else first_day
 
     att = read_envelope(spark, f"{landing}/attendance", schemas.ROOT_ATTENDANCE, record, dated=True)
     if start is not None:
         att = att.filter(F.col(DAY_COL) >= F.lit(start))
     att = att.drop(FILE_COL, POS_COL)
-    if not has_rows(att).first()[0]:
+    if att.isEmpty():          # scans partitions incrementally, stops at the first row
         return LoadStatus(False, start, "No New Attendance Data")
 
     dev = read_envelope(spark, f"{landing}/devices", schemas.ROOT_DEVICES, device_record)
@@ -82,5 +81,5 @@ def load_attendance(spark: SparkSession, landing: str, warehouse: str,
     if restrict_devices:
         dev = lookup_keys(dev, "device_id", device_keys(att))
     append_day(enrich_attendance(att, dev, dedupe_dim=dedupe_dim), table)
-    label = spark.range(1).select(format_day(F.lit(start).cast("date"))).first()[0] if start else "all days"
+    label = start.strftime("%d %b %Y") if start else "all landed days"
     return LoadStatus(True, start, f"Attendance Updated for {label}")

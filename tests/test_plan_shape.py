@@ -41,3 +41,11 @@ def test_distinct_is_partially_aggregated(spark):
 def test_latest_date_is_top_one(spark):
     p = plan(queries()["latest_date"](spark, SF))
     assert "TakeOrderedAndProject" in p
+
+
+def test_role_join_builds_one_broadcast_for_all_roles(spark):
+    from rollcall import queries as q
+    df = q.enrich_attendance(*q._attendance_feed(spark, SF))
+    df.collect()
+    p = plan(df)
+    assert "ReusedExchange" in p
