@@ -151,6 +151,19 @@ SQL: dict[str, str] = {
         FROM att
         LEFT JOIN dev di ON att.in_device_id IS NOT DISTINCT FROM di.device_id
         LEFT JOIN dev dout ON att.out_device_id IS NOT DISTINCT FROM dout.device_id""",
+    "employee_normalise": """
+        SELECT CAST(c_custkey AS VARCHAR) AS emp_id,
+               """ + _TITLE.format(x="c_name") + """ AS emp_name,
+               regexp_replace(""" + _TITLE.format(x="c_mktsegment || ' NG NG'") + """, ' Ng', '') AS designation,
+               """ + _TITLE.format(x="c_mktsegment") + """ AS division,
+               CASE WHEN regexp_replace(""" + _TITLE.format(x="c_mktsegment || ' NG NG'") + """, ' Ng', '')
+                         IN ('Assistant Professor', 'Statistician', 'Associate Professor', 'Professor') THEN 'Faculty'
+                    WHEN regexp_replace(""" + _TITLE.format(x="c_mktsegment || ' NG NG'") + """, ' Ng', '')
+                         IN ('Junior Resident', 'Tutor') THEN 'Junior Resident'
+                    WHEN regexp_replace(""" + _TITLE.format(x="c_mktsegment || ' NG NG'") + """, ' Ng', '')
+                         IN ('Senior Resident') THEN 'Senior Resident'
+                    ELSE 'Other' END AS cat
+        FROM customer WHERE c_acctbal >= 0""",
     "holiday_replace":
         "SELECT n_nationkey, n_name, n_regionkey FROM nation",
     "attendance_stream": """

@@ -320,6 +320,18 @@ def attendance_load(spark, sf_dir):
                                          "in_location", "out_location", "reportdate")
 
 
+def employee_normalise(spark, sf_dir):
+    """The employee feed's normalisation on customers: accounts in debit have no
+    name (dropped), segments become designations with the " NG" suffix."""
+    from rollcall.plans import normalise_employees
+    c = _t(spark, sf_dir, "customer")
+    feed = c.select(F.col("c_custkey").cast("string").alias("emp_id"),
+                    F.when(F.col("c_acctbal") >= 0, F.lower("c_name")).alias("emp_name"),
+                    F.concat(F.col("c_mktsegment"), F.lit(" NG NG")).alias("designation"),
+                    F.col("c_mktsegment").alias("division"))
+    return normalise_employees(feed)
+
+
 def holiday_replace(spark, sf_dir):
     n = _t(spark, sf_dir, "nation")
     root = scratch_path(spark, "holiday_replace")
@@ -363,6 +375,7 @@ QUERIES: dict[str, QueryFn] = {
     "emp_upsert": emp_upsert,
     "append_day": append_day_q,
     "attendance_load": attendance_load,
+    "employee_normalise": employee_normalise,
     "holiday_replace": holiday_replace,
 }
 
