@@ -132,6 +132,16 @@ SQL: dict[str, str] = {
         WHERE rn = 1""",
     "append_day":
         "SELECT event_id, event_type, CAST(ts AS DATE) AS reportdate FROM events",
+    "load_marks": """
+        SELECT CAST(ts AS DATE) AS reportdate,
+               CAST(MAX(CASE WHEN event_type <> 'error' THEN CAST(ts AS DATE) END) AS DATE) AS max_date,
+               count(*) FILTER (WHERE event_type = 'error') AS missing_dates,
+               count(*) AS rows
+        FROM events GROUP BY CAST(ts AS DATE)""",
+    "latest_loaded_date": """
+        SELECT CASE WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN NULL
+                    ELSE MAX(CAST(ts AS DATE)) END AS last_date
+        FROM events""",
     "attendance_load": """
         WITH att AS (
             SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS emp_id,

@@ -12,6 +12,7 @@ from rollcall import schemas
 from rollcall.functions import if_else, title_case
 from rollcall.operators import distinct_keys, lookup_keys, next_load_date, role_join
 from rollcall.sinks import append_day, read_days
+from rollcall.sinks.marks import next_day_from_marks, read_marks, refresh_marks
 from rollcall.sources import DAY_COL, FILE_COL, POS_COL, read_envelope
 
 # The organisation whose devices keep their own entry name, and the
@@ -43,6 +44,22 @@ def device_keys(attendance: DataFrame) -> DataFrame:
     return distinct_keys(attendance, list(ROLES), exclude=NO_DEVICE, name="device_id")
 
 
+def next_attendance_day(spark: SparkSession, warehouse: str,
+                        first_day: str | dt.date | None = None) -> dt.date | None:
+    """Day after the latest stored ``log_date``: from the load marks when present,
+    else from the table itself (one scan), else ``first_day``."""
+    if isinstance(first_day, str):
+        first_day = dt.date.fromisoformat(first_day)
+    table = f"{warehouse}/attendance"
+    marks = read_marks(spark, table)
+    if marks is not None:
+        return next_day_from_marks(marks, first_day)
+    stored = read_days(spark, table)
+    if stored is not None:
+        return next_load_date(stored, "log_date", first=first_day).first()[0]
+    return first_day
+
+
 @dataclass
 class LoadStatus:
     loaded: bool
@@ -58,16 +75,13 @@ def load_attendance(spark: SparkSession, landing: str, warehouse: str,
 
     Only one scalar (the next day) reaches the driver; it becomes a literal filter on
     the ``reportdate`` partition column, so older landed days are pruned unread.
+    The next day comes from the per-day load marks (see ``rollcall.sinks.marks``),
+    so a daily run costs the new days, not the table's history.
     ``restrict_devices`` first semi-joins the device table with the ids in use
     (same result; worthwhile only when the device table dwarfs the day's ids).
     """
     table = f"{warehouse}/attendance"
-    stored = read_days(spark, table)
-    start = None
-    if stored is not None:
-        start = next_load_date(stored, "log_date", first=first_day).first()[0]
-    elif first_day is not None:
-        start = dt.date.fromisoformat(first_day) if isinstance(first_day, str) else first_day
+    start = next_attendance_day(spark, warehouse, first_day)
 
     att = read_envelope(spark, f"{landing}/attendance", schemas.ROOT_ATTENDANCE, record, dated=True)
     if start is not None:
@@ -81,5 +95,6 @@ def load_attendance(spark: SparkSession, landing: str, warehouse: str,
     if restrict_devices:
         dev = lookup_keys(dev, "device_id", device_keys(att))
     append_day(enrich_attendance(att, dev, dedupe_dim=dedupe_dim), table)
+    refresh_marks(spark, table, start)
     label = start.strftime("%d %b %Y") if start else "all landed days"
     return LoadStatus(True, start, f"Attendance Updated for {label}")

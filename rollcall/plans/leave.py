@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall import schemas
-from rollcall.operators import bind_by_name, next_load_date
-from rollcall.sinks import read_days, replace_table
+from rollcall.operators import bind_by_name
+from rollcall.sinks import replace_table
 from rollcall.sources import DAY_COL, FILE_COL, POS_COL, read_envelope
 
 # Fixed value: first day of the rebuilt history.
@@ -36,9 +36,8 @@ def refresh_leave(spark: SparkSession, landing: str, warehouse: str,
     """Rebuild the leave table from ``start`` through ``stop`` (default: the next
     attendance day to load) and replace it; returns the new table version."""
     if stop is None:
-        stored = read_days(spark, f"{warehouse}/attendance")
-        if stored is not None:
-            stop = next_load_date(stored, "log_date").first()[0]
+        from rollcall.plans.attendance import next_attendance_day
+        stop = next_attendance_day(spark, warehouse)
 
     def feed(name: str, root: str, record) -> DataFrame:
         df = read_envelope(spark, f"{landing}/{name}", root, record, dated=True)

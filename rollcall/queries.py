@@ -293,6 +293,29 @@ def append_day_q(spark, sf_dir):
     return read_days(spark, path).select("event_id", "event_type", "reportdate")
 
 
+def _marked_days(spark, sf_dir) -> tuple[SparkSession, str]:
+    """Events appended as attendance days (errors carry no log_date), marks refreshed."""
+    from rollcall.sinks import refresh_marks
+    path = f"{scratch_path(spark, 'load_marks')}/attendance"
+    ev = _t(spark, sf_dir, "events")
+    days = ev.select("event_id",
+                     F.when(F.col("event_type") != "error", iso_text("ts")).alias("log_date"),
+                     F.col("ts").cast("date").alias("reportdate"))
+    append_day(days, path)
+    refresh_marks(spark, path, None)
+    return spark, path
+
+
+def load_marks(spark, sf_dir):
+    from rollcall.sinks import read_marks
+    return read_marks(*_marked_days(spark, sf_dir)).select("reportdate", "max_date", "missing_dates", "rows")
+
+
+def latest_loaded_date_q(spark, sf_dir):
+    from rollcall.sinks import latest_from_marks, read_marks
+    return latest_from_marks(read_marks(*_marked_days(spark, sf_dir)))
+
+
 def _attendance_feed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     li = _t(spark, sf_dir, "lineitem")
     out_dev = (F.when(F.col("l_returnflag") == "N", F.lit(""))
@@ -374,6 +397,8 @@ QUERIES: dict[str, QueryFn] = {
     "format_date": format_date,
     "emp_upsert": emp_upsert,
     "append_day": append_day_q,
+    "load_marks": load_marks,
+    "latest_loaded_date": latest_loaded_date_q,
     "attendance_load": attendance_load,
     "employee_normalise": employee_normalise,
     "holiday_replace": holiday_replace,

@@ -59,6 +59,7 @@ def test_attendance_rerun_and_high_water_mark(spark, landing, warehouse):
     table = read_days(spark, f"{warehouse}/attendance")
     assert table.count() == 9
     assert latest_loaded_date(spark, warehouse).first()["last_date"] == dt.date(2024, 1, 6)
+    assert latest_loaded_date(spark, warehouse, use_marks=False).first()["last_date"] == dt.date(2024, 1, 6)
 
 
 def test_attendance_empty_day_writes_nothing(spark, landing, warehouse):
@@ -84,8 +85,22 @@ def test_latest_date_null_first_but_mark_ignores_it(spark, landing, warehouse):
          day=DAY1)
     load_attendance(spark, str(landing), warehouse)
     assert latest_loaded_date(spark, warehouse).first()["last_date"] is None
+    assert latest_loaded_date(spark, warehouse, use_marks=False).first()["last_date"] is None
     from rollcall.operators import next_load_date
+    from rollcall.plans import next_attendance_day
     assert next_load_date(read_days(spark, f"{warehouse}/attendance")).first()[0] == dt.date(2024, 1, 6)
+    assert next_attendance_day(spark, warehouse) == dt.date(2024, 1, 6)
+    # the day is reloaded with the missing date fixed: its mark is replaced
+    land(landing, "attendance", "successattendance", [_att("a", "g1", "g1"), _att("b", "g1", "g1")],
+         day=DAY1)
+    from rollcall.sinks import append_day, refresh_marks
+    from rollcall.sources import read_envelope
+    from rollcall import schemas
+    att = read_envelope(spark, f"{landing}/attendance", schemas.ROOT_ATTENDANCE, schemas.ATTENDANCE,
+                        dated=True).drop("_file", "_pos")
+    append_day(att, f"{warehouse}/attendance")
+    refresh_marks(spark, f"{warehouse}/attendance", dt.date(2024, 1, 5))
+    assert latest_loaded_date(spark, warehouse).first()["last_date"] == dt.date(2024, 1, 5)
 
 
 def _leave(emp, status, reason="r", extra="e", lt="CL"):
