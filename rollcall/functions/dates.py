@@ -30,7 +30,9 @@ def next_day(c: Column | str) -> Column:
 
 
 def iso_text(c: Column | str) -> Column:
-    return F.date_format(as_col(c), ISO_DATE)
+    """``yyyy-MM-dd`` text of a date, local timestamp or ISO text. A cast, not a
+    formatter: no session-time-zone round trip for ``timestamp_ntz`` values."""
+    return as_col(c).cast("date").cast("string")
 
 
 def format_day(c: Column | str) -> Column:
