@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rollcall import schemas
 from rollcall.functions import if_else, title_case
-from rollcall.operators import distinct_keys, lookup_keys, next_load_date, role_join
+from rollcall.operators import distinct_keys, lookup_keys, role_join
 from rollcall.sinks import append_day, read_days
 from rollcall.sinks.marks import next_day_from_marks, read_marks, refresh_marks
 from rollcall.sources import DAY_COL, FILE_COL, POS_COL, read_envelope
@@ -52,11 +52,13 @@ def next_attendance_day(spark: SparkSession, warehouse: str,
         first_day = dt.date.fromisoformat(first_day)
     table = f"{warehouse}/attendance"
     marks = read_marks(spark, table)
+    if marks is None and read_days(spark, table) is not None:
+        # A table written without marks: mark every day once (one full scan), so
+        # later runs, which only re-mark the days they write, stay exact.
+        refresh_marks(spark, table, None)
+        marks = read_marks(spark, table)
     if marks is not None:
         return next_day_from_marks(marks, first_day)
-    stored = read_days(spark, table)
-    if stored is not None:
-        return next_load_date(stored, "log_date", first=first_day).first()[0]
     return first_day
 
 
