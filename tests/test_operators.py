@@ -78,7 +78,10 @@ def test_keep_first_order_and_null_group(spark):
 def test_keep_first_plans_partial_group_limit(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("k"), F.col("id").alias("o"))
     plan = keep_first(df, ["k"], [F.col("o")])._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
+    lines = plan.splitlines()
+    partial = [i for i, l in enumerate(lines) if "WindowGroupLimit" in l and "Partial" in l]
+    exchange = [i for i, l in enumerate(lines) if "Exchange hashpartitioning" in l]
+    assert partial and exchange and partial[0] > exchange[0]     # below the shuffle = runs before it
 
 
 def test_bind_by_name_fills_and_orders(spark):
