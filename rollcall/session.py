@@ -52,10 +52,10 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    local = tempfile.mkdtemp(prefix="rollcall-ckpt-")
-    spark.sparkContext.setCheckpointDir(local)
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    # spark.checkpoint.dir cannot be changed on a running session; registering the
+    # folder on the context is enough for later calls (and for checkpoint()).
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rollcall-ckpt-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
