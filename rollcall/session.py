@@ -40,6 +40,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
     return spark
 
 
+_CONNECT_FALLBACK: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, taken from ``spark.checkpoint.dir``.
 
@@ -49,13 +52,20 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 -- Spark Connect sessions expose no context
+        global _CONNECT_FALLBACK
+        if _CONNECT_FALLBACK is None:
+            _CONNECT_FALLBACK = tempfile.mkdtemp(prefix="rollcall-ckpt-")
+        return _CONNECT_FALLBACK
+    current = sc.getCheckpointDir()
     if current:
         return current.rstrip("/")
     # spark.checkpoint.dir cannot be changed on a running session; registering the
     # folder on the context is enough for later calls (and for checkpoint()).
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rollcall-ckpt-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="rollcall-ckpt-"))
+    return sc.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
