@@ -22,12 +22,15 @@ from rollcall.plans.leave import HISTORY_START
 
 
 def run(spark: SparkSession, landing: str, warehouse: str, first_day: str | None = None,
-        history_start: str = HISTORY_START, only: list[str] | None = None) -> dict[str, str]:
+        history_start: str = HISTORY_START, only: list[str] | None = None,
+        multi_line: bool = True) -> dict[str, str]:
+    ml = {"multi_line": multi_line}
     steps = {
-        "attendance": lambda: load_attendance(spark, landing, warehouse, first_day=first_day).message,
-        "leave": lambda: f"Leave history rebuilt (version {refresh_leave(spark, landing, warehouse, start=history_start)})",
-        "employee": lambda: f"Employee register updated (version {upsert_employees(spark, landing, warehouse)})",
-        "holiday": lambda: f"Holidays replaced (version {replace_holidays(spark, landing, warehouse)})",
+        "attendance": lambda: load_attendance(spark, landing, warehouse, first_day=first_day, **ml).message,
+        "leave": lambda: "Leave history rebuilt (version "
+                         f"{refresh_leave(spark, landing, warehouse, start=history_start, **ml)})",
+        "employee": lambda: f"Employee register updated (version {upsert_employees(spark, landing, warehouse, **ml)})",
+        "holiday": lambda: f"Holidays replaced (version {replace_holidays(spark, landing, warehouse, **ml)})",
     }
     out: dict[str, str] = {}
     for name, step in steps.items():
@@ -50,6 +53,8 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--first-day", default=None, help="first attendance day when nothing is stored yet")
     ap.add_argument("--history-start", default=HISTORY_START)
     ap.add_argument("--only", nargs="*", choices=["attendance", "leave", "employee", "holiday"])
+    ap.add_argument("--json-lines", action="store_true",
+                    help="landed files hold one envelope per line (splittable) instead of one per file")
     ap.add_argument("--local", action="store_true", help="run in a local session (tests, laptops)")
     args = ap.parse_args(argv)
     if args.local:
@@ -57,7 +62,8 @@ def main(argv: list[str] | None = None) -> int:
         spark = local_session()
     else:
         spark = SparkSession.builder.appName("rollcall-daily").getOrCreate()
-    result = run(spark, args.landing, args.warehouse, args.first_day, args.history_start, args.only)
+    result = run(spark, args.landing, args.warehouse, args.first_day, args.history_start, args.only,
+                 multi_line=not args.json_lines)
     for name, msg in result.items():
         print(f"{name}: {msg}")
     return 1 if any(m.startswith("FAILED") for m in result.values()) else 0

@@ -71,7 +71,7 @@ class LoadStatus:
 
 def load_attendance(spark: SparkSession, landing: str, warehouse: str,
                     first_day: str | dt.date | None = None, dedupe_dim: bool = False,
-                    restrict_devices: bool = False,
+                    restrict_devices: bool = False, multi_line: bool = True,
                     record=schemas.ATTENDANCE, device_record=schemas.DEVICES) -> LoadStatus:
     """Append every landed attendance day from the day after the stored ``log_date``.
 
@@ -85,14 +85,16 @@ def load_attendance(spark: SparkSession, landing: str, warehouse: str,
     table = f"{warehouse}/attendance"
     start = next_attendance_day(spark, warehouse, first_day)
 
-    att = read_envelope(spark, f"{landing}/attendance", schemas.ROOT_ATTENDANCE, record, dated=True)
+    att = read_envelope(spark, f"{landing}/attendance", schemas.ROOT_ATTENDANCE, record, dated=True,
+                        multi_line=multi_line)
     if start is not None:
         att = att.filter(F.col(DAY_COL) >= F.lit(start))
     att = att.drop(FILE_COL, POS_COL)
     if att.isEmpty():          # scans partitions incrementally, stops at the first row
         return LoadStatus(False, start, "No New Attendance Data")
 
-    dev = read_envelope(spark, f"{landing}/devices", schemas.ROOT_DEVICES, device_record)
+    dev = read_envelope(spark, f"{landing}/devices", schemas.ROOT_DEVICES, device_record,
+                        multi_line=multi_line)
     dev = dev.drop(FILE_COL, POS_COL)
     if restrict_devices:
         dev = lookup_keys(dev, "device_id", device_keys(att))

@@ -53,9 +53,10 @@ def merge_employees(new: DataFrame, old: DataFrame | None, key: str = "emp_id",
 
 
 def upsert_employees(spark: SparkSession, landing: str, warehouse: str,
-                     record=schemas.EMPLOYEE) -> int:
+                     record=schemas.EMPLOYEE, multi_line: bool = True) -> int:
     """Read the employee feed, normalise, merge over the stored register, and
     write it as the register's next version; returns that version."""
-    feed = read_envelope(spark, f"{landing}/employee", schemas.ROOT_EMPLOYEE, record)
+    feed = read_envelope(spark, f"{landing}/employee", schemas.ROOT_EMPLOYEE, record,
+                         multi_line=multi_line)
     merged = merge_employees(normalise_employees(feed), read_table(spark, warehouse, "employee"))
     return replace_versioned(merged, warehouse, "employee")

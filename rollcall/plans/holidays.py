@@ -10,6 +10,6 @@ from rollcall.sources import FILE_COL, POS_COL, read_envelope
 
 
 def replace_holidays(spark: SparkSession, landing: str, warehouse: str,
-                     record=schemas.HOLIDAY) -> int:
-    hol = read_envelope(spark, f"{landing}/holiday", schemas.ROOT_HOLIDAY, record)
+                     record=schemas.HOLIDAY, multi_line: bool = True) -> int:
+    hol = read_envelope(spark, f"{landing}/holiday", schemas.ROOT_HOLIDAY, record, multi_line=multi_line)
     return replace_table(hol.drop(FILE_COL, POS_COL), warehouse, "holiday")

@@ -32,7 +32,8 @@ def leave_history(leave: DataFrame, tour: DataFrame, day_col: str = DAY_COL,
 
 
 def refresh_leave(spark: SparkSession, landing: str, warehouse: str,
-                  start: str | dt.date = HISTORY_START, stop: str | dt.date | None = None) -> int:
+                  start: str | dt.date = HISTORY_START, stop: str | dt.date | None = None,
+                  multi_line: bool = True) -> int:
     """Rebuild the leave table from ``start`` through ``stop`` (default: the next
     attendance day to load) and replace it; returns the new table version."""
     if stop is None:
@@ -40,7 +41,7 @@ def refresh_leave(spark: SparkSession, landing: str, warehouse: str,
         stop = next_attendance_day(spark, warehouse)
 
     def feed(name: str, root: str, record) -> DataFrame:
-        df = read_envelope(spark, f"{landing}/{name}", root, record, dated=True)
+        df = read_envelope(spark, f"{landing}/{name}", root, record, dated=True, multi_line=multi_line)
         df = df.filter(F.col(DAY_COL) >= F.lit(start).cast("date"))
         if stop is not None:
             df = df.filter(F.col(DAY_COL) <= F.lit(stop).cast("date"))

@@ -30,7 +30,8 @@ def attendance_stream(spark: SparkSession, landing: str, devices: DataFrame | No
     raw = reader.json(f"{landing}/attendance")
     rows = explode_root(raw, schemas.ROOT_ATTENDANCE, record, [DAY_COL]).drop(POS_COL)
     if devices is None:
-        devices = read_envelope(spark, f"{landing}/devices", schemas.ROOT_DEVICES, device_record)
+        devices = read_envelope(spark, f"{landing}/devices", schemas.ROOT_DEVICES, device_record,
+                                multi_line=multi_line)
         devices = devices.drop("_file", POS_COL)
     return enrich_attendance(rows, devices, dedupe_dim=dedupe_dim)
 

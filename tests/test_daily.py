@@ -28,3 +28,17 @@ def test_daily_run_keeps_going_after_a_failure(spark, landing, warehouse):
     out = run(spark, str(landing), warehouse, only=["holiday", "employee"])
     assert out["holiday"].startswith("FAILED")
     assert out["employee"].startswith("Employee register updated")
+
+
+def test_daily_run_on_json_lines_landing(spark, landing, warehouse):
+    import json
+    land(landing, "devices", None, None, raw=json.dumps({"detailsbydeviceid": DEVICES[:2]}) + "\n"
+         + json.dumps({"detailsbydeviceid": DEVICES[2:]}) + "\n")
+    land(landing, "attendance", None, None, day="2024-01-05",
+         raw=json.dumps({"successattendance": [_att("a", "g1", "e1")]}) + "\n"
+         + json.dumps({"successattendance": [_att("b", "dd", "")]}) + "\n")
+    out = run(spark, str(landing), warehouse, only=["attendance"], multi_line=False)
+    assert out["attendance"].startswith("Attendance Updated")
+    from rollcall.sinks import read_days
+    got = sorted((r["emp_id"], r["in_location"]) for r in read_days(spark, f"{warehouse}/attendance").collect())
+    assert got == [("a", "Gate A-wing"), ("b", "Twice One"), ("b", "Twice Two")]
