@@ -9,11 +9,12 @@ from rollcall.sinks import read_days
 from rollcall.sinks.marks import latest_from_marks, read_marks
 
 
-def latest_loaded_date(spark: SparkSession, warehouse: str, use_marks: bool = True) -> DataFrame | None:
+def latest_loaded_date(spark: SparkSession, warehouse: str, use_marks: bool = True,
+                       table_name: str = "attendance") -> DataFrame | None:
     """One row ``last_date``: top ``log_date`` with nulls first, so a missing date
     shows as missing. Read from the per-day load marks when present (a few rows),
     else from the table (top-1 over every row)."""
-    table = f"{warehouse}/attendance"
+    table = f"{warehouse}/{table_name}"
     if use_marks:
         marks = read_marks(spark, table)
         if marks is not None:

@@ -11,10 +11,12 @@ driver is not written twice. Devices are a static table joined to each batch.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rollcall import schemas
 from rollcall.plans.attendance import enrich_attendance
+from rollcall.sinks.marks import refresh_marks
 from rollcall.sources import DAY_COL, POS_COL, envelope_schema, explode_root, read_envelope
 
 
@@ -29,6 +31,8 @@ def attendance_stream(spark: SparkSession, landing: str, devices: DataFrame | No
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     raw = reader.json(f"{landing}/attendance")
     rows = explode_root(raw, schemas.ROOT_ATTENDANCE, record, [DAY_COL]).drop(POS_COL)
+    # Per micro-batch: the earliest day touched, so marks are refreshed from there only.
+    rows = rows.observe(OBSERVED, F.min(DAY_COL).alias("min_day"), F.count(F.lit(1)).alias("rows"))
     if devices is None:
         devices = read_envelope(spark, f"{landing}/devices", schemas.ROOT_DEVICES, device_record,
                                 multi_line=multi_line)
@@ -36,8 +40,31 @@ def attendance_stream(spark: SparkSession, landing: str, devices: DataFrame | No
     return enrich_attendance(rows, devices, dedupe_dim=dedupe_dim)
 
 
-def run_attendance_stream(stream: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
-    """Write ``stream`` to a day-partitioned Parquet table; run until caught up."""
+OBSERVED = "attendance_days"
+
+
+def _earliest_day(q: StreamingQuery, spark: SparkSession):
+    """Earliest day any batch of this run wrote; ``None`` = unknown (re-mark all)."""
+    progress = q.recentProgress
+    cap = int(spark.conf.get("spark.sql.streaming.numRecentProgressUpdates", "100"))
+    if len(progress) >= cap:
+        return None                          # older batches fell out of the history
+    days = []
+    for p in progress:
+        m = (p.observedMetrics or {}).get(OBSERVED)
+        if m is not None and m["rows"] and m["min_day"] is not None:
+            days.append(m["min_day"])
+    return min(days) if days else False      # False: nothing new was written
+
+
+def run_attendance_stream(stream: DataFrame, table_path: str, checkpoint: str,
+                          marks: bool = True) -> StreamingQuery:
+    """Write ``stream`` to a day-partitioned Parquet table; run until caught up.
+
+    With ``marks``, the per-day load marks of the days this run touched are
+    refreshed afterwards (the same marks the batch load keeps), so the next day
+    and the latest date never scan the table's history.
+    """
     q = (stream.writeStream.format("parquet")
          .partitionBy(DAY_COL)
          .option("path", table_path)
@@ -46,4 +73,9 @@ def run_attendance_stream(stream: DataFrame, table_path: str, checkpoint: str) -
          .trigger(availableNow=True)
          .start())
     q.awaitTermination()
+    if marks:
+        spark = stream.sparkSession
+        since = _earliest_day(q, spark)
+        if since is not False:
+            refresh_marks(spark, table_path, since)
     return q

@@ -17,3 +17,24 @@ def test_stream_loads_new_files_once(spark, landing, tmp_path):
     got = sorted((r["emp_id"], r["in_location"], r["out_location"])
                  for r in spark.read.parquet(table).collect())
     assert got == [("a", "Gate A-wing", "Ent/Eye (Old)"), ("b", None, None), ("c", "Gate A-wing", "Gate A-wing")]
+
+
+def test_stream_keeps_load_marks(spark, landing, tmp_path):
+    import datetime as dt
+
+    from rollcall.plans import latest_loaded_date
+    from rollcall.sinks import read_marks
+    land(landing, "devices", "detailsbydeviceid", DEVICES)
+    land(landing, "attendance", "successattendance", [_att("a", "g1", "e1", "2024-01-05")], day="2024-01-05")
+    table, ckpt = str(tmp_path / "attendance"), str(tmp_path / "ckpt")
+    run_attendance_stream(attendance_stream(spark, str(landing)), table, ckpt)
+    assert latest_loaded_date(spark, str(tmp_path)).first()["last_date"] == dt.date(2024, 1, 5)
+    land(landing, "attendance", "successattendance", [_att("b", "g1", "e1", "2024-01-07")], day="2024-01-07")
+    run_attendance_stream(attendance_stream(spark, str(landing)), table, ckpt)
+    marks = {r["reportdate"]: r["rows"] for r in read_marks(spark, table).collect()}
+    assert marks == {dt.date(2024, 1, 5): 1, dt.date(2024, 1, 7): 1}
+    assert latest_loaded_date(spark, str(tmp_path)).first()["last_date"] == dt.date(2024, 1, 7)
+    from rollcall.sinks import current_version
+    before = current_version(spark, str(tmp_path), "attendance_marks")
+    run_attendance_stream(attendance_stream(spark, str(landing)), table, ckpt)   # nothing new
+    assert current_version(spark, str(tmp_path), "attendance_marks") == before   # marks untouched
