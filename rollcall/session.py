@@ -32,6 +32,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
     # thousands of tiny tasks, so group folders into a few tasks per core.
     n = os.cpu_count() if cores == "*" else int(cores)
     conf["spark.sql.sources.parallelPartitionDiscovery.parallelism"] = str(4 * (n or 8))
+    # file:// paths only (local runs): skip Hadoop's .crc sidecar per file, which
+    # doubles the create/rename work of every Parquet file and partition folder.
+    conf["spark.hadoop.fs.file.impl"] = "org.apache.hadoop.fs.RawLocalFileSystem"
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
