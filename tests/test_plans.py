@@ -197,3 +197,13 @@ def test_table_without_marks_is_marked_once(spark, landing, warehouse):
     assert read_marks(spark, f"{warehouse}/attendance") is None
     assert next_attendance_day(spark, warehouse) == dt.date(2024, 1, 10)
     assert read_marks(spark, f"{warehouse}/attendance").count() == 1
+
+
+def test_empty_leave_history_replaces_with_typed_empty_table(spark, landing, warehouse):
+    land(landing, "leave", "leavedetails", [_leave("n", "N")], day="2024-01-01")
+    land(landing, "tour", "tourdetails", [], day="2024-01-01")
+    refresh_leave(spark, str(landing), warehouse, stop="2024-01-31")
+    out = read_table(spark, warehouse, "leave")
+    assert out.count() == 0
+    assert out.schema["date"].dataType.simpleString() == "date"
+    assert out.columns == ["date", "emp_id", "leave_type", "reason", "created_by", "creation_date"]
