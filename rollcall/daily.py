@@ -23,12 +23,16 @@ from rollcall.plans.leave import HISTORY_START
 
 def run(spark: SparkSession, landing: str, warehouse: str, first_day: str | None = None,
         history_start: str = HISTORY_START, only: list[str] | None = None,
-        multi_line: bool = True) -> dict[str, str]:
+        multi_line: bool = True, leave_window_days: int | None = None) -> dict[str, str]:
     ml = {"multi_line": multi_line}
+    leave_since = None
+    if leave_window_days is not None:
+        import datetime as dt
+        leave_since = dt.date.today() - dt.timedelta(days=leave_window_days)
     steps = {
         "attendance": lambda: load_attendance(spark, landing, warehouse, first_day=first_day, **ml).message,
         "leave": lambda: "Leave history rebuilt (version "
-                         f"{refresh_leave(spark, landing, warehouse, start=history_start, **ml)})",
+                         f"{refresh_leave(spark, landing, warehouse, start=history_start, since=leave_since, **ml)})",
         "employee": lambda: f"Employee register updated (version {upsert_employees(spark, landing, warehouse, **ml)})",
         "holiday": lambda: f"Holidays replaced (version {replace_holidays(spark, landing, warehouse, **ml)})",
     }
@@ -53,6 +57,8 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--first-day", default=None, help="first attendance day when nothing is stored yet")
     ap.add_argument("--history-start", default=HISTORY_START)
     ap.add_argument("--only", nargs="*", choices=["attendance", "leave", "employee", "holiday"])
+    ap.add_argument("--leave-window-days", type=int, default=None,
+                    help="re-read only this many recent leave/tour days (older landed days are final)")
     ap.add_argument("--json-lines", action="store_true",
                     help="landed files hold one envelope per line (splittable) instead of one per file")
     ap.add_argument("--local", action="store_true", help="run in a local session (tests, laptops)")
@@ -63,7 +69,7 @@ def main(argv: list[str] | None = None) -> int:
     else:
         spark = SparkSession.builder.appName("rollcall-daily").getOrCreate()
     result = run(spark, args.landing, args.warehouse, args.first_day, args.history_start, args.only,
-                 multi_line=not args.json_lines)
+                 multi_line=not args.json_lines, leave_window_days=args.leave_window_days)
     for name, msg in result.items():
         print(f"{name}: {msg}")
     return 1 if any(m.startswith("FAILED") for m in result.values()) else 0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rollcall import schemas
 from rollcall.operators import bind_by_name
-from rollcall.sinks import replace_table
+from rollcall.sinks import read_table, replace_table
 from rollcall.sources import DAY_COL, FILE_COL, POS_COL, read_envelope
 
 # Fixed value: first day of the rebuilt history.
@@ -33,20 +33,36 @@ def leave_history(leave: DataFrame, tour: DataFrame, day_col: str = DAY_COL,
 
 def refresh_leave(spark: SparkSession, landing: str, warehouse: str,
                   start: str | dt.date = HISTORY_START, stop: str | dt.date | None = None,
-                  multi_line: bool = True) -> int:
+                  multi_line: bool = True, since: str | dt.date | None = None) -> int:
     """Rebuild the leave table from ``start`` through ``stop`` (default: the next
-    attendance day to load) and replace it; returns the new table version."""
+    attendance day to load) and replace it; returns the new table version.
+
+    ``since`` (opt-in) re-reads only landed days from ``since`` on and keeps the
+    stored rows of earlier days. The result equals a full rebuild as long as the
+    earlier days' landed payloads are unchanged: the distinct key includes the day
+    and the filter is per row, so days never mix. The daily cost becomes the
+    window's JSON plus a columnar read of the stored table, not the whole history.
+    """
+    if since is not None:
+        since = F.lit(since).cast("date")
+        start_col = F.greatest(F.lit(start).cast("date"), since)
+    else:
+        start_col = F.lit(start).cast("date")
     if stop is None:
         from rollcall.plans.attendance import next_attendance_day
         stop = next_attendance_day(spark, warehouse)
 
     def feed(name: str, root: str, record) -> DataFrame:
         df = read_envelope(spark, f"{landing}/{name}", root, record, dated=True, multi_line=multi_line)
-        df = df.filter(F.col(DAY_COL) >= F.lit(start).cast("date"))
+        df = df.filter(F.col(DAY_COL) >= start_col)
         if stop is not None:
             df = df.filter(F.col(DAY_COL) <= F.lit(stop).cast("date"))
         return df.drop(FILE_COL, POS_COL)
 
     out = leave_history(feed("leave", schemas.ROOT_LEAVE, schemas.LEAVE),
                         feed("tour", schemas.ROOT_TOUR, schemas.TOUR))
+    if since is not None:
+        stored = read_table(spark, warehouse, "leave")
+        if stored is not None:
+            out = stored.filter(F.col("date") < since).unionByName(out)
     return replace_table(out, warehouse, "leave")

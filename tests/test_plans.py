@@ -207,3 +207,17 @@ def test_empty_leave_history_replaces_with_typed_empty_table(spark, landing, war
     assert out.count() == 0
     assert out.schema["date"].dataType.simpleString() == "date"
     assert out.columns == ["date", "emp_id", "leave_type", "reason", "created_by", "creation_date"]
+
+
+def test_leave_window_equals_full_rebuild(spark, landing, tmp_path):
+    for day, emps in (("2024-01-01", ["a", "b"]), ("2024-01-02", ["a"]), ("2024-01-03", ["c"])):
+        land(landing, "leave", "leavedetails", [_leave(e, "Y") for e in emps], day=day)
+        land(landing, "tour", "tourdetails", [_leave(e + "t", "Y", lt=None) for e in emps], day=day)
+    full, win = str(tmp_path / "full"), str(tmp_path / "win")
+    refresh_leave(spark, str(landing), win, stop="2024-01-02")          # yesterday's run
+    land(landing, "leave", "leavedetails", [_leave("d", "Y")], day="2024-01-04")
+    refresh_leave(spark, str(landing), full, stop="2024-01-04")
+    refresh_leave(spark, str(landing), win, stop="2024-01-04", since="2024-01-02")
+    cols = ["date", "emp_id", "leave_type", "reason", "created_by", "creation_date"]
+    assert _rows(read_table(spark, win, "leave"), *cols) == _rows(read_table(spark, full, "leave"), *cols)
+    assert read_table(spark, win, "leave").count() == 9
