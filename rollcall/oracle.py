@@ -196,3 +196,5 @@ SQL: dict[str, str] = {
         LEFT JOIN dev di ON att.in_device_id IS NOT DISTINCT FROM di.device_id
         LEFT JOIN dev dout ON att.out_device_id IS NOT DISTINCT FROM dout.device_id""",
 }
+# The windowed rebuild must give exactly the full rebuild's rows.
+SQL["leave_tour_refresh_window"] = SQL["leave_tour_refresh"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall import schemas
@@ -31,6 +31,18 @@ def leave_history(leave: DataFrame, tour: DataFrame, day_col: str = DAY_COL,
     return both.select(*cols).distinct()
 
 
+def leave_window(leave: DataFrame, tour: DataFrame, stored: DataFrame | None,
+                 since, day_col: str = DAY_COL) -> DataFrame:
+    """:func:`leave_history` of the days from ``since`` on, plus the ``stored`` rows
+    of earlier days. Exact while the earlier days' payloads are unchanged."""
+    since = since if isinstance(since, Column) else F.lit(since).cast("date")
+    recent = leave_history(leave.filter(F.col(day_col) >= since),
+                           tour.filter(F.col(day_col) >= since), day_col)
+    if stored is None:
+        return recent
+    return stored.filter(F.col("date") < since).unionByName(recent)
+
+
 def refresh_leave(spark: SparkSession, landing: str, warehouse: str,
                   start: str | dt.date = HISTORY_START, stop: str | dt.date | None = None,
                   multi_line: bool = True, since: str | dt.date | None = None) -> int:
@@ -43,11 +55,7 @@ def refresh_leave(spark: SparkSession, landing: str, warehouse: str,
     and the filter is per row, so days never mix. The daily cost becomes the
     window's JSON plus a columnar read of the stored table, not the whole history.
     """
-    if since is not None:
-        since = F.lit(since).cast("date")
-        start_col = F.greatest(F.lit(start).cast("date"), since)
-    else:
-        start_col = F.lit(start).cast("date")
+    start_col = F.lit(start).cast("date")
     if stop is None:
         from rollcall.plans.attendance import next_attendance_day
         stop = next_attendance_day(spark, warehouse)
@@ -59,10 +67,11 @@ def refresh_leave(spark: SparkSession, landing: str, warehouse: str,
             df = df.filter(F.col(DAY_COL) <= F.lit(stop).cast("date"))
         return df.drop(FILE_COL, POS_COL)
 
-    out = leave_history(feed("leave", schemas.ROOT_LEAVE, schemas.LEAVE),
-                        feed("tour", schemas.ROOT_TOUR, schemas.TOUR))
-    if since is not None:
-        stored = read_table(spark, warehouse, "leave")
-        if stored is not None:
-            out = stored.filter(F.col("date") < since).unionByName(out)
+    leave = feed("leave", schemas.ROOT_LEAVE, schemas.LEAVE)
+    tour = feed("tour", schemas.ROOT_TOUR, schemas.TOUR)
+    if since is None:
+        out = leave_history(leave, tour)
+    else:
+        since_col = F.greatest(start_col, F.lit(since).cast("date"))
+        out = leave_window(leave, tour, read_table(spark, warehouse, "leave"), since_col)
     return replace_table(out, warehouse, "leave")

@@ -267,6 +267,18 @@ def leave_tour_refresh(spark, sf_dir):
     return read_table(spark, root, "leave")
 
 
+def leave_tour_refresh_window(spark, sf_dir):
+    """Yesterday's run rebuilt the days up to the 15th; today's run re-reads only
+    from the 10th and keeps the stored rows before it. Must equal a full rebuild."""
+    from rollcall.plans import leave_window
+    leave, tour = _leave_feeds(spark, sf_dir)
+    root = scratch_path(spark, "leave_tour_refresh_window")
+    upto = F.col("reportdate") <= F.lit("2024-01-15").cast("date")
+    replace_table(leave_history(leave.filter(upto), tour.filter(upto)), root, "leave")
+    replace_table(leave_window(leave, tour, read_table(spark, root, "leave"), "2024-01-10"), root, "leave")
+    return read_table(spark, root, "leave")
+
+
 def emp_upsert(spark, sf_dir):
     """Stored register = customers; the feed = completed orders (one row per order,
     first order per customer wins); the register is rebuilt from itself."""
@@ -390,6 +402,7 @@ QUERIES: dict[str, QueryFn] = {
     "distinct_rows": distinct_rows,
     "union_by_name": union_by_name,
     "leave_tour_refresh": leave_tour_refresh,
+    "leave_tour_refresh_window": leave_tour_refresh_window,
     "title_case": title_case_q,
     "remove_first": remove_first_q,
     "if_else_null": if_else_null,
