@@ -59,25 +59,65 @@ def maybe_broadcast(df: DataFrame, max_bytes: int | None = None, check: bool = T
     return df
 
 
+def hot_keys(fact: DataFrame, key: str, share: float = 0.01) -> DataFrame:
+    """Keys (the missing key included) holding more than ``share`` of ``fact``'s rows.
+
+    One pass over the key column with map-side partial counts. At most ``1/share``
+    keys can qualify, so the result has a proven size bound and may be broadcast.
+    """
+    n = fact.agg(F.count(F.lit(1))).first()[0]          # one number to the driver
+    counts = fact.groupBy(F.col(key).alias("__hot_key")).agg(F.count(F.lit(1)).alias("__n"))
+    return counts.filter(F.col("__n") > F.lit(share * n)).select("__hot_key")
+
+
 def left_join_null_safe(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
-                        broadcast: bool | None = None) -> DataFrame:
+                        broadcast: bool | None = None, salt_buckets: int = 0,
+                        hot_share: float = 0.01) -> DataFrame:
     """Keep every fact row; missing keys match missing keys; duplicate dim keys multiply rows.
 
     The dimension's key column is not in the output. ``broadcast=None`` checks the
     size, ``True`` forces it (caller proved the bound), ``False`` never broadcasts.
+
+    When the join is not broadcast, hot fact keys are split by AQE's skew join by
+    default. ``salt_buckets=S`` splits them explicitly instead (useful with AQE off
+    or below its thresholds): rows of keys holding more than ``hot_share`` of the
+    fact get a salt in ``[0, S)`` from a hash of the row (stable across task
+    retries), the dimension rows of those keys are repeated once per salt, and
+    the join also matches on the salt. Other keys keep salt 0 and are not copied.
     """
     tmp = "__dim_key"
     d = dim.withColumnRenamed(dim_key, tmp)
     if broadcast is None:
-        d = maybe_broadcast(d)
-    elif broadcast:
-        d = F.broadcast(d)
+        broadcast = fits_broadcast(d)
+    if broadcast:
+        bd = F.broadcast(d)
+        return fact.join(bd, fact[fact_key].eqNullSafe(bd[tmp]), "left").drop(tmp)
+    if salt_buckets and salt_buckets > 1:
+        return _salted_left_join(fact, d, fact_key, tmp, salt_buckets, hot_share)
     cond = fact[fact_key].eqNullSafe(d[tmp])
     return fact.join(d, cond, "left").drop(tmp)
 
 
+def _salted_left_join(fact: DataFrame, d: DataFrame, fact_key: str, tmp: str,
+                      buckets: int, hot_share: float) -> DataFrame:
+    hot = F.broadcast(hot_keys(fact, fact_key, hot_share).withColumn("__hot", F.lit(True)))
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in fact.columns])
+    f = (fact.join(hot, fact[fact_key].eqNullSafe(hot["__hot_key"]), "left")
+             .withColumn("__salt", F.when(F.col("__hot"), F.pmod(row_hash, F.lit(buckets)))
+                                     .otherwise(F.lit(0).cast("long")))
+             .drop("__hot_key", "__hot"))
+    copies = F.when(F.col("__hot"), F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))) \
+              .otherwise(F.array(F.lit(0).cast("long")))
+    dd = (d.join(hot, d[tmp].eqNullSafe(hot["__hot_key"]), "left")
+           .withColumn("__dsalt", F.explode(copies))
+           .drop("__hot_key", "__hot"))
+    cond = f[fact_key].eqNullSafe(dd[tmp]) & (f["__salt"] == dd["__dsalt"])
+    return f.join(dd, cond, "left").drop(tmp, "__salt", "__dsalt")
+
+
 def role_join(fact: DataFrame, dim: DataFrame, roles: Mapping[str, str], dim_key: str,
-              value: str, dedupe_dim: bool = False, broadcast: bool | None = None) -> DataFrame:
+              value: str, dedupe_dim: bool = False, broadcast: bool | None = None,
+              salt_buckets: int = 0, hot_share: float = 0.01) -> DataFrame:
     """Join one projected dimension once per role: ``{fact_key: output_column}``.
 
     Every fact row is kept; a dimension key listed twice doubles the rows of each
@@ -93,7 +133,8 @@ def role_join(fact: DataFrame, dim: DataFrame, roles: Mapping[str, str], dim_key
         broadcast = fits_broadcast(d)
     out = fact
     for fact_key, out_name in roles.items():
-        out = left_join_null_safe(out, d, fact_key, "__dim_key", broadcast=broadcast)
+        out = left_join_null_safe(out, d, fact_key, "__dim_key", broadcast=broadcast,
+                                  salt_buckets=salt_buckets, hot_share=hot_share)
         out = out.withColumnRenamed("__dim_value", out_name)
     return out
 

@@ -41,3 +41,24 @@ def test_hot_null_key_is_split_not_dropped(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_salted_join_equals_plain_join_and_splits_hot_keys(spark):
+    from rollcall.operators import hot_keys, left_join_null_safe
+    n = 30_000
+    fact = spark.range(n).select(
+        F.col("id").alias("r"),
+        F.when(F.col("id") % 3 == 0, F.lit(None))
+         .when(F.col("id") % 3 == 1, F.lit("7"))
+         .otherwise((F.col("id") % 500).cast("string")).alias("k"))
+    dim = spark.range(500).select(F.col("id").cast("string").alias("dk"),
+                                  F.concat(F.lit("Gate "), F.col("id")).alias("loc"))
+    dim = dim.unionByName(spark.range(1).select(F.lit("7").alias("dk"), F.lit("Gate 7 again").alias("loc")))
+    assert {r[0] for r in hot_keys(fact, "k", 0.1).collect()} == {None, "7"}
+    salted = left_join_null_safe(fact, dim, "k", "dk", broadcast=False, salt_buckets=8, hot_share=0.1)
+    plain = left_join_null_safe(fact, dim, "k", "dk", broadcast=True)
+    a = sorted((tuple(r) for r in salted.select("r", "k", "loc").collect()), key=repr)
+    b = sorted((tuple(r) for r in plain.select("r", "k", "loc").collect()), key=repr)
+    assert a == b
+    assert len(a) > n                               # key "7" is listed twice: its rows double
+    assert salted.columns == plain.columns
