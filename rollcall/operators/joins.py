@@ -62,17 +62,22 @@ def maybe_broadcast(df: DataFrame, max_bytes: int | None = None, check: bool = T
 def hot_keys(fact: DataFrame, key: str, share: float = 0.01) -> DataFrame:
     """Keys (the missing key included) holding more than ``share`` of ``fact``'s rows.
 
-    One pass over the key column with map-side partial counts. At most ``1/share``
-    keys can qualify, so the result has a proven size bound and may be broadcast.
+    One pass over the key column with map-side partial counts. The counts are
+    materialised with ``checkpoint()`` (reliable, in the shared checkpoint folder),
+    so the joins that use the result read a small table instead of re-planning the
+    fact. At most ``1/share`` keys can qualify: a proven bound, so it is broadcast.
     """
-    n = fact.agg(F.count(F.lit(1))).first()[0]          # one number to the driver
-    counts = fact.groupBy(F.col(key).alias("__hot_key")).agg(F.count(F.lit(1)).alias("__n"))
-    return counts.filter(F.col("__n") > F.lit(share * n)).select("__hot_key")
+    from rollcall.session import shared_dir
+    shared_dir(fact.sparkSession)                       # checkpoint() needs the folder set
+    counts = (fact.groupBy(F.col(key).alias("__hot_key"))
+                  .agg(F.count(F.lit(1)).alias("__n")).checkpoint())
+    n = counts.agg(F.sum("__n")).first()[0] or 0        # one number to the driver
+    return counts.filter(F.col("__n") > F.lit(share * n)).select("__hot_key").checkpoint()
 
 
 def left_join_null_safe(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
                         broadcast: bool | None = None, salt_buckets: int = 0,
-                        hot_share: float = 0.01) -> DataFrame:
+                        hot_share: float = 0.01, hot: DataFrame | None = None) -> DataFrame:
     """Keep every fact row; missing keys match missing keys; duplicate dim keys multiply rows.
 
     The dimension's key column is not in the output. ``broadcast=None`` checks the
@@ -84,6 +89,7 @@ def left_join_null_safe(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key:
     fact get a salt in ``[0, S)`` from a hash of the row (stable across task
     retries), the dimension rows of those keys are repeated once per salt, and
     the join also matches on the salt. Other keys keep salt 0 and are not copied.
+    ``hot`` passes hot keys computed earlier (one ``__hot_key`` column).
     """
     tmp = "__dim_key"
     d = dim.withColumnRenamed(dim_key, tmp)
@@ -93,14 +99,16 @@ def left_join_null_safe(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key:
         bd = F.broadcast(d)
         return fact.join(bd, fact[fact_key].eqNullSafe(bd[tmp]), "left").drop(tmp)
     if salt_buckets and salt_buckets > 1:
-        return _salted_left_join(fact, d, fact_key, tmp, salt_buckets, hot_share)
+        if hot is None:
+            hot = hot_keys(fact, fact_key, hot_share)
+        return _salted_left_join(fact, d, fact_key, tmp, salt_buckets, hot)
     cond = fact[fact_key].eqNullSafe(d[tmp])
     return fact.join(d, cond, "left").drop(tmp)
 
 
 def _salted_left_join(fact: DataFrame, d: DataFrame, fact_key: str, tmp: str,
-                      buckets: int, hot_share: float) -> DataFrame:
-    hot = F.broadcast(hot_keys(fact, fact_key, hot_share).withColumn("__hot", F.lit(True)))
+                      buckets: int, hot_keys_df: DataFrame) -> DataFrame:
+    hot = F.broadcast(hot_keys_df.withColumn("__hot", F.lit(True)))
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in fact.columns])
     f = (fact.join(hot, fact[fact_key].eqNullSafe(hot["__hot_key"]), "left")
              .withColumn("__salt", F.when(F.col("__hot"), F.pmod(row_hash, F.lit(buckets)))
@@ -131,10 +139,14 @@ def role_join(fact: DataFrame, dim: DataFrame, roles: Mapping[str, str], dim_key
         d = d.distinct()
     if broadcast is None:
         broadcast = fits_broadcast(d)
+    salting = not broadcast and salt_buckets > 1
+    # Hot keys of every role come from the original fact, not from the previous
+    # role's join output (which would re-plan the whole fact once more per role).
+    hot = {k: hot_keys(fact, k, hot_share) for k in roles} if salting else {}
     out = fact
     for fact_key, out_name in roles.items():
         out = left_join_null_safe(out, d, fact_key, "__dim_key", broadcast=broadcast,
-                                  salt_buckets=salt_buckets, hot_share=hot_share)
+                                  salt_buckets=salt_buckets, hot=hot.get(fact_key))
         out = out.withColumnRenamed("__dim_value", out_name)
     return out
 

@@ -198,3 +198,4 @@ SQL: dict[str, str] = {
 }
 # The windowed rebuild must give exactly the full rebuild's rows.
 SQL["leave_tour_refresh_window"] = SQL["leave_tour_refresh"]
+SQL["role_playing_join_salted"] = SQL["role_playing_join"]

@@ -31,12 +31,13 @@ def device_locations(devices: DataFrame, own_name_org: str = OWN_NAME_ORG) -> Da
 
 
 def enrich_attendance(attendance: DataFrame, devices: DataFrame, dedupe_dim: bool = False,
-                      broadcast: bool | None = None) -> DataFrame:
+                      broadcast: bool | None = None, salt_buckets: int = 0) -> DataFrame:
     """Add ``in_location`` / ``out_location``: the device table joined once per role,
-    null-safe, every attendance row kept (``""`` and unknown ids get no location)."""
+    null-safe, every attendance row kept (``""`` and unknown ids get no location).
+    ``salt_buckets`` splits hot device ids explicitly if the devices are not broadcast."""
     dev = device_locations(devices)
     return role_join(attendance, dev, ROLES, "device_id", "entry_name",
-                     dedupe_dim=dedupe_dim, broadcast=broadcast)
+                     dedupe_dim=dedupe_dim, broadcast=broadcast, salt_buckets=salt_buckets)
 
 
 def device_keys(attendance: DataFrame) -> DataFrame:
@@ -71,7 +72,7 @@ class LoadStatus:
 
 def load_attendance(spark: SparkSession, landing: str, warehouse: str,
                     first_day: str | dt.date | None = None, dedupe_dim: bool = False,
-                    restrict_devices: bool = False, multi_line: bool = True,
+                    restrict_devices: bool = False, multi_line: bool = True, salt_buckets: int = 0,
                     record=schemas.ATTENDANCE, device_record=schemas.DEVICES) -> LoadStatus:
     """Append every landed attendance day from the day after the stored ``log_date``.
 
@@ -98,7 +99,7 @@ def load_attendance(spark: SparkSession, landing: str, warehouse: str,
     dev = dev.drop(FILE_COL, POS_COL)
     if restrict_devices:
         dev = lookup_keys(dev, "device_id", device_keys(att))
-    append_day(enrich_attendance(att, dev, dedupe_dim=dedupe_dim), table)
+    append_day(enrich_attendance(att, dev, dedupe_dim=dedupe_dim, salt_buckets=salt_buckets), table)
     refresh_marks(spark, table, start)
     label = start.strftime("%d %b %Y") if start else "all landed days"
     return LoadStatus(True, start, f"Attendance Updated for {label}")

@@ -183,6 +183,15 @@ def role_playing_join(spark, sf_dir):
     return out.select("l_orderkey", "l_linenumber", "c_loc", "s_loc")
 
 
+def role_playing_join_salted(spark, sf_dir):
+    """The same question with the broadcast refused: the sort-merge fallback with
+    hot keys (here every nation above 1% of the rows, and the missing key) salted."""
+    out = role_join(_lineitem_roles(spark, sf_dir), _nation_dim(spark, sf_dir),
+                    {"c_key": "c_loc", "s_key": "s_loc"}, "dk", "n_name",
+                    broadcast=False, salt_buckets=8, hot_share=0.01)
+    return out.select("l_orderkey", "l_linenumber", "c_loc", "s_loc")
+
+
 def join_fanout(spark, sf_dir):
     s = _t(spark, sf_dir, "supplier").select(
         "s_suppkey", F.nullif(F.col("s_nationkey"), F.lit(0)).alias("fk"))
@@ -398,6 +407,7 @@ QUERIES: dict[str, QueryFn] = {
     "non_empty_gate_hit": non_empty_gate_hit,
     "null_safe_left_join": null_safe_left_join,
     "role_playing_join": role_playing_join,
+    "role_playing_join_salted": role_playing_join_salted,
     "join_fanout": join_fanout,
     "distinct_rows": distinct_rows,
     "union_by_name": union_by_name,
