@@ -221,3 +221,13 @@ def test_leave_window_equals_full_rebuild(spark, landing, tmp_path):
     cols = ["date", "emp_id", "leave_type", "reason", "created_by", "creation_date"]
     assert _rows(read_table(spark, win, "leave"), *cols) == _rows(read_table(spark, full, "leave"), *cols)
     assert read_table(spark, win, "leave").count() == 9
+
+
+def test_holiday_replace_twice_equals_once(spark, landing, warehouse):
+    land(landing, "holiday", "holiday", [{"holiday_date": "2024-01-26", "holiday_name": "R"},
+                                         {"holiday_date": "2024-01-26", "holiday_name": "R"}])
+    replace_holidays(spark, str(landing), warehouse)
+    once = _rows(read_table(spark, warehouse, "holiday"), "holiday_date", "holiday_name")
+    replace_holidays(spark, str(landing), warehouse)
+    twice = _rows(read_table(spark, warehouse, "holiday"), "holiday_date", "holiday_name")
+    assert once == twice and len(once) == 2            # passed through unchanged, duplicates kept
