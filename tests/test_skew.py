@@ -57,7 +57,18 @@ def test_salted_join_equals_plain_join_and_splits_hot_keys(spark):
     assert {r[0] for r in hot_keys(fact, "k", 0.1).collect()} == {None, "7"}
     salted = left_join_null_safe(fact, dim, "k", "dk", broadcast=False, salt_buckets=8, hot_share=0.1)
     plain = left_join_null_safe(fact, dim, "k", "dk", broadcast=True)
-    a = sorted((tuple(r) for r in salted.select("r", "k", "loc").collect()), key=repr)
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in off}
+    for k, v in off.items():
+        spark.conf.set(k, v)
+    try:
+        a = sorted((tuple(r) for r in salted.select("r", "k", "loc").collect()), key=repr)
+        smj = [line for line in salted._jdf.queryExecution().executedPlan().toString().splitlines()
+               if "SortMergeJoin" in line]
+        assert smj and "__salt" in smj[0]              # the join also matches on the salt
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     b = sorted((tuple(r) for r in plain.select("r", "k", "loc").collect()), key=repr)
     assert a == b
     assert len(a) > n                               # key "7" is listed twice: its rows double
