@@ -199,3 +199,8 @@ SQL: dict[str, str] = {
 # The windowed rebuild must give exactly the full rebuild's rows.
 SQL["leave_tour_refresh_window"] = SQL["leave_tour_refresh"]
 SQL["role_playing_join_salted"] = SQL["role_playing_join"]
+SQL["envelope_landing_scan"] = """
+    SELECT event_id, event_type, CAST(ts AS DATE) AS reportdate,
+           CAST(row_number() OVER (PARTITION BY CAST(ts AS DATE), event_id // 1000
+                                    ORDER BY event_id) - 1 AS INTEGER) AS _pos
+    FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-01'"""

@@ -91,6 +91,23 @@ def envelope_explode(spark, sf_dir):
                             keep=["reportdate", "page"])
 
 
+def envelope_landing_scan(spark, sf_dir):
+    """The same envelopes written as a dated landing zone (one envelope per line,
+    reportdate= folders) and read back by the landing reader, days from the
+    first landed one on (a partition filter)."""
+    from rollcall.sources import read_envelope
+    ev = _t(spark, sf_dir, "events")
+    pages = ev.groupBy(F.col("ts").cast("date").alias("reportdate"),
+                       F.expr("event_id div 1000").alias("page"))
+    recs = F.array_sort(F.collect_list(F.struct("event_id", "event_type")))
+    env = pages.agg(F.to_json(F.struct(recs.alias("successattendance"))).alias("value"))
+    landing = f"{scratch_path(spark, 'envelope_landing')}/attendance"
+    env.select("value", "reportdate").write.partitionBy("reportdate").text(landing)
+    rows = read_envelope(spark, landing, "successattendance", _ENVELOPE_RECORD, dated=True, multi_line=False)
+    rows = rows.filter(F.col("reportdate") >= F.lit(SPINE_START).cast("date"))
+    return rows.select("event_id", "event_type", "reportdate", "_pos")
+
+
 def json_field_q(spark, sf_dir):
     ev = _t(spark, sf_dir, "events")
     return ev.select("event_id", json_field("props", "k", "int").alias("k"))
@@ -395,6 +412,7 @@ QUERIES: dict[str, QueryFn] = {
     "latest_date_nulls": latest_date_nulls,
     "date_spine": date_spine_q,
     "envelope_explode": envelope_explode,
+    "envelope_landing_scan": envelope_landing_scan,
     "json_field": json_field_q,
     "distinct_keys": distinct_keys_q,
     "keyed_lookup": keyed_lookup,

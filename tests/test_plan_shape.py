@@ -49,3 +49,8 @@ def test_role_join_builds_one_broadcast_for_all_roles(spark):
     df.collect()
     p = plan(df)
     assert "ReusedExchange" in p
+
+
+def test_landing_scan_prunes_day_folders(spark):
+    p = plan(queries()["envelope_landing_scan"](spark, SF))
+    assert "PartitionFilters: [isnotnull(reportdate" in p
