@@ -42,3 +42,11 @@ def test_daily_run_on_json_lines_landing(spark, landing, warehouse):
     from rollcall.sinks import read_days
     got = sorted((r["emp_id"], r["in_location"]) for r in read_days(spark, f"{warehouse}/attendance").collect())
     assert got == [("a", "Gate A-wing"), ("b", "Twice One"), ("b", "Twice Two")]
+
+
+def test_cli_main_exit_codes(spark, landing, warehouse, capsys):
+    from rollcall.daily import main
+    land(landing, "holiday", "holiday", [{"holiday_date": "2024-01-26", "holiday_name": "R"}])
+    assert main(["--landing", str(landing), "--warehouse", warehouse, "--only", "holiday", "--local"]) == 0
+    assert "holiday: Holidays replaced (version 1)" in capsys.readouterr().out
+    assert main(["--landing", str(landing), "--warehouse", warehouse, "--only", "employee", "--local"]) == 1
