@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rollcall import schemas
 from rollcall.plans.attendance import enrich_attendance
-from rollcall.sinks.marks import refresh_marks
+from rollcall.sinks.marks import read_marks, refresh_marks
 from rollcall.sources import DAY_COL, POS_COL, envelope_schema, explode_root, read_envelope
 
 
@@ -63,7 +63,9 @@ def run_attendance_stream(stream: DataFrame, table_path: str, checkpoint: str,
 
     With ``marks``, the per-day load marks of the days this run touched are
     refreshed afterwards (the same marks the batch load keeps), so the next day
-    and the latest date never scan the table's history.
+    and the latest date never scan the table's history. A table without marks, or
+    a run that fails, gets every day re-marked. After a driver crash mid-run, call
+    ``refresh_marks(spark, table_path, None)`` once.
     """
     q = (stream.writeStream.format("parquet")
          .partitionBy(DAY_COL)
@@ -72,10 +74,17 @@ def run_attendance_stream(stream: DataFrame, table_path: str, checkpoint: str,
          .outputMode("append")
          .trigger(availableNow=True)
          .start())
-    q.awaitTermination()
+    spark = stream.sparkSession
+    try:
+        q.awaitTermination()
+    except Exception:
+        # Batches committed before the failure are not in a later run's progress:
+        # re-mark every day now so the marks never miss them.
+        if marks:
+            refresh_marks(spark, table_path, None)
+        raise
     if marks:
-        spark = stream.sparkSession
-        since = _earliest_day(q, spark)
+        since = None if read_marks(spark, table_path) is None else _earliest_day(q, spark)
         if since is not False:
             refresh_marks(spark, table_path, since)
     return q

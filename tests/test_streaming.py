@@ -38,3 +38,23 @@ def test_stream_keeps_load_marks(spark, landing, tmp_path):
     before = current_version(spark, str(tmp_path), "attendance_marks")
     run_attendance_stream(attendance_stream(spark, str(landing)), table, ckpt)   # nothing new
     assert current_version(spark, str(tmp_path), "attendance_marks") == before   # marks untouched
+
+
+def test_failed_stream_run_still_marks_committed_days(spark, landing, tmp_path):
+    import datetime as dt
+    import os
+    import time
+
+    import pytest
+
+    from rollcall.sinks import read_marks
+    land(landing, "devices", "detailsbydeviceid", DEVICES)
+    land(landing, "attendance", "successattendance", [_att("a", "g1", "e1", "2024-01-05")], day="2024-01-05")
+    bad = land(landing, "attendance", None, None, day="2024-01-06", raw='{"successattendance": [ {')
+    later = time.time() + 5
+    os.utime(os.path.join(bad, "page-0.json"), (later, later))      # processed after the good page
+    table, ckpt = str(tmp_path / "attendance"), str(tmp_path / "ckpt")
+    with pytest.raises(Exception):
+        run_attendance_stream(attendance_stream(spark, str(landing), max_files_per_trigger=1), table, ckpt)
+    marks = {r["reportdate"]: r["rows"] for r in read_marks(spark, table).collect()}
+    assert marks == {dt.date(2024, 1, 5): 1}
