@@ -140,6 +140,9 @@ def role_join(fact: DataFrame, dim: DataFrame, roles: Mapping[str, str], dim_key
     if broadcast is None:
         broadcast = fits_broadcast(d)
     salting = not broadcast and salt_buckets > 1
+    if salting and fact.isStreaming:
+        raise ValueError("salt_buckets needs a batch fact: hot keys are counted up front, "
+                         "which a stream cannot do; broadcast the dimension instead")
     # Hot keys of every role come from the original fact, not from the previous
     # role's join output (which would re-plan the whole fact once more per role).
     hot = {k: hot_keys(fact, k, hot_share) for k in roles} if salting else {}

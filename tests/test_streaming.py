@@ -58,3 +58,15 @@ def test_failed_stream_run_still_marks_committed_days(spark, landing, tmp_path):
         run_attendance_stream(attendance_stream(spark, str(landing), max_files_per_trigger=1), table, ckpt)
     marks = {r["reportdate"]: r["rows"] for r in read_marks(spark, table).collect()}
     assert marks == {dt.date(2024, 1, 5): 1}
+
+
+def test_salting_a_stream_is_refused(spark, landing):
+    import pytest
+
+    from rollcall.operators import role_join
+    land(landing, "devices", "detailsbydeviceid", DEVICES)
+    land(landing, "attendance", "successattendance", [_att("a", "g1", "e1")], day="2024-01-05")
+    stream = attendance_stream(spark, str(landing))
+    dev = spark.createDataFrame([("g1", "Gate")], "device_id string, loc string")
+    with pytest.raises(ValueError):
+        role_join(stream, dev, {"in_device_id": "x"}, "device_id", "loc", broadcast=False, salt_buckets=4)
