@@ -56,3 +56,12 @@ def test_manifest_and_not_landed(spark):
     assert any(r[0] is None for r in m.collect())            # no "NA" in a path
     landed = spark.createDataFrame([("leave/reportdate=2024-01-01",)], "path string")
     assert [r[0] for r in not_landed(m.dropna(), landed).collect()] == ["leave/reportdate=2024-01-02"]
+
+
+def test_device_request_manifest_from_both_roles(spark):
+    from rollcall.plans import device_keys
+    att = spark.createDataFrame([("a", "d1", ""), ("b", None, "d2"), ("c", "d1", "d2")],
+                                "emp_id string, in_device_id string, out_device_id string")
+    m = request_manifest(device_keys(att), "devices", key_col="device_id", key_name="deviceid")
+    got = sorted((r[0] for r in m.collect()), key=lambda v: (v is not None, v))
+    assert got == [None, "devices/deviceid=d1", "devices/deviceid=d2"]
