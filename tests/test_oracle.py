@@ -33,6 +33,9 @@ def test_key_matches_oracle(spark, con, key):
     assert {c: DUCK_TYPE.get(t, t).upper() for c, t in s_types.items()} == \
         {c: t.upper() for c, t in d_types.items()}
     assert s_hash == d_hash, (set(s_rows) ^ set(d_rows))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not any(n in plan for n in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF",
+                                       "FlatMapGroupsInPandas", "MapInPandas")), plan
 
 
 def test_entry_smoke(spark):
