@@ -1,9 +1,11 @@
 """The registered queries of this folder and, where SQL can express them, their SQL."""
 
 from rollcall.llm.mixing import op2_pareto_mix
+from rollcall.llm.packing import op3_best_fit_packing
 
 QUERIES = {
     "op2_pareto_mix": op2_pareto_mix,
+    "op3_best_fit_packing": op3_best_fit_packing,
 }
 
 SQL: dict[str, str] = {}
