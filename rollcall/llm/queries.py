@@ -2,10 +2,14 @@
 
 from rollcall.llm.mixing import op2_pareto_mix
 from rollcall.llm.packing import op3_best_fit_packing
+from rollcall.llm.warc import OP1_SQL, op1_warc_round_trip
 
 QUERIES = {
+    "op1_warc_round_trip": op1_warc_round_trip,
     "op2_pareto_mix": op2_pareto_mix,
     "op3_best_fit_packing": op3_best_fit_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op1_warc_round_trip": OP1_SQL,
+}
