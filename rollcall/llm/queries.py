@@ -1,5 +1,6 @@
 """The registered queries of this folder and, where SQL can express them, their SQL."""
 
+from rollcall.llm.lm import op7_lattice_lm
 from rollcall.llm.mixing import op2_pareto_mix
 from rollcall.llm.packing import op3_best_fit_packing
 from rollcall.llm.warc import OP1_SQL, op1_warc_round_trip
@@ -8,6 +9,7 @@ QUERIES = {
     "op1_warc_round_trip": op1_warc_round_trip,
     "op2_pareto_mix": op2_pareto_mix,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op7_lattice_lm": op7_lattice_lm,
 }
 
 SQL = {
