@@ -1,6 +1,7 @@
 """The registered queries of this folder and, where SQL can express them, their SQL."""
 
 from rollcall.llm.cws import op8_cws_fingerprints
+from rollcall.llm.language import op4_ecoc_language
 from rollcall.llm.lm import op7_lattice_lm
 from rollcall.llm.mixing import op2_pareto_mix
 from rollcall.llm.packing import op3_best_fit_packing
@@ -10,6 +11,7 @@ QUERIES = {
     "op1_warc_round_trip": op1_warc_round_trip,
     "op2_pareto_mix": op2_pareto_mix,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_ecoc_language": op4_ecoc_language,
     "op7_lattice_lm": op7_lattice_lm,
     "op8_cws_fingerprints": op8_cws_fingerprints,
 }
