@@ -5,6 +5,7 @@ from rollcall.llm.language import op4_ecoc_language
 from rollcall.llm.lm import op7_lattice_lm
 from rollcall.llm.mixing import op2_pareto_mix
 from rollcall.llm.packing import op3_best_fit_packing
+from rollcall.llm.quality import op5_qda_quality
 from rollcall.llm.warc import OP1_SQL, op1_warc_round_trip
 
 QUERIES = {
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_pareto_mix": op2_pareto_mix,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_ecoc_language": op4_ecoc_language,
+    "op5_qda_quality": op5_qda_quality,
     "op7_lattice_lm": op7_lattice_lm,
     "op8_cws_fingerprints": op8_cws_fingerprints,
 }
