@@ -5,6 +5,7 @@ from rollcall.llm.language import op4_ecoc_language
 from rollcall.llm.lm import op7_lattice_lm
 from rollcall.llm.mixing import op2_pareto_mix
 from rollcall.llm.packing import op3_best_fit_packing
+from rollcall.llm.pii import op6_contextual_pii
 from rollcall.llm.quality import op5_qda_quality
 from rollcall.llm.warc import OP1_SQL, op1_warc_round_trip
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_ecoc_language": op4_ecoc_language,
     "op5_qda_quality": op5_qda_quality,
+    "op6_contextual_pii": op6_contextual_pii,
     "op7_lattice_lm": op7_lattice_lm,
     "op8_cws_fingerprints": op8_cws_fingerprints,
 }
