@@ -4,6 +4,7 @@ from rollcall.llm.cws import op8_cws_fingerprints
 from rollcall.llm.language import op4_ecoc_language
 from rollcall.llm.lm import op7_lattice_lm
 from rollcall.llm.mixing import op2_pareto_mix
+from rollcall.llm.neighbours import op9_nn_descent
 from rollcall.llm.packing import op3_best_fit_packing
 from rollcall.llm.pii import op6_contextual_pii
 from rollcall.llm.quality import op5_qda_quality
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_contextual_pii": op6_contextual_pii,
     "op7_lattice_lm": op7_lattice_lm,
     "op8_cws_fingerprints": op8_cws_fingerprints,
+    "op9_nn_descent": op9_nn_descent,
 }
 
 SQL = {
