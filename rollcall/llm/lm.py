@@ -59,7 +59,7 @@ def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
         yield flush()
 
     arrow_rows(texts.sparkSession, 256)
-    part = texts.select(F.col(f"`{text}`").cast("string")).mapInArrow(run, "token string, c long")
+    part = texts.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "token string, c long")
     return part.groupBy("token").agg(F.sum("c").alias("c"))
 
 

@@ -182,7 +182,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str | None = None, text: str =
                                              names=[f.name for f in fields])
 
     arrow_rows(docs.sparkSession, 256)
-    return docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`").cast("string")).mapInArrow(run, schema)
+    src = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return src.mapInArrow(run, schema)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

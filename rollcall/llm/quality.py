@@ -76,8 +76,8 @@ def feature_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
 
     arrow_rows(docs.sparkSession, 256)
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`").cast("string")).mapInArrow(
-        run, f"doc_id {kind}, f array<double>")
+    src = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return src.mapInArrow(run, f"doc_id {kind}, f array<double>")
 
 
 def class_sums(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:

@@ -1,6 +1,7 @@
 """The registered queries of this folder and, where SQL can express them, their SQL."""
 
 from rollcall.llm.cws import op8_cws_fingerprints
+from rollcall.llm.forest import op10_lsh_forest_join
 from rollcall.llm.language import op4_ecoc_language
 from rollcall.llm.lm import op7_lattice_lm
 from rollcall.llm.mixing import op2_pareto_mix
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_lattice_lm": op7_lattice_lm,
     "op8_cws_fingerprints": op8_cws_fingerprints,
     "op9_nn_descent": op9_nn_descent,
+    "op10_lsh_forest_join": op10_lsh_forest_join,
 }
 
 SQL = {

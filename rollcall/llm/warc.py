@@ -76,7 +76,7 @@ def payload_digests(pages: DataFrame, payload: str = "html") -> DataFrame:
                 names=["page_id", "payload_bytes", "payload_digest"])
 
     arrow_rows(pages.sparkSession, 256)
-    return pages.select(F.col("page_id").cast("long"), _binary(payload)).mapInArrow(
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), _binary(payload).alias("payload")).mapInArrow(
         run, "page_id long, payload_bytes long, payload_digest string")
 
 
@@ -115,8 +115,8 @@ def chunk_table(pages: DataFrame, payload: str = "html", chunk_bytes: int = CHUN
                 yield flush(rows)
 
     arrow_rows(pages.sparkSession, 256)
-    src = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"),
-                       F.monotonically_increasing_id().alias("copy"), _binary(payload))
+    src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
+                       F.monotonically_increasing_id().alias("copy"), _binary(payload).alias("payload"))
     return src.mapInArrow(run, CHUNKS)
 
 
