@@ -58,10 +58,9 @@ def uniform(*cols: Column) -> Column:
 
 
 def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """At most ``rows`` rows an Arrow batch, so that a batch of long texts fits a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+    """Rows an Arrow batch from here on: few for whole texts, so that a batch fits a worker,
+    many for short rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def small(df: DataFrame) -> DataFrame:

@@ -33,6 +33,7 @@ EM_ROUNDS = 3
 PSEUDO = 0.01
 DISCOUNT = 0.75
 _FLUSH = 200_000
+SHORT_ROWS = 16384
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -70,6 +71,7 @@ def train_pieces(counts: DataFrame, n_ends: int, path: str, rounds: int = EM_ROU
     per piece of the vocabulary.
     """
     lat, logp = lattice.load(path)
+    arrow_rows(counts.sparkSession, SHORT_ROWS)
     sc = counts.sparkSession.sparkContext
     shared = sc.broadcast(lat.state)
     for _ in range(rounds):
@@ -185,7 +187,7 @@ def score(docs: DataFrame, train, path: str | None = None, text: str = "text", d
                 names=["rid", "known", "base", "lp"])
 
     rest = parts.select("rid", F.explode("tail").alias("x")).select("rid", F.col("x.w").alias("w"), F.col("x.tf").alias("tf"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8192")   # short rows from here on
+    arrow_rows(spark, SHORT_ROWS)
     rest = (rest.join(counts, rest["w"] == counts["token"], "left").select("rid", "w", "tf", "c")
             .mapInArrow(add, "rid long, known long, base double, lp double"))
     lean = parts.select("doc_id", "rid", "n_tokens", "known", "base", "lp")

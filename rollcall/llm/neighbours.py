@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import materialize, table
+from rollcall.llm.common import arrow_rows, materialize, table
 from rollcall.llm.graph import components, groups, local_roots
 
 THRESHOLD = 0.98
@@ -247,6 +247,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     a label, link with nothing. Repeated rows are vectors of their own that link with
     each other. A null vec_id is never a component's id while the component has another.
     """
+    arrow_rows(vectors.sparkSession, 2048)
     rows, space = nodes(vectors)
     count, spaces = space.agg(F.count(F.lit(1)), F.countDistinct("space")).first()
     bits = min(60, max(0, int(np.ceil(np.log2(max(count, 1) / max(spaces, 1) / WINDOW + 1)))))

@@ -168,6 +168,7 @@ def score(features: DataFrame, labelled: DataFrame) -> DataFrame:
 
     With no row of one class the score is the share of class 1, 0.5 with no rows at all.
     """
+    arrow_rows(features.sparkSession, 8192)
     labelled = materialize(labelled.select("f", F.col("y").cast("int").alias("y")), "quality-train")
     sums = class_sums(labelled)
     model = discriminant(sums)
