@@ -81,17 +81,22 @@ def depth_for(recall: float = RECALL, threshold: float = THRESHOLD, trees: int =
     return depth
 
 
-_SETS = "rid long, size long, h1 long, h2 long, sig binary, paths array<long>, shingles array<long>"
+_SETS = "rid long, size long, h1 long, h2 long, sig binary, paths array<long>"
+
+
+def _lists(xs: list[np.ndarray]) -> pa.ListArray:
+    at = np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(xs)))
 
 
 def shingle_sets(rows: DataFrame, depth: int) -> DataFrame:
-    """One row per row (rid, text): set key (null without words), signature, the path of the
-    prefix in each trie, and the set."""
+    """One row per row (rid, text): set key (null without words), signature, and the path of
+    the prefix in each trie. The sets themselves are not kept: they are larger than the text."""
     mul, add = hash_family(TREES * DEPTH)
 
     def run(batches):
         for b in batches:
-            size, h1, h2, sigs, paths, flat = [], [], [], [], [], []
+            size, h1, h2, sigs, paths = [], [], [], [], []
             for t in b.column(1).to_pylist():
                 s = shingles(t)
                 size.append(len(s))
@@ -108,17 +113,26 @@ def shingle_sets(rows: DataFrame, depth: int) -> DataFrame:
                     for c in (h1, h2, sigs):
                         c.append(None)
                     paths.append(np.zeros(0, np.int64))
-                flat.append(s.astype(np.int64))
-            lists = lambda xs: pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32)), pa.array(np.concatenate(xs)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(size, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
-                 pa.array(sigs, pa.binary()), lists(paths), lists(flat)], names=[c.split()[0] for c in _SETS.split(", ")])
+                 pa.array(sigs, pa.binary()), _lists(paths)], names=[c.split()[0] for c in _SETS.split(", ")])
 
     arrow_rows(rows.sparkSession, 256)
     return rows.mapInArrow(run, _SETS)
 
 
+def with_shingles(rows: DataFrame) -> DataFrame:
+    """(group, blocks, node, n, text) with the text's shingle set instead of the text."""
+    def run(batches):
+        for b in batches:
+            sets = [shingles(t).astype(np.int64) for t in b.column("text").to_pylist()]
+            if sets:
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], _lists(sets)], names=[*kept, "shingles"])
+
+    kept = ["group", "blocks", "node", "n"]
+    return rows.select(*kept, "text").mapInArrow(run, "group long, blocks int, node long, n long, shingles array<long>")
+
+
 class Leaders:
     """Leader clustering of streamed signatures; ``edges`` spans what is loosely alike."""
 
@@ -204,12 +218,9 @@ def loose_edges(nodes: DataFrame) -> DataFrame:
 
 
 def set_links(grouped: DataFrame, threshold: float) -> DataFrame:
-    """(node, links, root) from (group, node, n, shingles): every pair of a group compared
-    exactly, in blocks; no pair is emitted."""
-    sizes = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("size")).withColumn(
-        "blocks", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int"))
-    rows = grouped.join(sizes.select("group", "blocks"), "group").withColumn(
-        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    """(node, links, root) from (group, blocks, node, n, shingles): every pair of a group
+    compared exactly, in blocks; no pair is emitted."""
+    rows = grouped.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = rows.select("group", "node", "n", "shingles", "block",
                         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select(
         "group", F.least("block", "o").cast("long").alias("i"), F.greatest("block", "o").cast("long").alias("j"),
@@ -258,9 +269,11 @@ def classes(rows: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     copies = materialize(lean.filter("size > 0").groupBy("h1", "h2", "size").agg(
         F.min("rid").alias("node"), F.count(F.lit(1)).alias("n")), "forest-nodes")
     nodes = sets.select(F.col("rid").alias("node"), "sig", "paths").join(copies.select("node"), "node", "left_semi")
-    loose = components(loose_edges(materialize(nodes, "forest-paths")))
+    loose = components(loose_edges(nodes))
     wanted = copies.select("node", "n").join(loose.withColumnRenamed("component", "group"), "node")
-    grouped = sets.select(F.col("rid").alias("node"), "shingles").join(small(wanted), "node")
+    blocks = wanted.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    wanted = materialize(wanted.join(blocks, "group"), "forest-wanted")
+    grouped = with_shingles(rows.join(small(wanted), F.col("rid") == F.col("node")))
     part = materialize(set_links(grouped, threshold), "forest-links")
     comp = components(part.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = part.groupBy("node").agg(F.sum("links").alias("links"))
