@@ -10,6 +10,7 @@ Loads are independent: a failure in one is reported and the others still run
 from __future__ import annotations
 
 import argparse
+import datetime as dt
 import sys
 import traceback
 
@@ -18,21 +19,27 @@ from pyspark.sql import SparkSession
 from rollcall.plans import (
     latest_loaded_date, load_attendance, refresh_leave, replace_holidays, upsert_employees,
 )
+from rollcall.sinks import drop_old_versions
+from rollcall.plans.attendance import next_attendance_day
 from rollcall.plans.leave import HISTORY_START
 
 
+KEEP_VERSIONS = 3             # of each replaced table, for readers that are still at work
+
+
 def run(spark: SparkSession, landing: str, warehouse: str, first_day: str | None = None,
         history_start: str = HISTORY_START, only: list[str] | None = None,
         multi_line: bool = True, leave_window_days: int | None = None) -> dict[str, str]:
     ml = {"multi_line": multi_line}
+    # The run's day is fixed once, before anything is appended, and bounds the leave days too.
+    day = next_attendance_day(spark, warehouse, first_day)
     leave_since = None
-    if leave_window_days is not None:
-        import datetime as dt
-        leave_since = dt.date.today() - dt.timedelta(days=leave_window_days)
+    if leave_window_days is not None and day is not None:
+        leave_since = day - dt.timedelta(days=leave_window_days)
     steps = {
         "attendance": lambda: load_attendance(spark, landing, warehouse, first_day=first_day, **ml).message,
         "leave": lambda: "Leave history rebuilt (version "
-                         f"{refresh_leave(spark, landing, warehouse, start=history_start, since=leave_since, **ml)})",
+                         f"{refresh_leave(spark, landing, warehouse, start=history_start, stop=day, since=leave_since, **ml)})",
         "employee": lambda: f"Employee register updated (version {upsert_employees(spark, landing, warehouse, **ml)})",
         "holiday": lambda: f"Holidays replaced (version {replace_holidays(spark, landing, warehouse, **ml)})",
     }
@@ -45,6 +52,8 @@ def run(spark: SparkSession, landing: str, warehouse: str, first_day: str | None
         except Exception as e:  # noqa: BLE001 -- report and keep going, like independent jobs
             traceback.print_exc()
             out[name] = f"FAILED: {type(e).__name__}: {e}"
+    for name in ("leave", "leave_covered", "employee", "holiday", "attendance_marks"):
+        drop_old_versions(spark, warehouse, name, KEEP_VERSIONS)
     latest = latest_loaded_date(spark, warehouse)
     out["latest_date"] = str(latest.first()["last_date"]) if latest is not None else "none"
     return out
@@ -58,7 +67,8 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--history-start", default=HISTORY_START)
     ap.add_argument("--only", nargs="*", choices=["attendance", "leave", "employee", "holiday"])
     ap.add_argument("--leave-window-days", type=int, default=None,
-                    help="re-read only this many recent leave/tour days (older landed days are final)")
+                    help="re-read only this many leave/tour days before the run's day, or as many as are "
+                         "not covered yet (older covered days are final)")
     ap.add_argument("--json-lines", action="store_true",
                     help="landed files hold one envelope per line (splittable) instead of one per file")
     ap.add_argument("--local", action="store_true", help="run in a local session (tests, laptops)")

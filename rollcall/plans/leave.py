@@ -43,28 +43,47 @@ def leave_window(leave: DataFrame, tour: DataFrame, stored: DataFrame | None,
     return stored.filter(F.col("date") < since).unionByName(recent)
 
 
+NEXT_DAY = "next"
+_COVERED = "leave_covered"
+
+
+def covered_days(spark: SparkSession, warehouse: str) -> tuple[dt.date, dt.date] | None:
+    """First and last day the stored leave table was built from; ``None`` if unknown."""
+    got = read_table(spark, warehouse, _COVERED)
+    row = None if got is None else got.first()
+    return None if row is None or row["last"] is None else (row["first"], row["last"])
+
+
 def refresh_leave(spark: SparkSession, landing: str, warehouse: str,
-                  start: str | dt.date = HISTORY_START, stop: str | dt.date | None = None,
+                  start: str | dt.date = HISTORY_START, stop: str | dt.date | None = NEXT_DAY,
                   multi_line: bool = True, since: str | dt.date | None = None) -> int:
     """Rebuild the leave table from ``start`` through ``stop`` (default: the next
-    attendance day to load) and replace it; returns the new table version.
+    attendance day to load; ``None``: all landed days) and replace it; returns the new
+    table version. The days it was built from are recorded after it.
 
-    ``since`` (opt-in) re-reads only landed days from ``since`` on and keeps the
-    stored rows of earlier days. The result equals a full rebuild as long as the
-    earlier days' landed payloads are unchanged: the distinct key includes the day
-    and the filter is per row, so days never mix. The daily cost becomes the
-    window's JSON plus a columnar read of the stored table, not the whole history.
+    ``since`` (opt-in) re-reads only landed days from ``since`` on and keeps the stored
+    rows of earlier days. It never reaches past what is stored: with no recorded days,
+    or another ``start``, the rebuild is full, and after missed runs it goes back to the
+    first day not yet covered. The result equals a full rebuild as long as the covered
+    days before it are final: the distinct key includes the day, so days never mix.
     """
-    start_col = F.lit(start).cast("date")
-    if stop is None:
+    start = _as_day(start)
+    if stop == NEXT_DAY:
         from rollcall.plans.attendance import next_attendance_day
         stop = next_attendance_day(spark, warehouse)
+    stop = _as_day(stop)
+    covered = covered_days(spark, warehouse)
+    stored = read_table(spark, warehouse, "leave")
+    if since is not None:
+        if stored is None or covered is None or covered[0] != start:
+            since = None
+        else:
+            since = max(start, min(_as_day(since), covered[1] + dt.timedelta(days=1)))
+    first = start if since is None else since
 
     def feed(name: str, root: str, record) -> DataFrame:
-        df = read_envelope(spark, f"{landing}/{name}", root, record, dated=True, multi_line=multi_line)
-        df = df.filter(F.col(DAY_COL) >= start_col)
-        if stop is not None:
-            df = df.filter(F.col(DAY_COL) <= F.lit(stop).cast("date"))
+        df = read_envelope(spark, f"{landing}/{name}", root, record, dated=True, multi_line=multi_line,
+                           first_day=first, last_day=stop)
         return df.drop(FILE_COL, POS_COL)
 
     leave = feed("leave", schemas.ROOT_LEAVE, schemas.LEAVE)
@@ -72,6 +91,18 @@ def refresh_leave(spark: SparkSession, landing: str, warehouse: str,
     if since is None:
         out = leave_history(leave, tour)
     else:
-        since_col = F.greatest(start_col, F.lit(since).cast("date"))
-        out = leave_window(leave, tour, read_table(spark, warehouse, "leave"), since_col)
-    return replace_table(out, warehouse, "leave")
+        out = leave_window(leave, tour, stored, since)
+        if stop is not None:
+            out = out.filter(F.col("date") <= F.lit(stop))
+    last = stop
+    if last is None:                          # no bound: covered as far as anything has landed
+        days = leave.select(DAY_COL).unionByName(tour.select(DAY_COL)).agg(F.max(DAY_COL)).first()[0]
+        last = max([d for d in (days, covered[1] if covered and since else None) if d], default=None)
+    version = replace_table(out, warehouse, "leave")
+    row = spark.createDataFrame([(start, last)], "first date, last date")
+    replace_table(row, warehouse, _COVERED)
+    return version
+
+
+def _as_day(day: str | dt.date | None) -> dt.date | None:
+    return dt.date.fromisoformat(day) if isinstance(day, str) else day
