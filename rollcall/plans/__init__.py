@@ -1,9 +1,10 @@
 """The daily loads, each independent: attendance, leave/tour, employees, holidays, latest date."""
 
 from rollcall.plans.attendance import (  # noqa: F401
-    LoadStatus, device_keys, device_locations, enrich_attendance, load_attendance, next_attendance_day,
+    LoadStatus, adopt_table, device_keys, device_locations, enrich_attendance, load_attendance,
+    load_days, next_attendance_day,
 )
 from rollcall.plans.dashboard import latest_loaded_date  # noqa: F401
 from rollcall.plans.employees import merge_employees, normalise_employees, upsert_employees  # noqa: F401
 from rollcall.plans.holidays import replace_holidays  # noqa: F401
-from rollcall.plans.leave import leave_history, leave_window, refresh_leave  # noqa: F401
+from rollcall.plans.leave import covered_days, leave_history, leave_window, refresh_leave  # noqa: F401

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rollcall import schemas
 from rollcall.functions import if_else, title_case
 from rollcall.operators import distinct_keys, lookup_keys, role_join
-from rollcall.sinks import append_day, read_days
+from rollcall.sinks import append_day
 from rollcall.sinks.marks import next_day_from_marks, read_marks, refresh_marks
 from rollcall.sources import DAY_COL, FILE_COL, POS_COL, read_envelope
 
@@ -36,6 +36,8 @@ def enrich_attendance(attendance: DataFrame, devices: DataFrame, dedupe_dim: boo
     null-safe, every attendance row kept (``""`` and unknown ids get no location).
     ``salt_buckets`` splits hot device ids explicitly if the devices are not broadcast."""
     dev = device_locations(devices)
+    # "" means "no device", also where a landed device carries it as its id.
+    dev = dev.filter(F.col("device_id").isNull() | (F.col("device_id") != F.lit(NO_DEVICE)))
     return role_join(attendance, dev, ROLES, "device_id", "entry_name",
                      dedupe_dim=dedupe_dim, broadcast=broadcast, salt_buckets=salt_buckets)
 
@@ -47,20 +49,37 @@ def device_keys(attendance: DataFrame) -> DataFrame:
 
 def next_attendance_day(spark: SparkSession, warehouse: str,
                         first_day: str | dt.date | None = None) -> dt.date | None:
-    """Day after the latest stored ``log_date``: from the load marks when present,
-    else from the table itself (one scan), else ``first_day``."""
+    """Day after the latest stored ``log_date`` as the load marks have it, else ``first_day``.
+
+    Marks are written after the days they describe, so days without marks may be what a
+    crash left of a load: they are loaded again from the first day on, which replaces
+    them. A table from elsewhere is taken over by :func:`adopt_table` only.
+    """
     if isinstance(first_day, str):
         first_day = dt.date.fromisoformat(first_day)
+    marks = read_marks(spark, f"{warehouse}/attendance")
+    return first_day if marks is None else next_day_from_marks(marks, first_day)
+
+
+def adopt_table(spark: SparkSession, warehouse: str) -> None:
+    """Take an existing, complete attendance table as loaded: mark all its days (one scan)."""
+    refresh_marks(spark, f"{warehouse}/attendance", None)
+
+
+def load_days(spark: SparkSession, landing: str, warehouse: str, days: list[dt.date],
+              devices: DataFrame | None = None, dedupe_dim: bool = False, multi_line: bool = True,
+              record=schemas.ATTENDANCE, device_record=schemas.DEVICES) -> None:
+    """Load ``days`` whole from what has landed for them, replacing them, and mark them."""
+    if not days:
+        return
+    att = read_envelope(spark, f"{landing}/attendance", schemas.ROOT_ATTENDANCE, record, dated=True,
+                        multi_line=multi_line, days=days).drop(FILE_COL, POS_COL)
+    if devices is None:
+        devices = read_envelope(spark, f"{landing}/devices", schemas.ROOT_DEVICES, device_record,
+                                multi_line=multi_line).drop(FILE_COL, POS_COL)
     table = f"{warehouse}/attendance"
-    marks = read_marks(spark, table)
-    if marks is None and read_days(spark, table) is not None:
-        # A table written without marks: mark every day once (one full scan), so
-        # later runs, which only re-mark the days they write, stay exact.
-        refresh_marks(spark, table, None)
-        marks = read_marks(spark, table)
-    if marks is not None:
-        return next_day_from_marks(marks, first_day)
-    return first_day
+    append_day(enrich_attendance(att, devices, dedupe_dim=dedupe_dim), table)
+    refresh_marks(spark, table, days=days)
 
 
 @dataclass
@@ -76,8 +95,8 @@ def load_attendance(spark: SparkSession, landing: str, warehouse: str,
                     record=schemas.ATTENDANCE, device_record=schemas.DEVICES) -> LoadStatus:
     """Append every landed attendance day from the day after the stored ``log_date``.
 
-    Only one scalar (the next day) reaches the driver; it becomes a literal filter on
-    the ``reportdate`` partition column, so older landed days are pruned unread.
+    Only one scalar (the next day) reaches the driver; the day folders before it are
+    neither listed nor read.
     The next day comes from the per-day load marks (see ``rollcall.sinks.marks``),
     so a daily run costs the new days, not the table's history.
     ``restrict_devices`` first semi-joins the device table with the ids in use
@@ -87,9 +106,7 @@ def load_attendance(spark: SparkSession, landing: str, warehouse: str,
     start = next_attendance_day(spark, warehouse, first_day)
 
     att = read_envelope(spark, f"{landing}/attendance", schemas.ROOT_ATTENDANCE, record, dated=True,
-                        multi_line=multi_line)
-    if start is not None:
-        att = att.filter(F.col(DAY_COL) >= F.lit(start))
+                        multi_line=multi_line, first_day=start)
     att = att.drop(FILE_COL, POS_COL)
     if att.isEmpty():          # scans partitions incrementally, stops at the first row
         return LoadStatus(False, start, "No New Attendance Data")

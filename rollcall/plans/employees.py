@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall import schemas
@@ -27,18 +27,25 @@ def normalise_employees(feed: DataFrame) -> DataFrame:
     return cleaned.withColumn("cat", category("designation"))
 
 
+def _page_order(file_col: str) -> list[Column]:
+    number = F.regexp_extract(F.col(file_col).cast("string"), r"([0-9]{1,18})(?:\.[A-Za-z.]*)?$", 1).try_cast("long")
+    return [F.coalesce(number, F.lit((1 << 63) - 1)).alias("page"), F.col(file_col).cast("string").alias(file_col)]
+
+
 def merge_employees(new: DataFrame, old: DataFrame | None, key: str = "emp_id",
                     order: tuple[str, ...] = (FILE_COL, POS_COL)) -> DataFrame:
     """Type-1 upsert: new rows first, first row per key kept, whole-row replacement.
 
-    New rows are ordered by payload file and position; stored rows come after all
+    New rows are ordered by page number (the last number in the payload's file name, as
+    the landing contract has it; files without one come last, by path) and position;
+    stored rows come after all
     new ones (the store keeps no order, so ties among them break on a hash of the
     row). A missing key is one key. Stored rows without a new row stay untouched.
     """
     tagged_new = new.select(
         "*", F.lit(0).alias("__src"),
-        F.struct(*[F.col(c).cast("string") if c == FILE_COL else F.col(c).cast("long")
-                   for c in order]).alias("__ord"),
+        F.struct(*[k for c in order for k in (_page_order(c) if c == FILE_COL else [F.col(c).cast("long").alias(c)])]
+                 ).alias("__ord"),
         F.lit(None).cast("long").alias("__tie")).drop(*order)
     frames = [tagged_new]
     if old is not None:

@@ -472,13 +472,13 @@ def _stream_landing(spark, sf_dir, landing: str) -> tuple[DataFrame, DataFrame]:
 
 def attendance_stream_q(spark, sf_dir):
     """Stream the landed days twice (the second run must add nothing); read back."""
-    from rollcall.streaming import attendance_stream, run_attendance_stream
+    from rollcall.streaming import run_attendance_stream
     root = scratch_path(spark, "attendance_stream")
-    landing, table, ckpt = f"{root}/landing", f"{root}/attendance", f"{root}/_checkpoint"
+    landing, ckpt = f"{root}/landing", f"{root}/_checkpoint"
     _, dev = _stream_landing(spark, sf_dir, landing)
     for _ in range(2):
-        run_attendance_stream(attendance_stream(spark, landing, devices=dev, multi_line=False), table, ckpt)
-    return spark.read.parquet(table).select("emp_id", "log_date", "in_device_id", "out_device_id",
+        run_attendance_stream(spark, landing, root, ckpt, devices=dev, multi_line=False)
+    return read_days(spark, f"{root}/attendance").select("emp_id", "log_date", "in_device_id", "out_device_id",
                                             "in_location", "out_location", "reportdate")
 
 

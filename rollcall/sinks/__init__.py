@@ -1,7 +1,7 @@
 """Sinks: idempotent day append and versioned replace."""
 
 from rollcall.sinks.tables import (  # noqa: F401
-    append_day, current_version, read_days, read_table, replace_table, replace_versioned,
+    append_day, current_version, drop_old_versions, read_days, read_table, replace_table, replace_versioned,
 )
 from rollcall.sinks.marks import (  # noqa: F401,E402
     day_marks, latest_from_marks, next_day_from_marks, read_marks, refresh_marks,

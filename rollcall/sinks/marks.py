@@ -33,19 +33,25 @@ def day_marks(days: DataFrame, col: str = "log_date", day_col: str = "reportdate
         F.count(F.lit(1)).alias("rows"))
 
 
-def refresh_marks(spark: SparkSession, table_path: str, since: dt.date | None,
-                  col: str = "log_date", day_col: str = "reportdate") -> None:
-    """Recompute the marks of every day ``>= since`` (all days if ``None``)."""
+def refresh_marks(spark: SparkSession, table_path: str, since: dt.date | None = None,
+                  col: str = "log_date", day_col: str = "reportdate",
+                  days: list[dt.date] | None = None) -> None:
+    """Recompute the marks of every day ``>= since``, or of ``days`` alone (all days if
+    neither is given); the other marks stay."""
     table = read_days(spark, table_path)
     if table is None:
         return
-    fresh = table if since is None else table.filter(F.col(day_col) >= F.lit(since))
-    fresh = day_marks(fresh, col, day_col)
+    again = F.lit(True)
+    if days is not None:
+        again = F.col(day_col).isin(days)
+    elif since is not None:
+        again = F.col(day_col) >= F.lit(since)
+    fresh = day_marks(table.filter(again), col, day_col)
     root, name = _root_and_name(table_path)
     old = read_table(spark, root, name)
-    if old is not None and since is not None:
-        fresh = old.filter(F.col(day_col) < F.lit(since)).unionByName(fresh)
-    replace_table(fresh.coalesce(1), root, name)
+    if old is not None and (since is not None or days is not None):
+        fresh = old.filter(~F.coalesce(again, F.lit(False))).unionByName(fresh)
+    replace_table(fresh, root, name)
 
 
 def read_marks(spark: SparkSession, table_path: str) -> DataFrame | None:

@@ -1,8 +1,9 @@
-"""Table writes that are safe to repeat and never leave a half-written table visible.
+"""Table writes that are safe to repeat.
 
 * ``append_day``: day-partitioned Parquet with dynamic partition overwrite. A first
   run appends the day, a re-run of the same day replaces exactly that day, and an
-  empty day touches nothing.
+  empty day touches nothing. Days are committed one folder after another, so a crash can
+  leave some of them: the marks written afterwards say which are loaded.
 * ``replace_table``: each replace writes a new version folder, then appends one
   commit row naming it. Readers take the newest committed version, so a failed or
   lost write leaves the previous version current, and a table may be rebuilt from
@@ -79,11 +80,30 @@ def read_table(spark: SparkSession, root: str, table: str,
     return spark.read.parquet(_version_dir(root, table, v))
 
 
+def drop_old_versions(spark: SparkSession, root: str, table: str, keep: int) -> list[int]:
+    """Delete the folders of all but the newest ``keep`` committed versions; returns which.
+    The commit rows stay: they are the table's history."""
+    if keep < 1:
+        raise ValueError("the current version must stay")
+    newest = current_version(spark, root, table)
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(_table_dir(root, table))
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = []
+    for status in (fs.listStatus(top) if newest is not None and fs.exists(top) else ()):
+        name = status.getPath().getName()
+        if name[:1] == "v" and name[1:].isdigit() and int(name[1:]) <= newest - keep:
+            fs.delete(status.getPath(), True)
+            gone.append(int(name[1:]))
+    return sorted(gone)
+
+
 def replace_table(df: DataFrame, root: str, table: str) -> int:
     """Write ``df`` as the table's next version and commit it; returns the version.
 
     The data is fully written (job commit) before the one-row commit record is
-    appended, so readers switch in one step. Old versions stay on disk as history.
+    appended, so readers switch in one step. Old versions stay on disk until
+    :func:`drop_old_versions` removes them (the daily run keeps a few).
     One writer per table is assumed.
     """
     spark = df.sparkSession

@@ -1,3 +1,3 @@
 """Structured Streaming form of the attendance load."""
 
-from rollcall.streaming.attendance import attendance_stream, run_attendance_stream  # noqa: F401
+from rollcall.streaming.attendance import landed_days, run_attendance_stream  # noqa: F401

@@ -1,11 +1,11 @@
-"""The attendance load as a file stream: each run picks up only files not seen before.
-
-``trigger(availableNow=True)`` processes everything landed since the last run and
-stops, so the daily job keeps its batch shape while the stream checkpoint (not a
-high-water mark) remembers which files were loaded: a re-run adds nothing, and a
-late file for an old day is still loaded. The Parquet file sink commits each
-micro-batch through its own log, so a batch replayed after a lost executor or
-driver is not written twice. Devices are a static table joined to each batch.
+"""The attendance load as a file stream: files that landed decide which days are rebuilt.
+
+The stream only finds days. Each micro-batch takes the days of its new files and loads
+those days whole, with the batch load's own steps: read the day folders, enrich, replace
+the days, mark them. So batch and stream write one table in one way, a late or corrected
+page of an old day appears, and a batch that runs twice after a crash gives the same
+table. ``trigger(availableNow=True)`` processes what has landed since the last run and
+stops; the checkpoint remembers the files.
 """
 
 from __future__ import annotations
@@ -15,76 +15,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rollcall import schemas
-from rollcall.plans.attendance import enrich_attendance
-from rollcall.sinks.marks import read_marks, refresh_marks
-from rollcall.sources import DAY_COL, POS_COL, envelope_schema, explode_root, read_envelope
+from rollcall.plans.attendance import load_days
+from rollcall.sources import DAY_COL
+
+# Files are found by name, however old they are: the default forgets them after a week.
+_ANY_AGE = "36500d"
 
 
-def attendance_stream(spark: SparkSession, landing: str, devices: DataFrame | None = None,
-                      multi_line: bool = True, record=schemas.ATTENDANCE,
-                      device_record=schemas.DEVICES, dedupe_dim: bool = False,
-                      max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming frame of enriched attendance rows from ``<landing>/attendance``."""
-    reader = (spark.readStream.schema(envelope_schema(schemas.ROOT_ATTENDANCE, record, dated=True))
-              .option("multiLine", str(multi_line).lower()).option("mode", "FAILFAST"))
+def landed_days(spark: SparkSession, landing: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming frame with one row per new file: the day of its folder."""
+    reader = (spark.readStream.schema(f"value string, {DAY_COL} date").option("maxFileAge", _ANY_AGE))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    raw = reader.json(f"{landing}/attendance")
-    rows = explode_root(raw, schemas.ROOT_ATTENDANCE, record, [DAY_COL]).drop(POS_COL)
-    # Per micro-batch: the earliest day touched, so marks are refreshed from there only.
-    rows = rows.observe(OBSERVED, F.min(DAY_COL).alias("min_day"), F.count(F.lit(1)).alias("rows"))
-    if devices is None:
-        devices = read_envelope(spark, f"{landing}/devices", schemas.ROOT_DEVICES, device_record,
-                                multi_line=multi_line)
-        devices = devices.drop("_file", POS_COL)
-    return enrich_attendance(rows, devices, dedupe_dim=dedupe_dim)
-
-
-OBSERVED = "attendance_days"
-
-
-def _earliest_day(q: StreamingQuery, spark: SparkSession):
-    """Earliest day any batch of this run wrote; ``None`` = unknown (re-mark all)."""
-    progress = q.recentProgress
-    cap = int(spark.conf.get("spark.sql.streaming.numRecentProgressUpdates", "100"))
-    if len(progress) >= cap:
-        return None                          # older batches fell out of the history
-    days = []
-    for p in progress:
-        m = (p.observedMetrics or {}).get(OBSERVED)
-        if m is not None and m["rows"] and m["min_day"] is not None:
-            days.append(m["min_day"])
-    return min(days) if days else False      # False: nothing new was written
-
-
-def run_attendance_stream(stream: DataFrame, table_path: str, checkpoint: str,
-                          marks: bool = True) -> StreamingQuery:
-    """Write ``stream`` to a day-partitioned Parquet table; run until caught up.
-
-    With ``marks``, the per-day load marks of the days this run touched are
-    refreshed afterwards (the same marks the batch load keeps), so the next day
-    and the latest date never scan the table's history. A table without marks, or
-    a run that fails, gets every day re-marked. After a driver crash mid-run, call
-    ``refresh_marks(spark, table_path, None)`` once.
-    """
-    q = (stream.writeStream.format("parquet")
-         .partitionBy(DAY_COL)
-         .option("path", table_path)
-         .option("checkpointLocation", checkpoint)
-         .outputMode("append")
-         .trigger(availableNow=True)
-         .start())
-    spark = stream.sparkSession
-    try:
-        q.awaitTermination()
-    except Exception:
-        # Batches committed before the failure are not in a later run's progress:
-        # re-mark every day now so the marks never miss them.
-        if marks:
-            refresh_marks(spark, table_path, None)
-        raise
-    if marks:
-        since = None if read_marks(spark, table_path) is None else _earliest_day(q, spark)
-        if since is not False:
-            refresh_marks(spark, table_path, since)
+    return reader.text(f"{landing}/attendance", wholetext=True).select(DAY_COL)
+
+
+def run_attendance_stream(spark: SparkSession, landing: str, warehouse: str, checkpoint: str,
+                          devices: DataFrame | None = None, multi_line: bool = True,
+                          record=schemas.ATTENDANCE, device_record=schemas.DEVICES, dedupe_dim: bool = False,
+                          max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """Rebuild every day that has new files, until caught up. ``devices`` (default: the
+    landed ones, read anew for each batch) must be a batch frame."""
+    def rebuild(batch: DataFrame, _: int) -> None:
+        days = [r[0] for r in batch.select(DAY_COL).distinct().collect()]      # one row a day
+        load_days(batch.sparkSession, landing, warehouse, [d for d in days if d is not None], devices=devices,
+                  multi_line=multi_line, record=record, device_record=device_record, dedupe_dim=dedupe_dim)
+
+    q = (landed_days(spark, landing, max_files_per_trigger).writeStream.foreachBatch(rebuild)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
     return q

@@ -187,14 +187,17 @@ def test_holiday_replace(spark, landing, warehouse):
     assert "_file" not in out.columns
 
 
-def test_table_without_marks_is_marked_once(spark, landing, warehouse):
-    from rollcall.plans import next_attendance_day
+def test_table_without_marks_is_loaded_again_unless_adopted(spark, landing, warehouse):
+    from rollcall.plans import adopt_table, next_attendance_day
     from rollcall.sinks import append_day, read_marks
     old = spark.createDataFrame([("x", "2024-01-09", "g1", "g1", dt.date(2024, 1, 2))],
                                 "emp_id string, log_date string, in_device_id string, "
                                 "out_device_id string, reportdate date")
-    append_day(old, f"{warehouse}/attendance")                    # written before marks existed
+    append_day(old, f"{warehouse}/attendance")                    # days without a record of their load
     assert read_marks(spark, f"{warehouse}/attendance") is None
+    assert next_attendance_day(spark, warehouse) is None
+    assert next_attendance_day(spark, warehouse, "2024-01-01") == dt.date(2024, 1, 1)
+    adopt_table(spark, warehouse)
     assert next_attendance_day(spark, warehouse) == dt.date(2024, 1, 10)
     assert read_marks(spark, f"{warehouse}/attendance").count() == 1
 

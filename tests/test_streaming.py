@@ -1,72 +1,77 @@
-from rollcall.streaming import attendance_stream, run_attendance_stream
+import datetime as dt
+import os
+import time
+
+import pytest
+
+from rollcall.plans import latest_loaded_date, load_attendance
+from rollcall.sinks import current_version, read_days, read_marks
+from rollcall.streaming import run_attendance_stream
 from tests.conftest import land
 from tests.test_plans import DEVICES, _att
 
 
-def test_stream_loads_new_files_once(spark, landing, tmp_path):
-    land(landing, "devices", "detailsbydeviceid", DEVICES)
-    land(landing, "attendance", "successattendance", [_att("a", "g1", "e1"), _att("b", "", None)],
-         day="2024-01-05")
-    table, ckpt = str(tmp_path / "att"), str(tmp_path / "ckpt")
-    run_attendance_stream(attendance_stream(spark, str(landing)), table, ckpt)
-    run_attendance_stream(attendance_stream(spark, str(landing)), table, ckpt)      # nothing new
-    assert spark.read.parquet(table).count() == 2
-    land(landing, "attendance", "successattendance", [_att("c", "g1", "g1", "2024-01-05")],
-         day="2024-01-05", name="page-1.json")                                     # late page, old day
-    run_attendance_stream(attendance_stream(spark, str(landing)), table, ckpt)
-    got = sorted((r["emp_id"], r["in_location"], r["out_location"])
-                 for r in spark.read.parquet(table).collect())
-    assert got == [("a", "Gate A-wing", "Ent/Eye (Old)"), ("b", None, None), ("c", "Gate A-wing", "Gate A-wing")]
+def _day(landing, day, *emps, page="page-0.json", dev="g1"):
+    land(landing, "attendance", "successattendance", [_att(e, dev, "e1", day) for e in emps], day=day, name=page)
+
 
+def _stored(spark, warehouse):
+    return sorted(r["emp_id"] for r in read_days(spark, f"{warehouse}/attendance").collect())
 
-def test_stream_keeps_load_marks(spark, landing, tmp_path):
-    import datetime as dt
 
-    from rollcall.plans import latest_loaded_date
-    from rollcall.sinks import read_marks
+def test_batch_stream_batch_on_one_table(spark, landing, warehouse, tmp_path):
+    ckpt = str(tmp_path / "ckpt")
     land(landing, "devices", "detailsbydeviceid", DEVICES)
-    land(landing, "attendance", "successattendance", [_att("a", "g1", "e1", "2024-01-05")], day="2024-01-05")
-    table, ckpt = str(tmp_path / "attendance"), str(tmp_path / "ckpt")
-    run_attendance_stream(attendance_stream(spark, str(landing)), table, ckpt)
-    assert latest_loaded_date(spark, str(tmp_path)).first()["last_date"] == dt.date(2024, 1, 5)
-    land(landing, "attendance", "successattendance", [_att("b", "g1", "e1", "2024-01-07")], day="2024-01-07")
-    run_attendance_stream(attendance_stream(spark, str(landing)), table, ckpt)
-    marks = {r["reportdate"]: r["rows"] for r in read_marks(spark, table).collect()}
-    assert marks == {dt.date(2024, 1, 5): 1, dt.date(2024, 1, 7): 1}
-    assert latest_loaded_date(spark, str(tmp_path)).first()["last_date"] == dt.date(2024, 1, 7)
-    from rollcall.sinks import current_version
-    before = current_version(spark, str(tmp_path), "attendance_marks")
-    run_attendance_stream(attendance_stream(spark, str(landing)), table, ckpt)   # nothing new
-    assert current_version(spark, str(tmp_path), "attendance_marks") == before   # marks untouched
+    _day(landing, "2024-01-05", "a")
+    load_attendance(spark, str(landing), warehouse)
+    _day(landing, "2024-01-06", "b")
+    run_attendance_stream(spark, str(landing), warehouse, ckpt)
+    _day(landing, "2024-01-07", "c")
+    load_attendance(spark, str(landing), warehouse)
+    assert _stored(spark, warehouse) == ["a", "b", "c"]
+    run_attendance_stream(spark, str(landing), warehouse, ckpt)
+    assert _stored(spark, warehouse) == ["a", "b", "c"]
+    before = current_version(spark, warehouse, "attendance_marks")
+    run_attendance_stream(spark, str(landing), warehouse, ckpt)             # nothing new
+    assert current_version(spark, warehouse, "attendance_marks") == before
 
 
-def test_failed_stream_run_still_marks_committed_days(spark, landing, tmp_path):
-    import datetime as dt
-    import os
-    import time
+def test_late_old_and_corrected_pages_appear(spark, landing, warehouse, tmp_path):
+    ckpt = str(tmp_path / "ckpt")
+    land(landing, "devices", "detailsbydeviceid", DEVICES)
+    _day(landing, "2024-01-05", "a")
+    _day(landing, "2024-01-07", "z")
+    run_attendance_stream(spark, str(landing), warehouse, ckpt)
+    _day(landing, "2024-01-05", "b", page="page-1.json")
+    folder = os.path.join(str(landing), "attendance", "reportdate=2024-01-05")
+    old = time.time() - 30 * 86400
+    os.utime(os.path.join(folder, "page-1.json"), (old, old))               # landed now, dated long ago
+    run_attendance_stream(spark, str(landing), warehouse, ckpt)
+    assert _stored(spark, warehouse) == ["a", "b", "z"]
+    os.unlink(os.path.join(folder, "page-0.json"))
+    _day(landing, "2024-01-05", "c", page="page-2.json")                    # page 0 withdrawn, page 2 new
+    run_attendance_stream(spark, str(landing), warehouse, ckpt)
+    assert _stored(spark, warehouse) == ["b", "c", "z"]
+    marks = {r["reportdate"]: r["rows"] for r in read_marks(spark, f"{warehouse}/attendance").collect()}
+    assert marks == {dt.date(2024, 1, 5): 2, dt.date(2024, 1, 7): 1}
+    assert latest_loaded_date(spark, warehouse).first()["last_date"] == dt.date(2024, 1, 7)
 
-    import pytest
 
-    from rollcall.sinks import read_marks
+def test_failed_stream_run_keeps_the_days_it_finished(spark, landing, warehouse, tmp_path):
     land(landing, "devices", "detailsbydeviceid", DEVICES)
-    land(landing, "attendance", "successattendance", [_att("a", "g1", "e1", "2024-01-05")], day="2024-01-05")
+    _day(landing, "2024-01-05", "a")
     bad = land(landing, "attendance", None, None, day="2024-01-06", raw='{"successattendance": [ {')
     later = time.time() + 5
-    os.utime(os.path.join(bad, "page-0.json"), (later, later))      # processed after the good page
-    table, ckpt = str(tmp_path / "attendance"), str(tmp_path / "ckpt")
+    os.utime(os.path.join(bad, "page-0.json"), (later, later))              # processed after the good page
     with pytest.raises(Exception):
-        run_attendance_stream(attendance_stream(spark, str(landing), max_files_per_trigger=1), table, ckpt)
-    marks = {r["reportdate"]: r["rows"] for r in read_marks(spark, table).collect()}
-    assert marks == {dt.date(2024, 1, 5): 1}
-
+        run_attendance_stream(spark, str(landing), warehouse, str(tmp_path / "ckpt"), max_files_per_trigger=1)
+    marks = {r["reportdate"]: r["rows"] for r in read_marks(spark, f"{warehouse}/attendance").collect()}
+    assert marks == {dt.date(2024, 1, 5): 1} and _stored(spark, warehouse) == ["a"]
 
-def test_salting_a_stream_is_refused(spark, landing):
-    import pytest
 
+def test_salting_a_stream_is_refused(spark):
     from rollcall.operators import role_join
-    land(landing, "devices", "detailsbydeviceid", DEVICES)
-    land(landing, "attendance", "successattendance", [_att("a", "g1", "e1")], day="2024-01-05")
-    stream = attendance_stream(spark, str(landing))
+    stream = spark.readStream.format("rate").load().selectExpr("cast(value as string) as in_device_id")
     dev = spark.createDataFrame([("g1", "Gate")], "device_id string, loc string")
     with pytest.raises(ValueError):
         role_join(stream, dev, {"in_device_id": "x"}, "device_id", "loc", broadcast=False, salt_buckets=4)
