@@ -59,19 +59,19 @@ def maybe_broadcast(df: DataFrame, max_bytes: int | None = None, check: bool = T
     return df
 
 
-def hot_keys(fact: DataFrame, key: str, share: float = 0.01) -> DataFrame:
+def hot_keys(fact: DataFrame, key: str, share: float = 0.01, total: int | None = None) -> DataFrame:
     """Keys (the missing key included) holding more than ``share`` of ``fact``'s rows.
 
-    One pass over the key column with map-side partial counts. The counts are
-    materialised with ``checkpoint()`` (reliable, in the shared checkpoint folder),
-    so the joins that use the result read a small table instead of re-planning the
-    fact. At most ``1/share`` keys can qualify: a proven bound, so it is broadcast.
+    One pass over the key column with map-side partial counts, against the row count
+    ``total`` (counted here if not given). Only the hot keys are materialised, with
+    ``checkpoint()`` (reliable, in the shared checkpoint folder), so the joins that use
+    them do not plan the fact again. At most ``1/share`` keys can qualify: a proven
+    bound, so the result is broadcast.
     """
     from rollcall.session import shared_dir
     shared_dir(fact.sparkSession)                       # checkpoint() needs the folder set
-    counts = (fact.groupBy(F.col(key).alias("__hot_key"))
-                  .agg(F.count(F.lit(1)).alias("__n")).checkpoint())
-    n = counts.agg(F.sum("__n")).first()[0] or 0        # one number to the driver
+    n = fact.count() if total is None else total
+    counts = fact.groupBy(F.col(key).alias("__hot_key")).agg(F.count(F.lit(1)).alias("__n"))
     return counts.filter(F.col("__n") > F.lit(share * n)).select("__hot_key").checkpoint()
 
 
@@ -103,7 +103,7 @@ def left_join_null_safe(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key:
             hot = hot_keys(fact, fact_key, hot_share)
         return _salted_left_join(fact, d, fact_key, tmp, salt_buckets, hot)
     cond = fact[fact_key].eqNullSafe(d[tmp])
-    return fact.join(d, cond, "left").drop(tmp)
+    return fact.join(d.hint("merge"), cond, "left").drop(tmp)
 
 
 def _salted_left_join(fact: DataFrame, d: DataFrame, fact_key: str, tmp: str,
@@ -120,7 +120,7 @@ def _salted_left_join(fact: DataFrame, d: DataFrame, fact_key: str, tmp: str,
            .withColumn("__dsalt", F.explode(copies))
            .drop("__hot_key", "__hot"))
     cond = f[fact_key].eqNullSafe(dd[tmp]) & (f["__salt"] == dd["__dsalt"])
-    return f.join(dd, cond, "left").drop(tmp, "__salt", "__dsalt")
+    return f.join(dd.hint("merge"), cond, "left").drop(tmp, "__salt", "__dsalt")
 
 
 def role_join(fact: DataFrame, dim: DataFrame, roles: Mapping[str, str], dim_key: str,
@@ -145,7 +145,8 @@ def role_join(fact: DataFrame, dim: DataFrame, roles: Mapping[str, str], dim_key
                          "which a stream cannot do; broadcast the dimension instead")
     # Hot keys of every role come from the original fact, not from the previous
     # role's join output (which would re-plan the whole fact once more per role).
-    hot = {k: hot_keys(fact, k, hot_share) for k in roles} if salting else {}
+    total = fact.count() if salting else 0
+    hot = {k: hot_keys(fact, k, hot_share, total) for k in roles} if salting else {}
     out = fact
     for fact_key, out_name in roles.items():
         out = left_join_null_safe(out, d, fact_key, "__dim_key", broadcast=broadcast,

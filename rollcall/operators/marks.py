@@ -55,5 +55,6 @@ def date_spine(bounds: DataFrame | SparkSession, start: Column | str | dt.date,
 
 
 def has_rows(df: DataFrame, name: str = "has_rows") -> DataFrame:
-    """One row, one boolean: does ``df`` have any row? Stops at the first row found."""
-    return df.limit(1).agg((F.count(F.lit(1)) > 0).alias(name))
+    """One row, one boolean: does ``df`` have any row? Runs when called: ``isEmpty`` reads
+    one partition, then more only while none had a row."""
+    return df.sparkSession.range(1).select(F.lit(not df.isEmpty()).alias(name))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -43,14 +45,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
     return spark
 
 
-_CONNECT_FALLBACK: str | None = None
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, taken from ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) is a private folder created and
-    registered as the checkpoint dir, so later calls agree on it.
+    Only a local session without one (tests) gets a private folder, registered as the
+    checkpoint dir so that later calls agree on it and removed when Python ends; on a
+    cluster, where each machine would have its own, a missing setting is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -58,16 +59,17 @@ def shared_dir(spark: SparkSession) -> str:
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 -- Spark Connect sessions expose no context
-        global _CONNECT_FALLBACK
-        if _CONNECT_FALLBACK is None:
-            _CONNECT_FALLBACK = tempfile.mkdtemp(prefix="rollcall-ckpt-")
-        return _CONNECT_FALLBACK
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share") from None
     current = sc.getCheckpointDir()
     if current:
         return current.rstrip("/")
     # spark.checkpoint.dir cannot be changed on a running session; registering the
     # folder on the context is enough for later calls (and for checkpoint()).
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="rollcall-ckpt-"))
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    own = tempfile.mkdtemp(prefix="rollcall-ckpt-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    sc.setCheckpointDir(own)
     return sc.getCheckpointDir().rstrip("/")
 
 

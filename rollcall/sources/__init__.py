@@ -2,6 +2,7 @@
 
 from rollcall.operators.joins import lookup_keys  # noqa: F401  (keyed scan = semi join)
 from rollcall.sources.envelope import (  # noqa: F401
-    DAY_COL, FILE_COL, POS_COL, envelope_schema, explode_envelope, explode_root, json_field, read_envelope,
+    DAY_COL, FILE_COL, POS_COL, day_folders, envelope_schema, explode_envelope, explode_records, explode_root,
+    json_field, read_envelope, read_records,
 )
 from rollcall.sources.manifest import not_landed, request_manifest  # noqa: F401
