@@ -93,7 +93,7 @@ SQL: dict[str, str] = {
     "union_by_name": """
         SELECT event_id, user_id, event_type, CAST(NULL AS DOUBLE) AS value FROM events WHERE event_type = 'click'
         UNION ALL
-        SELECT event_id, user_id, event_type, value FROM events WHERE event_type = 'view'""",
+        SELECT event_id, user_id, event_type, value FROM events WHERE event_type <> 'click'""",
     "leave_tour_refresh": f"""
         WITH base AS ({_LEAVE_BASE}),
              feeds AS (
@@ -101,7 +101,7 @@ SQL: dict[str, str] = {
                FROM base WHERE event_type = 'click'
                UNION ALL
                SELECT reportdate, active_status, emp_id, NULL, reason, created_by, creation_date
-               FROM base WHERE event_type = 'view')
+               FROM base WHERE event_type <> 'click')
         SELECT DISTINCT reportdate AS date, emp_id, leave_type, reason, created_by, creation_date
         FROM feeds WHERE active_status = 'Y'""",
     "title_case":
@@ -123,12 +123,13 @@ SQL: dict[str, str] = {
         "SELECT DISTINCT strftime(o_orderdate, '%d %b %Y') AS d FROM orders",
     "emp_upsert": """
         WITH u AS (
-            SELECT o_custkey AS c_custkey, o_orderpriority AS seg, 0 AS src, o_orderkey AS ord
-            FROM orders WHERE o_orderstatus = 'F'
+            SELECT o_custkey AS c_custkey, o_orderpriority AS seg, 0 AS src,
+                   CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 10 END AS page, o_orderkey AS ord
+            FROM orders
             UNION ALL
-            SELECT c_custkey, c_mktsegment, 1, 0 FROM customer)
+            SELECT c_custkey, c_mktsegment, 1, 0, 0 FROM customer)
         SELECT c_custkey, seg, src FROM (
-            SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY src, ord) AS rn FROM u) r
+            SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY src, page, ord) AS rn FROM u) r
         WHERE rn = 1""",
     "append_day":
         "SELECT event_id, event_type, CAST(ts AS DATE) AS reportdate FROM events",
@@ -203,4 +204,14 @@ SQL["envelope_landing_scan"] = """
     SELECT event_id, event_type, CAST(ts AS DATE) AS reportdate,
            CAST(row_number() OVER (PARTITION BY CAST(ts AS DATE), event_id // 1000
                                     ORDER BY event_id) - 1 AS INTEGER) AS _pos
-    FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-01'"""
+    FROM events"""
+# The public loads, run from landed envelopes to stored tables, give the transforms' rows.
+SQL["attendance_mixed"] = SQL["attendance_stream"]
+SQL["leave_gap_refresh"] = SQL["leave_tour_refresh"]
+SQL["employee_landing"] = SQL["employee_normalise"]
+SQL["holiday_landing"] = "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation"
+SQL["daily_run"] = f"""
+    SELECT 'attendance' AS table_name, count(*) AS rows FROM events
+    UNION ALL SELECT 'leave', count(*) FROM ({SQL["leave_tour_refresh"]}) l
+    UNION ALL SELECT 'employee', count(*) FROM customer WHERE c_acctbal >= 0
+    UNION ALL SELECT 'holiday', count(*) FROM nation"""

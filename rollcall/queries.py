@@ -93,8 +93,8 @@ def envelope_explode(spark, sf_dir):
 
 def envelope_landing_scan(spark, sf_dir):
     """The same envelopes written as a dated landing zone (one envelope per line,
-    reportdate= folders) and read back by the landing reader, days from the
-    first landed one on (a partition filter)."""
+    reportdate= folders) and read back by the landing reader, from the first landed
+    day on."""
     from rollcall.sources import read_envelope
     ev = _t(spark, sf_dir, "events")
     pages = ev.groupBy(F.col("ts").cast("date").alias("reportdate"),
@@ -103,8 +103,11 @@ def envelope_landing_scan(spark, sf_dir):
     env = pages.agg(F.to_json(F.struct(recs.alias("successattendance"))).alias("value"))
     landing = f"{scratch_path(spark, 'envelope_landing')}/attendance"
     env.select("value", "reportdate").write.partitionBy("reportdate").text(landing)
-    rows = read_envelope(spark, landing, "successattendance", _ENVELOPE_RECORD, dated=True, multi_line=False)
-    rows = rows.filter(F.col("reportdate") >= F.lit(SPINE_START).cast("date"))
+    first = ev.agg(F.min(F.col("ts").cast("date"))).first()[0]
+    rows = read_envelope(spark, landing, "successattendance", _ENVELOPE_RECORD, dated=True, multi_line=False,
+                         first_day=first)
+    if first is not None:
+        rows = rows.filter(F.col("reportdate") >= F.lit(first))
     return rows.select("event_id", "event_type", "reportdate", "_pos")
 
 
@@ -232,8 +235,8 @@ def distinct_rows(spark, sf_dir):
 def union_by_name(spark, sf_dir):
     ev = _t(spark, sf_dir, "events")
     clicks = ev.filter(F.col("event_type") == "click").select("event_id", "user_id", "event_type")
-    views = ev.filter(F.col("event_type") == "view").select("value", "event_type", "event_id", "user_id")
-    return bind_by_name(clicks, views)
+    others = ev.filter(F.col("event_type") != "click").select("value", "event_type", "event_id", "user_id")
+    return bind_by_name(clicks, others)
 
 
 # -- scalars (C1 C2 C3 C4 C10) ---------------------------------------------------
@@ -280,7 +283,7 @@ def _leave_feeds(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     }
     leave = (ev.filter(F.col("event_type") == "click")
                .withColumns({**common, "leave_type": F.when(F.col("value") >= 25, "EL").otherwise("CL")}))
-    tour = ev.filter(F.col("event_type") == "view").withColumns(common)   # no leave_type
+    tour = ev.filter(F.col("event_type") != "click").withColumns(common)   # no leave_type
     keep_l = list(common) + ["leave_type"]
     return leave.select(*keep_l), tour.select(*list(common))
 
@@ -306,15 +309,17 @@ def leave_tour_refresh_window(spark, sf_dir):
 
 
 def emp_upsert(spark, sf_dir):
-    """Stored register = customers; the feed = completed orders (one row per order,
-    first order per customer wins); the register is rebuilt from itself."""
+    """Stored register = customers; the feed = orders in two pages, completed ones on page 2
+    and the others on page 10 (one row per order, first order per customer wins); the
+    register is rebuilt from itself."""
     root = scratch_path(spark, "emp_upsert")
     c = _t(spark, sf_dir, "customer")
     replace_versioned(c.select("c_custkey", F.col("c_mktsegment").alias("seg"), F.lit(1).alias("src")),
                       root, "emp")
-    o = _t(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "F")
+    o = _t(spark, sf_dir, "orders")
+    page = F.when(F.col("o_orderstatus") == "F", "page-2.json").otherwise("page-10.json")
     feed = o.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("seg"),
-                    F.lit(0).alias("src"), F.lit("orders").alias("_file"), F.col("o_orderkey").alias("_pos"))
+                    F.lit(0).alias("src"), page.alias("_file"), F.col("o_orderkey").alias("_pos"))
     merged = merge_employees(feed, read_table(spark, root, "emp"), key="c_custkey")
     replace_versioned(merged, root, "emp")
     return read_table(spark, root, "emp").select("c_custkey", "seg", "src")
@@ -385,12 +390,7 @@ def employee_normalise(spark, sf_dir):
     """The employee feed's normalisation on customers: accounts in debit have no
     name (dropped), segments become designations with the " NG" suffix."""
     from rollcall.plans import normalise_employees
-    c = _t(spark, sf_dir, "customer")
-    feed = c.select(F.col("c_custkey").cast("string").alias("emp_id"),
-                    F.when(F.col("c_acctbal") >= 0, F.lower("c_name")).alias("emp_name"),
-                    F.concat(F.col("c_mktsegment"), F.lit(" NG NG")).alias("designation"),
-                    F.col("c_mktsegment").alias("division"))
-    return normalise_employees(feed)
+    return normalise_employees(_employee_feed(spark, sf_dir))
 
 
 def holiday_replace(spark, sf_dir):
@@ -483,3 +483,113 @@ def attendance_stream_q(spark, sf_dir):
 
 
 QUERIES["attendance_stream"] = attendance_stream_q
+
+
+# -- the loads end to end: landed envelopes in, stored tables out --------------------
+
+def attendance_mixed(spark, sf_dir):
+    """Batch load, stream run and batch load again on one table, over all landed days."""
+    from rollcall.plans import load_attendance
+    from rollcall.schemas import DEVICES, ROOT_DEVICES
+    from rollcall.streaming import run_attendance_stream
+    root = scratch_path(spark, "attendance_mixed")
+    landing = f"{root}/landing"
+    _, dev = _stream_landing(spark, sf_dir, landing)
+    _land(dev.select(*DEVICES.fieldNames()), f"{landing}/devices", ROOT_DEVICES)
+    load_attendance(spark, landing, root, multi_line=False)
+    run_attendance_stream(spark, landing, root, f"{root}/_checkpoint", multi_line=False)
+    load_attendance(spark, landing, root, multi_line=False)
+    return read_days(spark, f"{root}/attendance").select("emp_id", "log_date", "in_device_id", "out_device_id",
+                                                         "in_location", "out_location", "reportdate")
+
+
+def _land(records: DataFrame, path: str, root: str, day_col: str | None = None, pages: int = 8) -> None:
+    """Land ``records`` as envelopes, one per line and page, in day folders if dated."""
+    fields = [c for c in records.columns if c != day_col]
+    page = F.pmod(F.xxhash64(*fields), F.lit(pages))
+    keys = [F.col(day_col)] if day_col else []
+    body = F.to_json(F.struct(F.collect_list(F.struct(*fields)).alias(root)))
+    env = records.groupBy(*keys, page.alias("__page")).agg(body.alias("value")).drop("__page")
+    writer = env.write.mode("overwrite")
+    (writer.partitionBy(day_col) if day_col else writer).text(path)
+
+
+def _land_leave(spark, sf_dir, landing: str) -> None:
+    from rollcall.schemas import ROOT_LEAVE, ROOT_TOUR
+    leave, tour = _leave_feeds(spark, sf_dir)
+    _land(leave, f"{landing}/leave", ROOT_LEAVE, "reportdate")
+    _land(tour, f"{landing}/tour", ROOT_TOUR, "reportdate")
+
+
+def leave_gap_refresh(spark, sf_dir):
+    """A run up to the 10th, no runs for some days, then a run with a window from the 20th:
+    must equal a full rebuild over all landed days."""
+    from rollcall.plans import refresh_leave
+    root = scratch_path(spark, "leave_gap_refresh")
+    _land_leave(spark, sf_dir, f"{root}/landing")
+    kw = {"start": "1970-01-01", "multi_line": False}
+    refresh_leave(spark, f"{root}/landing", root, stop="2024-01-10", **kw)
+    refresh_leave(spark, f"{root}/landing", root, stop=None, since="2024-01-20", **kw)
+    return read_table(spark, root, "leave")
+
+
+def _employee_feed(spark, sf_dir) -> DataFrame:
+    c = _t(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").cast("string").alias("emp_id"),
+                    F.when(F.col("c_acctbal") >= 0, F.lower("c_name")).alias("emp_name"),
+                    F.concat(F.col("c_mktsegment"), F.lit(" NG NG")).alias("designation"),
+                    F.col("c_mktsegment").alias("division"))
+
+
+def employee_landing(spark, sf_dir):
+    """The register loaded from one landed feed, then again from the next, whose rows win."""
+    from rollcall.plans import upsert_employees
+    from rollcall.schemas import ROOT_EMPLOYEE
+    root = scratch_path(spark, "employee_landing")
+    feed = _employee_feed(spark, sf_dir)
+    for f in (feed.withColumn("division", F.lit("OLD")), feed):
+        _land(f, f"{root}/landing/employee", ROOT_EMPLOYEE)
+        upsert_employees(spark, f"{root}/landing", root, multi_line=False)
+    return read_table(spark, root, "employee").select("emp_id", "emp_name", "designation", "division", "cat")
+
+
+def holiday_landing(spark, sf_dir):
+    from rollcall.plans import replace_holidays
+    from rollcall.schemas import ROOT_HOLIDAY, strings
+    root = scratch_path(spark, "holiday_landing")
+    n = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("n_nationkey"), "n_name")
+    for f in (n.withColumn("n_name", F.lower("n_name")), n):
+        _land(f, f"{root}/landing/holiday", ROOT_HOLIDAY)
+        replace_holidays(spark, f"{root}/landing", root, record=strings("n_nationkey", "n_name"), multi_line=False)
+    return read_table(spark, root, "holiday")
+
+
+def daily_run(spark, sf_dir):
+    """The daily job over all four feeds, run twice; rows of each stored table."""
+    from rollcall.daily import run
+    from rollcall.schemas import DEVICES, ROOT_DEVICES, ROOT_EMPLOYEE, ROOT_HOLIDAY
+    root = scratch_path(spark, "daily_run")
+    landing = f"{root}/landing"
+    _, dev = _stream_landing(spark, sf_dir, landing)
+    _land(dev.select(*DEVICES.fieldNames()), f"{landing}/devices", ROOT_DEVICES)
+    _land_leave(spark, sf_dir, landing)
+    _land(_employee_feed(spark, sf_dir), f"{landing}/employee", ROOT_EMPLOYEE)
+    n = _t(spark, sf_dir, "nation")
+    _land(n.select(F.lit("2024-01-26").alias("holiday_date"), F.col("n_name").alias("holiday_name")),
+          f"{landing}/holiday", ROOT_HOLIDAY)
+    for _ in range(2):
+        out = run(spark, landing, root, history_start="1970-01-01", multi_line=False)
+        failed = {k: v for k, v in out.items() if v.startswith("FAILED")}
+        if failed:
+            raise RuntimeError(str(failed))
+    tables = {"attendance": read_days(spark, f"{root}/attendance"),
+              **{t: read_table(spark, root, t) for t in ("leave", "employee", "holiday")}}
+    rows = None
+    for name, t in tables.items():
+        one = t.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+QUERIES.update({"attendance_mixed": attendance_mixed, "leave_gap_refresh": leave_gap_refresh,
+                "employee_landing": employee_landing, "holiday_landing": holiday_landing, "daily_run": daily_run})

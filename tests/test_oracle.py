@@ -4,7 +4,9 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from rollcall.oracle import SQL
+from rollcall.queries import QUERIES
 from tools.oracle_check import DUCK_TYPE, canon, duck
 
 SF = os.environ.get("ROLLCALL_ORACLE_SF", "/root/testdata/sf0.01")
@@ -17,15 +19,15 @@ def con():
 
 
 def test_every_key_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(SQL) == set(QUERIES)
 
 
-@pytest.mark.parametrize("key", sorted(queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_key_matches_oracle(spark, con, key):
-    df = queries()[key](spark, SF)
+    df = QUERIES[key](spark, SF)
     s_types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     s_cols, s_rows, s_hash = canon(df.columns, [tuple(r) for r in df.collect()])
-    cur = con.execute(oracle_sql()[key])
+    cur = con.execute(SQL[key])
     d_types = {c[0]: str(c[1]) for c in cur.description}
     d_cols, d_rows, d_hash = canon([c[0] for c in cur.description], cur.fetchall())
     assert s_cols == d_cols
