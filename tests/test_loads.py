@@ -126,3 +126,13 @@ def test_manifest_lists_pages(spark):
 def test_has_rows_is_a_constant(spark):
     df = has_rows(spark.range(5).filter("id > 3"))
     assert df.first()["has_rows"] is True and has_rows(spark.range(0)).first()["has_rows"] is False
+
+
+def test_scratch_folders_are_dropped_on_request(spark):
+    import os
+
+    from rollcall.session import drop_scratch, scratch_path
+    path = scratch_path(spark, "t")
+    spark.range(3).write.parquet(path)
+    assert drop_scratch(spark) >= 1 and not os.path.exists(path.removeprefix("file:"))
+    assert drop_scratch(spark) == 0
