@@ -107,7 +107,7 @@ def shingle_sets(rows: DataFrame, depth: int) -> DataFrame:
                         p = mixed_bits(p * _P + sig[j::DEPTH].astype(np.uint64))
                     h1.append(int(mixed_bits(s).sum().astype(np.int64)))
                     h2.append(int(np.bitwise_xor.reduce(mixed_bits(s * _P)).astype(np.int64)))
-                    sigs.append(sig.tobytes())
+                    sigs.append(sig.astype(np.uint16).tobytes())      # half of each hash: chance equals 1 in 65536
                     paths.append(p.astype(np.int64))
                 else:
                     for c in (h1, h2, sigs):
@@ -137,7 +137,7 @@ class Leaders:
     """Leader clustering of streamed signatures; ``edges`` spans what is loosely alike."""
 
     def __init__(self):
-        self.sigs = np.zeros((64, TREES * DEPTH), np.uint32)
+        self.sigs = np.zeros((64, TREES * DEPTH), np.uint16)
         self.ids: list[int] = []
         self.root: list[int] = []          # position of each leader's root
         self.edges: list[tuple[int, int]] = []
@@ -190,7 +190,7 @@ def _cluster(keys: list[str]):
                 if now != key:
                     out += [(a, z, None, None, None) for a, z in leaders.edges]
                     key, leaders = now, Leaders()
-                if leaders.add(node, np.frombuffer(sig, np.uint32)):
+                if leaders.add(node, np.frombuffer(sig, np.uint16)):
                     out.append((node, None, now[0], now[1], sig))
                 if len(out) > 4000:
                     yield flush(out)
@@ -204,9 +204,12 @@ def _cluster(keys: list[str]):
 
 def loose_edges(nodes: DataFrame) -> DataFrame:
     """(a, b): spanning edges of the nodes (node, sig, paths) that share a prefix in some trie."""
-    at = nodes.select("node", "sig", F.posexplode("paths").alias("tree", "path"))
+    # Places first, without signatures: most nodes share no prefix with another.
+    at = nodes.select("node", F.posexplode("paths").alias("tree", "path"))
     shared = at.groupBy("tree", "path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("tree", "path")
-    rows = at.join(shared, ["tree", "path"]).select(
+    members = materialize(at.join(shared, ["tree", "path"]), "forest-members")
+    sigs = nodes.select("node", "sig").join(members.select("node").distinct(), "node", "left_semi")
+    rows = members.join(sigs, "node").select(
         F.col("tree").cast("long").alias("tree"), "path", F.pmod(F.xxhash64("node", "tree"), F.lit(SALTS)).alias("salt"),
         "node", "sig")
     parts = rows.repartition("tree", "path", "salt").sortWithinPartitions("tree", "path", "salt")
