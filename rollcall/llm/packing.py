@@ -101,7 +101,7 @@ def best_fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarra
 
 # ---- tokenising ---------------------------------------------------------------------
 
-_CACHE_MAX = 150_000
+_CACHE_MAX = 300_000
 _SPACE_RUN = re.compile(r" \s")
 _SAFE_CUT = re.compile(r"(?<=\S)(?= )")
 
@@ -115,27 +115,62 @@ def chunks(text: str) -> list[str]:
     return [head, *[" " + c for c in rest]]
 
 
+def byte_letters() -> dict[int, str]:
+    """The sign by which a byte-level vocabulary writes each byte: printable Latin-1 signs
+    stand for themselves, the other bytes, in order, for the signs from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {**{b: chr(b) for b in own}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
+
+
 class ChunkEncoder:
-    """Little-endian unsigned 32-bit ids of texts; common chunks are encoded once a task."""
+    """Little-endian unsigned 32-bit ids of texts; common chunks are encoded once a task.
+
+    A chunk of letters with or without marks after them is known to be one or two tokens
+    of the pre-tokeniser, so the vocabulary's model gets them as they are; any other
+    chunk goes through the whole tokeniser.
+    """
+
+    _MARKS = ".,;:!?%&$#*|"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
+        self.letters = byte_letters()
         self.cache: dict[str, bytes] = {}
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        out = self.tok.encode_batch(parts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in out]
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, p: str) -> bytes:
+        got = self.parts.get(p)
+        if got is None:
+            if len(self.parts) > _CACHE_MAX:
+                self.parts.clear()
+            signs = p.encode("utf-8").decode("latin-1").translate(self.letters)
+            got = self.parts[p] = np.array([t.id for t in self.model.tokenize(signs)], dtype="<u4").tobytes()
+        return got
+
+    def _encode(self, chunks_: list[str]) -> dict[str, bytes]:
+        out, other = {}, []
+        for c in chunks_:
+            core = c.rstrip(self._MARKS)
+            if (core[1:] if core[:1] == " " else core).isalpha():
+                out[c] = self._part(core) + (self._part(c[len(core):]) if len(core) < len(c) else b"")
+            else:
+                other.append(c)
+        for c, e in zip(other, self.tok.encode_batch(other, add_special_tokens=False) if other else ()):
+            out[c] = np.array(e.ids, dtype="<u4").tobytes()
+        return out
 
     def __call__(self, text: str) -> bytes:
         parts = chunks(text)
         cache = self.cache
-        missing = list({p for p in parts if p not in cache})
+        missing = [p for p in set(parts) if p not in cache]
         if missing:
             if len(cache) + len(missing) > _CACHE_MAX:
                 cache.clear()
                 missing = list(set(parts))
-            got = dict(zip(missing, self._encode(missing)))
+            got = self._encode(missing)
             if len(got) > _CACHE_MAX:          # one very long text: its own ids, not kept
                 return b"".join([got[p] for p in parts])
             cache.update(got)
@@ -217,6 +252,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     kept, names = pieces.columns, schema.names
 
+    arrow_rows(spark, 16384)
+
     def place(batches):
         keys, runs = plan.value
         for b in batches:
