@@ -5,9 +5,13 @@ sorted random projections (each row against the rows next to it) and is refined
 NN-descent does: for every node the lists that name it and the nodes it lists are
 brought together, and pairs nearer than a member's worst neighbour enter its list, until
 few lists change. A list whose members all pass the threshold is saturated: it may
-miss some. Such lists are enlarged to everything that threshold edges connect, by
-comparing blocks of each connected group (``BLOCK`` nodes a side, bounded work a step) in
-double precision; these comparisons give the links, so none is below the threshold.
+miss some, also the only ones to another dense cluster. So each saturated node hands over to
+the node of least hash among itself and its list, and these few are searched in the same
+way, level by level until no list is saturated. A node carries the widest angle to those it
+stands for, and two of them are in one group when the nodes they stand for may pass the
+threshold. Then blocks of each connected group are compared (``BLOCK`` nodes a side, bounded
+work a step) in double precision; these comparisons give the links, so none is below the
+threshold.
 An audit compares a fixed number of nodes with all others by brute force; while its
 recall is below ``TARGET``, another start is merged in and refined.
 """
@@ -170,6 +174,57 @@ def refine(lists: DataFrame, space: DataFrame, k: int = LIST) -> tuple[DataFrame
     return new, changed
 
 
+def search(space: DataFrame, seed: int, bits: int, lists: DataFrame | None = None) -> DataFrame:
+    """Lists of the nodes of ``space``: fresh starts merged into ``lists`` and refined."""
+    for one in range(seed, seed + STARTS):
+        fresh = start_lists(space, 31 + one, bits)
+        lists = fresh if lists is None else lists.unionByName(fresh)
+    lists, count = materialize(best(lists), "nn-lists"), space.count()
+    for _ in range(ROUNDS):
+        lists, changed = refine(lists, space)
+        if changed <= STOP * count:
+            break
+    return lists
+
+
+def passing(lists: DataFrame, wide: DataFrame, threshold: float) -> DataFrame:
+    """``lists`` with the angle of each entry, what each node is ``wide``, and whether nodes that
+    the two stand for may be at the threshold."""
+    both = lists.join(wide, "node").join(wide.select(F.col("node").alias("nbr"), F.col("wide").alias("far")), "nbr")
+    angle = F.acos(F.greatest(F.least(F.col("sim").cast("double"), F.lit(1.0)) - _SLACK, F.lit(-1.0)))
+    reach = F.least(F.lit(float(np.arccos(threshold))) + F.col("wide") + F.col("far"), F.lit(float(np.pi)))
+    return both.select("node", "nbr", "wide", angle.alias("angle"), (F.col("sim") >= F.cos(reach) - _SLACK).alias("passes"))
+
+
+def handed_over(found: DataFrame, level: int, k: int = LIST) -> DataFrame:
+    """(node, wide): of each saturated node, the least by hash among itself and its list."""
+    by = lambda c: F.xxhash64(c, F.lit(level)).alias("h")
+    full = found.groupBy("node").agg(
+        F.count(F.lit(1)).alias("have"), F.min("passes").alias("all"), F.first("wide").alias("wide"),
+        F.min(F.struct(by("nbr"), F.col("nbr").alias("to"), "angle")).alias("least"))
+    own = F.struct(by("node"), F.col("node").alias("to"), F.lit(0.0).alias("angle"))
+    full = full.filter((F.col("have") >= k) & F.col("all")).withColumn("least", F.least("least", own))
+    return full.groupBy(F.col("least.to").alias("node")).agg(F.max(F.col("wide") + F.col("least.angle")).alias("wide"))
+
+
+def candidate_edges(lists: DataFrame, space: DataFrame, threshold: float, seed: int, bits: int) -> DataFrame:
+    """(a, b): entries of ``lists`` at the threshold, and those that saturated lists may hide."""
+    wide = space.select("node", F.lit(0.0).alias("wide"))
+    edges, level, count = None, 0, space.count()
+    while True:
+        found = materialize(passing(lists, wide, threshold), "nn-found")
+        here = found.filter("passes").select(F.col("node").alias("a"), F.col("nbr").alias("b"))
+        edges = here if edges is None else edges.unionByName(here)
+        wide = materialize(handed_over(found, level), "nn-level")
+        left = wide.count()
+        # One node of a level can have no edge; as many as before would go on without end.
+        if left < 2 or left >= count:
+            return edges
+        level, count = level + 1, left
+        few = materialize(space.join(wide.select("node"), "node", "left_semi"), "nn-space")
+        lists = search(few, seed, bits)
+
+
 def block_links(grouped: DataFrame, threshold: float) -> DataFrame:
     """(node, links, root) from (group, node, n, v): every pair of a group compared, in blocks.
 
@@ -251,21 +306,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     rows, space = nodes(vectors)
     count, spaces = space.agg(F.count(F.lit(1)), F.countDistinct("space")).first()
     bits = min(60, max(0, int(np.ceil(np.log2(max(count, 1) / max(spaces, 1) / WINDOW + 1)))))
-    lists = None
+    lists = edges = None
     for turn in range(TRIES):
-        for seed in range(STARTS * turn, STARTS * (turn + 1)):
-            fresh = start_lists(space, 31 + seed, bits)
-            lists = fresh if lists is None else lists.unionByName(fresh)
-        lists = materialize(best(lists), "nn-lists")
-        for _ in range(ROUNDS):
-            lists, changed = refine(lists, space)
-            if changed <= STOP * count:
-                break
-        edges = lists.filter(F.col("sim") >= threshold - _SLACK).select(F.col("node").alias("a"), F.col("nbr").alias("b"))
+        lists = search(space, STARTS * turn, bits, lists)
+        more = candidate_edges(lists, space, threshold, STARTS * turn, bits)
+        edges = more if edges is None else edges.unionByName(more)
         group_of = components(edges)
         linked, whole = audit(space, group_of, threshold)
         if whole >= TARGET * linked:
             break
+    else:
+        raise RuntimeError(f"near-duplicate search: {whole} of {linked} audited nodes whole after {TRIES} turns, target {TARGET}")
     grouped = space.join(group_of.withColumnRenamed("component", "group"), "node").select("group", "node", "n", "v")
     part = materialize(block_links(grouped, threshold), "nn-links")
     comp = components(part.select(F.col("node").alias("a"), F.col("root").alias("b")))

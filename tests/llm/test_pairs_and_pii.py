@@ -134,6 +134,41 @@ def test_near_vectors_odd_rows(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def _against_brute_force(spark, x):
+    """All rows of one label: links, class and kept of each as by brute force."""
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    link = x @ x.T >= 0.98
+    np.fill_diagonal(link, False)
+    root = local_roots(link)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(df).collect()}
+    assert all(got[i] == (link[i].sum(), root[i]) for i in range(len(x)))
+
+
+def _cluster(rng, centre, n, cosine, size=16):
+    """``n`` different vectors at about ``cosine`` to each other around a unit vector."""
+    off = rng.normal(size=(n, size))
+    off -= (off @ centre)[:, None] * centre
+    return centre + off / np.linalg.norm(off, axis=1)[:, None] * np.sqrt(1 / cosine - 1)
+
+
+def test_near_vectors_of_dense_clusters_side_by_side(spark):
+    rng = np.random.default_rng(8)
+    a, z = np.eye(16)[0], np.eye(16)[1]
+    beside = 0.985 * a + np.sqrt(1 - 0.985 ** 2) * z
+    for n in (12, 400):
+        _against_brute_force(spark, np.vstack([_cluster(rng, a, n, 0.9995), _cluster(rng, beside, n, 0.9995),
+                                               rng.normal(size=(200, 16))]))
+
+
+def test_near_vectors_of_dense_clusters_that_only_touch(spark):
+    # Most of the pairs across are below the threshold; a third cluster is out of reach.
+    rng = np.random.default_rng(9)
+    a, z, y = np.eye(16)[:3]
+    beside, off = 0.979 * a + np.sqrt(1 - 0.979 ** 2) * z, 0.9 * a + np.sqrt(1 - 0.9 ** 2) * y
+    _against_brute_force(spark, np.vstack([_cluster(rng, c, 150, 0.999) for c in (a, beside, off)]))
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (180, 2))] + [(1000 + i, 1001 + i) for i in range(40)]
