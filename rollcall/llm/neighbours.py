@@ -12,8 +12,10 @@ stands for, and two of them are in one group when the nodes they stand for may p
 threshold. Then blocks of each connected group are compared (``BLOCK`` nodes a side, bounded
 work a step) in double precision; these comparisons give the links, so none is below the
 threshold.
-An audit compares a fixed number of nodes with all others by brute force; while its
-recall is below ``TARGET``, another start is merged in and refined.
+The number of starts follows from the rows of the largest label, so that a pair at the
+threshold meets in some start with chance ``MEET``. An audit compares nodes, in random order,
+with all others by brute force until ``LINKED`` with a link were among them or all were asked;
+while its recall is below ``TARGET``, further starts are merged in and refined.
 """
 
 from __future__ import annotations
@@ -31,9 +33,10 @@ LIST = 8                      # neighbours kept by a node
 WINDOW = 64                   # rows compared on each side at the start
 ROUNDS = 3
 STOP = 0.01                   # lists changed, as a share of the nodes
-AUDIT = 1024                  # nodes compared with all others
+AUDIT = 1024                  # nodes compared with all others at once
+LINKED = 256                  # nodes with a link that an audit must see
 TARGET = 0.99
-STARTS = 3                    # random orders merged before a refinement
+MEET = 0.999
 TRIES = 6
 BLOCK = 512
 _SLACK = 1e-4                 # single precision in the search, double in the links
@@ -85,6 +88,17 @@ def _top(ids: np.ndarray, sims: np.ndarray, k: int, floor: np.ndarray):
     return np.repeat(ids, ok.sum(axis=1)), ids[at[ok]], val[ok]
 
 
+def bits_for(rows: int) -> int:
+    """Signs of a code that leaves about ``WINDOW`` of ``rows`` with each value."""
+    return min(60, max(0, int(np.ceil(np.log2(rows / WINDOW + 1)))))
+
+
+def starts_for(rows: int, threshold: float = THRESHOLD, recall: float = MEET) -> int:
+    """Starts after which a pair at the threshold has shared a code with chance ``recall``."""
+    miss = 1 - (1 - np.arccos(threshold) / np.pi) ** bits_for(rows)
+    return max(1, int(np.ceil(np.log(1 - recall) / np.log(miss)))) if miss > 0 else 1
+
+
 def start_lists(space: DataFrame, seed: int, bits: int, k: int = LIST) -> DataFrame:
     """First neighbours: rows in the order of a random sign code of ``bits`` and a projection,
     each block of rows of one label compared within itself and with half of the block before."""
@@ -174,12 +188,15 @@ def refine(lists: DataFrame, space: DataFrame, k: int = LIST) -> tuple[DataFrame
     return new, changed
 
 
-def search(space: DataFrame, seed: int, bits: int, lists: DataFrame | None = None) -> DataFrame:
+def search(space: DataFrame, threshold: float, turn: int, lists: DataFrame | None = None) -> DataFrame:
     """Lists of the nodes of ``space``: fresh starts merged into ``lists`` and refined."""
-    for one in range(seed, seed + STARTS):
-        fresh = start_lists(space, 31 + one, bits)
+    rows = space.groupBy("space").agg(F.count(F.lit(1)).alias("rows"))
+    most, count = rows.agg(F.max("rows"), F.sum("rows")).first()
+    starts = starts_for(most or 0, threshold)
+    for one in range(starts * turn, starts * (turn + 1)):
+        fresh = start_lists(space, 31 + one, bits_for(most or 0))
         lists = fresh if lists is None else lists.unionByName(fresh)
-    lists, count = materialize(best(lists), "nn-lists"), space.count()
+    lists, count = materialize(best(lists), "nn-lists"), count or 0
     for _ in range(ROUNDS):
         lists, changed = refine(lists, space)
         if changed <= STOP * count:
@@ -207,7 +224,7 @@ def handed_over(found: DataFrame, level: int, k: int = LIST) -> DataFrame:
     return full.groupBy(F.col("least.to").alias("node")).agg(F.max(F.col("wide") + F.col("least.angle")).alias("wide"))
 
 
-def candidate_edges(lists: DataFrame, space: DataFrame, threshold: float, seed: int, bits: int) -> DataFrame:
+def candidate_edges(lists: DataFrame, space: DataFrame, threshold: float, turn: int) -> DataFrame:
     """(a, b): entries of ``lists`` at the threshold, and those that saturated lists may hide."""
     wide = space.select("node", F.lit(0.0).alias("wide"))
     edges, level, count = None, 0, space.count()
@@ -222,7 +239,7 @@ def candidate_edges(lists: DataFrame, space: DataFrame, threshold: float, seed:
             return edges
         level, count = level + 1, left
         few = materialize(space.join(wide.select("node"), "node", "left_semi"), "nn-space")
-        lists = search(few, seed, bits)
+        lists = search(few, threshold, turn)
 
 
 def block_links(grouped: DataFrame, threshold: float) -> DataFrame:
@@ -258,11 +275,23 @@ def block_links(grouped: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(compare, "node long, links long, root long")
 
 
-def audit(space: DataFrame, group_of: DataFrame, threshold: float, size: int = AUDIT) -> tuple[int, int]:
-    """Of ``size`` nodes compared with all others in blocks: (those with a link, those whose
-    every link lies inside their group)."""
-    tagged = space.join(group_of, "node", "left").select("node", "space", "v", F.coalesce("component", "node").alias("g"))
-    asked = tagged.orderBy(F.xxhash64("node", F.lit(99))).limit(size).collect()       # at most ``size`` rows
+def audit(space: DataFrame, group_of: DataFrame, threshold: float, size: int = AUDIT, enough: int = LINKED) -> tuple[int, int]:
+    """Of nodes compared with all others, about ``size`` at a time until ``enough`` of them have
+    a link or none is left: (those with a link, those whose every link lies inside their group)."""
+    tagged = materialize(space.join(group_of, "node", "left").select(
+        "node", "space", "v", F.coalesce("component", "node").alias("g")), "nn-audit")
+    parts = max(1, -(-tagged.count() // size))
+    linked = whole = at = 0
+    step = 1
+    while at < parts and linked < enough:
+        of = F.pmod(F.xxhash64("node", F.lit(99)), F.lit(parts))
+        a, z = _asked(tagged, tagged.filter((of >= at) & (of < at + step)).collect(), threshold)
+        linked, whole, at, step = linked + a, whole + z, at + step, min(2 * step, 8)
+    return linked, whole
+
+
+def _asked(tagged: DataFrame, asked: list, threshold: float) -> tuple[int, int]:
+    """(nodes of ``asked`` with a link, those whose every link lies inside their group)."""
     if not asked:
         return 0, 0
     by: dict[int, tuple] = {}
@@ -270,7 +299,7 @@ def audit(space: DataFrame, group_of: DataFrame, threshold: float, size: int = A
         by.setdefault(r["space"], ([], [], []))
         for c, v in zip(by[r["space"]], (r["node"], r["g"], r["v"])):
             c.append(v)
-    shared = space.sparkSession.sparkContext.broadcast({k: (np.array(a), np.array(g), np.array(v)) for k, (a, g, v) in by.items()})
+    shared = tagged.sparkSession.sparkContext.broadcast({k: (np.array(a), np.array(g), np.array(v)) for k, (a, g, v) in by.items()})
 
     def compare(batches):
         total: dict[int, np.ndarray] = {}
@@ -278,13 +307,16 @@ def audit(space: DataFrame, group_of: DataFrame, threshold: float, size: int = A
             s = b.column("space").to_numpy()
             for value in set(s.tolist()) & set(shared.value):
                 part = b.filter(pa.array(s == value))
-                ids, g, v = shared.value[value]
-                x = v / np.abs(v).max(axis=1, keepdims=True)
-                q = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-                hit = (q @ _matrix(part.column("v")).T >= threshold) & (ids[:, None] != part.column("node").to_numpy()[None, :])
-                out = hit & (g[:, None] != part.column("g").to_numpy()[None, :])
-                for node, a, z in zip(ids.tolist(), hit.sum(axis=1), out.sum(axis=1)):
-                    total[node] = total.get(node, np.zeros(2, np.int64)) + (a, z)
+                y, nodes_, groups_ = _matrix(part.column("v")).T, part.column("node").to_numpy(), part.column("g").to_numpy()
+                for lo in range(0, len(shared.value[value][0]), AUDIT):
+                    ids, g, v = (c[lo:lo + AUDIT] for c in shared.value[value])
+                    x = v / np.abs(v).max(axis=1, keepdims=True)
+                    q = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+                    hit = (q @ y >= threshold) & (ids[:, None] != nodes_[None, :])
+                    out = hit & (g[:, None] != groups_[None, :])
+                    for node, a, z in zip(ids.tolist(), hit.sum(axis=1), out.sum(axis=1)):
+                        if a:
+                            total[node] = total.get(node, np.zeros(2, np.int64)) + (a, z)
         rows = [(n, int(a), int(z)) for n, (a, z) in total.items() if a]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)],
                                          names=["node", "found", "outside"])
@@ -292,6 +324,7 @@ def audit(space: DataFrame, group_of: DataFrame, threshold: float, size: int = A
     each = (tagged.mapInArrow(compare, "node long, found long, outside long").groupBy("node")
             .agg(F.sum("outside").alias("outside")))
     r = each.agg(F.count(F.lit(1)), F.count(F.when(F.col("outside") == 0, 1))).first()
+    shared.destroy()
     return int(r[0]), int(r[1])
 
 
@@ -304,12 +337,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     """
     arrow_rows(vectors.sparkSession, 2048)
     rows, space = nodes(vectors)
-    count, spaces = space.agg(F.count(F.lit(1)), F.countDistinct("space")).first()
-    bits = min(60, max(0, int(np.ceil(np.log2(max(count, 1) / max(spaces, 1) / WINDOW + 1)))))
     lists = edges = None
     for turn in range(TRIES):
-        lists = search(space, STARTS * turn, bits, lists)
-        more = candidate_edges(lists, space, threshold, STARTS * turn, bits)
+        lists = search(space, threshold, turn, lists)
+        more = candidate_edges(lists, space, threshold, turn)
         edges = more if edges is None else edges.unionByName(more)
         group_of = components(edges)
         linked, whole = audit(space, group_of, threshold)

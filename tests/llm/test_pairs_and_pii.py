@@ -7,7 +7,7 @@ import numpy as np
 from rollcall.llm.cws import fingerprint_neighbours, op8_cws_fingerprints
 from rollcall.llm.forest import depth_for, drop_near_duplicates, op10_lsh_forest_join, shingles
 from rollcall.llm.graph import components, local_roots
-from rollcall.llm.neighbours import near_duplicates
+from rollcall.llm.neighbours import audit, bits_for, near_duplicates, starts_for
 from rollcall.llm.pii import KINDS, op6_contextual_pii, redact
 from tests.llm.helpers import SF, docs, folder, texts
 
@@ -169,6 +169,20 @@ def test_near_vectors_of_dense_clusters_that_only_touch(spark):
     _against_brute_force(spark, np.vstack([_cluster(rng, c, 150, 0.999) for c in (a, beside, off)]))
 
 
+def test_starts_follow_the_rows_and_the_audit_sees_rare_links(spark):
+    for rows in (10 ** 3, 10 ** 6, 10 ** 9):
+        share = (1 - np.arccos(0.98) / np.pi) ** bits_for(rows)
+        assert 1 - (1 - share) ** starts_for(rows) >= 0.999
+    # Four linked nodes of 3000, none of them in the first 1024 asked, and no group found.
+    rng = np.random.default_rng(10)
+    v = rng.normal(size=(3000, 16))
+    order = spark.range(3000).selectExpr("id", "pmod(xxhash64(id, 99), 3) as part").filter("part = 2").orderBy("id").limit(4)
+    a, b, c, d = [r.id for r in order.collect()]
+    v[b], v[d] = v[a] * 1.001 + 1e-4, v[c] * 1.001 + 1e-4
+    space = spark.createDataFrame([(i, 1, x.tolist()) for i, x in enumerate(v)], "node long, space long, v array<double>")
+    assert audit(space, spark.createDataFrame([], "node long, component long"), 0.98) == (4, 0)
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (180, 2))] + [(1000 + i, 1001 + i) for i in range(40)]
