@@ -5,10 +5,12 @@ Base spans are the matches of four fixed forms. They seed a bootstrapped extract
 every identifier-like token of the corpus (and every base match) is an instance, the
 lower-cased words next to it are its lexical patterns, and the edges form a graph of
 patterns and distinct instances. Spark scores it in rounds: a pattern's confidence for
-a kind is the mean score of its instances for that kind, counted with one unknown
-instance more; an instance that is no seed scores by a noisy-or of its confident
-patterns. Instances of the right shape above ``ACCEPT`` become spans of the kind wherever
-they occur next to a confident pattern.
+a kind is the score of its instances of that kind against its instances of other kinds or
+of another shape; what has the right shape and is not yet accepted counts for neither. A
+pattern needs ``MIN_SEEDS`` distinct instances of the kind. An instance of the right shape
+scores by a noisy-or of its confident patterns; above ``ACCEPT`` it is accepted and counts for
+all its patterns in the next round, until none is new. Accepted instances become spans
+of the kind wherever they occur next to a confident pattern.
 
 Positions come from the pieces between matches (``split``) and the matches
 (``regexp_extract_all``): a running sum of both lengths, in rows, not in one array.
@@ -40,11 +42,11 @@ TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 # What an unseen identifier of a kind must look like.
 SHAPES = {"email": r"^[^@]+@[^@]+$", "ip": r"^[0-9]+([.:][0-9A-Fa-f]+){3,}$", "card": r"^[0-9][0-9-]{11,}$",
           "phone": r"^[+(]?[0-9][0-9().-]{6,}$"}
-ROUNDS = 3
 CONFIDENT = 0.8
 ACCEPT = 0.9
 MIN_SEEDS = 3
 _NEAR = 48                    # characters kept on each side of an instance
+_PIECES = 8                   # matches of the same form that these may hold
 
 
 def raw_matches(docs: DataFrame, text: str, keep: list[Column]) -> DataFrame:
@@ -61,11 +63,14 @@ def raw_matches(docs: DataFrame, text: str, keep: list[Column]) -> DataFrame:
     found = docs.select(*[k.alias(n) for k, n in zip(keep, names)], *cols)
 
     def rows(kind: str) -> Column:
-        gaps = F.col(f"g_{kind}")
+        gaps, values, n = F.col(f"g_{kind}"), F.col(f"v_{kind}"), 2 if kind == "token" else _PIECES
+        piece = lambda xs, j, cut: F.coalesce(cut(F.get(xs, j), F.lit(_NEAR)), F.lit(""))
         return F.transform(f"v_{kind}", lambda v, i: F.struct(
             F.length(F.get(gaps, i)).alias("gap"), v.alias("value"),
-            F.right(F.get(gaps, i), F.lit(_NEAR)).alias("left"),
-            F.left(F.get(gaps, i + 1), F.lit(_NEAR)).alias("right")))
+            F.right(F.concat(*[x for j in range(-n, 0) for x in (
+                piece(gaps, i + j, F.right), piece(values, i + j, F.right))], piece(gaps, i, F.right)), F.lit(_NEAR)).alias("left"),
+            F.left(F.concat(*[x for j in range(1, n + 1) for x in (
+                piece(gaps, i + j, F.left), piece(values, i + j, F.left))]), F.lit(_NEAR)).alias("right")))
 
     return found.select(*names, *[rows(k).alias(k) for k in forms])
 
@@ -97,7 +102,9 @@ def base_spans(raw: DataFrame) -> DataFrame:
 
 
 def patterns(left: Column, right: Column) -> Column:
-    """Lexical patterns of an instance: the two words before it; the words on both sides."""
+    """Lexical patterns of an instance: the two words before it; the words on both sides.
+    What touches the instance is no word: a token is trimmed of it, a form leaves it out."""
+    left, right = F.regexp_replace(left, r"[^\x20\x09-\x0D]++$", ""), F.regexp_replace(right, r"^[^\x20\x09-\x0D]++", "")
     before = F.filter(F.split(F.lower(left), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     after = F.filter(F.split(F.lower(right), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     w1, w2 = F.try_element_at(before, F.lit(-1)), F.try_element_at(before, F.lit(-2))
@@ -120,51 +127,68 @@ def instances(raw: DataFrame, base: DataFrame) -> DataFrame:
     return free.select(RID, "start", "stop", "value", patterns(F.col("left"), F.col("right")).alias("patterns"))
 
 
-def confident_patterns(seeds: DataFrame, others: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def fits(kind: Column, value: Column) -> Column:
+    """Whether a value has the shape of a kind."""
+    out = None
+    for k, form in SHAPES.items():
+        c = F.when(kind == k, value.rlike(form))
+        out = c if out is None else F.coalesce(out, c)
+    return F.coalesce(out, F.lit(False))
+
+
+def _score(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, s) of the instances that their confident patterns make sure of."""
+    miss = F.sum(F.log1p(-F.least(F.col("conf"), F.lit(0.999))))
+    return (hits.groupBy(*keys).agg((1 - F.exp(miss)).alias("s"), F.max("conf").alias("top"))
+            .filter((F.col("s") >= ACCEPT) | (F.col("top") >= ACCEPT)).drop("top"))
+
+
+def confident_patterns(seeds: DataFrame, others: DataFrame) -> DataFrame:
     """(pattern, kind, conf) of the patterns that end above ``CONFIDENT``.
 
     ``seeds``: (kind, value, patterns), ``others``: (value, patterns). Edges are distinct, so
-    copies of a text count once. A pattern without ``MIN_SEEDS`` distinct seeds of one kind
-    cannot start and is dropped at once; the graph of the rest is scored whole.
+    copies of a text count once. Dropped at once is only what could not become confident
+    if every instance of the right shape were accepted.
     """
     e_seed = seeds.select(F.explode("patterns").alias("pattern"), "kind", "value").distinct()
-    started = (e_seed.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n"))
-               .filter(F.col("n") >= MIN_SEEDS).select("pattern").distinct())
-    e_all = (e_seed.unionByName(others.select(F.explode("patterns").alias("pattern"), F.lit("").alias("kind"), "value"))
-             .distinct())
-    edges = materialize(e_all.join(started, "pattern", "left_semi"), "pii-edges")
-    known = F.when(F.col("kind") != "", F.struct(F.col("kind").alias("k"), F.lit(1.0).alias("s")))
-    scores = edges.filter("kind = ''").select("value").distinct().select(
-        "value", F.lit("").alias("k"), F.lit(0.0).alias("s")).limit(0)
-    for _ in range(rounds):
-        size = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-        own = edges.filter("kind <> ''").select("pattern", known["k"].alias("k"), known["s"].alias("s"))
-        got = (edges.filter("kind = ''").select("pattern", "value").join(scores, "value").select("pattern", "k", "s"))
-        mass = own.unionByName(got).groupBy("pattern", "k").agg(F.sum("s").alias("mass"))
-        conf = mass.join(size, "pattern").select("pattern", "k", (F.col("mass") / (F.col("n") + 1)).alias("conf"))
-        conf = materialize(conf.filter(F.col("conf") >= CONFIDENT * 0.5), "pii-patterns")
-        miss = F.sum(F.log1p(-F.least(F.col("conf"), F.lit(0.999))))
-        scores = materialize(
-            edges.filter("kind = ''").select("pattern", "value")
-            .join(conf.filter(F.col("conf") >= CONFIDENT), "pattern")
-            .groupBy("value", "k").agg((1 - F.exp(miss)).alias("s")), "pii-scores")
-    return conf.filter(F.col("conf") >= CONFIDENT).withColumnRenamed("k", "kind")
-
-
-def found_spans(raw: DataFrame, base: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    e_other = others.select(F.explode("patterns").alias("pattern"), F.lit("").alias("kind"), "value").distinct()
+    edges = materialize(e_seed.unionByName(e_other), "pii-edges")
+    counts = [F.struct(F.lit(k).alias("kind"), F.count(F.when(F.col("kind") == k, 1)).alias("own"), F.count(F.when(
+        (F.col("kind") == "") & fits(F.lit(k), F.col("value")), 1)).alias("open")) for k in KINDS]
+    fixed = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.array(*counts).alias("per")).select(
+        "pattern", "n", F.inline("per")).withColumn("wrong", F.col("n") - F.col("own") - F.col("open"))
+    most = F.col("own") + F.col("open")
+    fixed = materialize(fixed.filter((most >= MIN_SEEDS) & (most >= CONFIDENT * F.col("n"))), "pii-fixed")
+    maybe = edges.filter("kind = ''").select("pattern", "value").join(fixed.select("pattern", "kind"), "pattern")
+    maybe = materialize(maybe.filter(fits(F.col("kind"), F.col("value"))), "pii-maybe")
+    accepted = materialize(maybe.select("value", F.col("kind").alias("k"), F.lit(0.0).alias("s")).limit(0), "pii-accepted")
+    while True:
+        same = F.col("kind") == F.col("k")
+        got = maybe.join(accepted, "value").groupBy("pattern", "kind").agg(
+            F.sum(F.when(same, F.col("s"))).alias("mass"), F.count(F.when(same, 1)).alias("more"),
+            F.count(F.when(~same, 1)).alias("lost"))
+        conf = fixed.join(got, ["pattern", "kind"], "left").fillna(0, ["mass", "more", "lost"])
+        mass = F.col("own") + F.col("mass")
+        conf = conf.filter(F.col("own") + F.col("more") >= MIN_SEEDS).select(
+            "pattern", "kind", (mass / (mass + F.col("wrong") + F.col("lost"))).alias("conf"))
+        conf = materialize(conf.filter(F.col("conf") >= CONFIDENT), "pii-patterns")
+        sure = _score(maybe.join(conf, ["pattern", "kind"]), ["value", "kind"])
+        first = F.row_number().over(W.partitionBy("value").orderBy(F.col("s").desc(), _order("kind")))
+        new = materialize(sure.join(accepted.select("value"), "value", "left_anti").withColumn("i", first)
+                          .filter("i = 1").select("value", F.col("kind").alias("k"), "s"), "pii-new")
+        if new.isEmpty():
+            return conf
+        accepted = materialize(accepted.unionByName(new), "pii-accepted")
+
+
+def found_spans(raw: DataFrame, base: DataFrame) -> DataFrame:
     """Spans that the method adds: (rid, kind, start, stop). Where two kinds claim a token the
     likelier one has it; ties go to the kind listed first."""
     inst = materialize(instances(raw, base), "pii-instances")
     seeds = base.select("kind", F.lower("value").alias("value"), patterns(F.col("left"), F.col("right")).alias("patterns"))
-    conf = confident_patterns(seeds, inst.select(F.lower("value").alias("value"), "patterns"), rounds)
-    shape = None
-    for k, form in SHAPES.items():
-        c = F.when(F.col("kind") == k, F.col("value").rlike(form))
-        shape = c if shape is None else F.coalesce(shape, c)
-    hits = inst.select(RID, "start", "stop", "value", F.explode("patterns").alias("pattern")).join(conf, "pattern").filter(shape)
-    miss = F.sum(F.log1p(-F.least(F.col("conf"), F.lit(0.999))))
-    sure = (hits.groupBy(RID, "start", "stop", "kind").agg((1 - F.exp(miss)).alias("s"), F.max("conf").alias("top"))
-            .filter((F.col("s") >= ACCEPT) | (F.col("top") >= ACCEPT)))
+    conf = confident_patterns(seeds, inst.select(F.lower("value").alias("value"), "patterns"))
+    hits = inst.select(RID, "start", "stop", "value", F.explode("patterns").alias("pattern")).join(conf, "pattern")
+    sure = _score(hits.filter(fits(F.col("kind"), F.col("value"))), [RID, "start", "stop", "kind"])
     rank = F.row_number().over(W.partitionBy(RID, "start").orderBy(F.col("s").desc(), _order("kind")))
     return sure.withColumn("n", rank).filter("n = 1").select(RID, "kind", "start", "stop")
 

@@ -68,6 +68,21 @@ def test_odd_texts_and_found_identifiers(spark, tmp_path):
     assert op6_contextual_pii(spark, e).count() == 0
 
 
+def test_many_unseen_identifiers_and_a_second_step(spark, tmp_path):
+    # Three seeds and twenty unseen numbers share a phrase; five of these share another phrase
+    # with numbers that no seed is next to. A digit before the phrase and marks change nothing.
+    seeds = [(i, f"at 7 phone is (+1 555 010 {i:04d}), thanks bye") for i in range(3)]
+    unseen = [(100 + i, f"at 7 phone is 55520{i:05d}, thanks bye") for i in range(20)]
+    again = [(200 + i, f"oh ring me under 55520{i:05d} tonight bye") for i in range(5)]
+    far = [(300 + i, f"oh ring me under 55530{i:05d} tonight bye") for i in range(5)]
+    wrong = [(400 + i, f"oh item costs only 55540{i:05d} today bye") for i in range(5)]
+    d = folder(spark, tmp_path, documents=docs(*seeds, *unseen, *again, *far, *wrong))
+    got = {r.doc_id: r.spans for r in op6_contextual_pii(spark, d).collect()}
+    assert all(got[i] == "phone:14:24" for i, _ in unseen)
+    assert all(got[i] == "phone:17:27" for i, _ in [*again, *far])
+    assert all(got[i] == "" for i, _ in wrong)
+
+
 # -- fingerprints -------------------------------------------------------------------
 
 def _jaccard(a, b):
