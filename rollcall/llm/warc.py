@@ -43,13 +43,16 @@ def base32_sha1(h) -> str:
 
 def spans(view: memoryview, chunk_bytes: int) -> list[tuple[int, int]]:
     """Cuts of a payload: every ``chunk_bytes``, and five bytes into each version text."""
-    data, n = view.obj, len(view)
+    n = len(view)
     cuts, at = [], 0
     marks = []
-    i = data.find(_MARK)
-    while i >= 0:
-        marks.append(i + 5)
-        i = data.find(_MARK, i + 1)
+    for lo in range(0, n, CHUNK_BYTES):
+        # As many bytes more as a version text that starts on the last one needs.
+        piece = bytes(view[lo:lo + CHUNK_BYTES + len(_MARK) - 1])
+        i = piece.find(_MARK)
+        while i >= 0:
+            marks.append(lo + i + 5)
+            i = piece.find(_MARK, i + 1)
     for stop in [*marks, n]:
         while stop - at > chunk_bytes:
             cuts.append((at, at + chunk_bytes))
@@ -60,6 +63,16 @@ def spans(view: memoryview, chunk_bytes: int) -> list[tuple[int, int]]:
     return cuts
 
 
+def running_digests(view: memoryview, parts: list[tuple[int, int]]) -> list[str]:
+    """Digest of the payload up to the end of each part; the last is the payload's."""
+    h, out = hashlib.sha1(), []
+    for lo, hi in parts:
+        for at in range(lo, hi, CHUNK_BYTES):
+            h.update(view[at:min(hi, at + CHUNK_BYTES)])
+        out.append(base32_sha1(h))
+    return out
+
+
 def payload_digests(pages: DataFrame, payload: str = "html") -> DataFrame:
     """(page_id, payload_bytes, payload_digest) of each row, hashed in chunk-sized steps."""
     def run(batches):
@@ -99,14 +112,11 @@ def chunk_table(pages: DataFrame, payload: str = "html", chunk_bytes: int = CHUN
             rows, held = [], 0
             for page, url, copy, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(),
                                           b.column(2).to_pylist(), b.column(3)):
-                data = v.as_buffer().to_pybytes() if v.as_buffer() is not None else b""
-                view = memoryview(data)
+                view = memoryview(v.as_buffer() or b"")
                 parts = spans(view, chunk_bytes)
-                whole, part = hashlib.sha1(data), hashlib.sha1()
+                digests = running_digests(view, parts)
                 for k, (lo, hi) in enumerate(parts):
-                    part.update(view[lo:hi])
-                    rows.append((page, url, copy, k, len(parts), bytes(view[lo:hi]), base32_sha1(part),
-                                 len(data), base32_sha1(whole)))
+                    rows.append((page, url, copy, k, len(parts), bytes(view[lo:hi]), digests[k], len(view), digests[-1]))
                     held += hi - lo
                     if held >= _BATCH_BYTES:
                         yield flush(rows)

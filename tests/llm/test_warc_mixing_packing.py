@@ -193,3 +193,25 @@ def test_chunks_join_to_the_text():
     for _ in range(500):
         x = "".join(rng.choice(" \n\tab,é　\x1c") for _ in range(rng.randint(0, 12)))
         assert "".join(chunks(x)) == x
+
+
+def test_a_payload_is_cut_and_hashed_without_a_copy():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from rollcall.llm.warc import CHUNK_BYTES, VERSION, running_digests, spans
+    data = bytearray(b"x" * (16 << 20))
+    marks = [0, CHUNK_BYTES - 4, 2 * CHUNK_BYTES - 1, 3 * CHUNK_BYTES, len(data) - len(VERSION)]
+    for at in marks:
+        data[at:at + len(VERSION)] = VERSION.encode()
+    view = memoryview(pa.py_buffer(bytes(data)))
+    tracemalloc.start()
+    parts = spans(view, CHUNK_BYTES)
+    digests = running_digests(view, parts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 20
+    assert [p[0] for p in parts] == [0, *[p[1] for p in parts[:-1]]] and parts[-1][1] == len(data)
+    assert {at + 5 for at in marks} <= {hi for _, hi in parts} and max(hi - lo for lo, hi in parts) <= CHUNK_BYTES
+    assert digests[-1] == base64.b32encode(hashlib.sha1(data).digest()).decode() and len(digests) == len(parts)
