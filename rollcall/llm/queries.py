@@ -9,6 +9,7 @@ from rollcall.llm.neighbours import op9_nn_descent
 from rollcall.llm.packing import op3_best_fit_packing
 from rollcall.llm.pii import op6_contextual_pii
 from rollcall.llm.quality import op5_qda_quality
+from rollcall.llm.rules import OP11_SQL, op11_hashed_llr_rules
 from rollcall.llm.warc import OP1_SQL, op1_warc_round_trip
 
 QUERIES = {
@@ -22,8 +23,10 @@ QUERIES = {
     "op8_cws_fingerprints": op8_cws_fingerprints,
     "op9_nn_descent": op9_nn_descent,
     "op10_lsh_forest_join": op10_lsh_forest_join,
+    "op11_hashed_llr_rules": op11_hashed_llr_rules,
 }
 
 SQL = {
     "op1_warc_round_trip": OP1_SQL,
+    "op11_hashed_llr_rules": OP11_SQL,
 }
