@@ -3,6 +3,7 @@
 from rollcall.llm.cws import op8_cws_fingerprints
 from rollcall.llm.forest import op10_lsh_forest_join
 from rollcall.llm.language import op4_ecoc_language
+from rollcall.llm.lexical import OP12_SQL, op12_fp_tree_search
 from rollcall.llm.lm import op7_lattice_lm
 from rollcall.llm.mixing import op2_pareto_mix
 from rollcall.llm.neighbours import op9_nn_descent
@@ -24,9 +25,11 @@ QUERIES = {
     "op9_nn_descent": op9_nn_descent,
     "op10_lsh_forest_join": op10_lsh_forest_join,
     "op11_hashed_llr_rules": op11_hashed_llr_rules,
+    "op12_fp_tree_search": op12_fp_tree_search,
 }
 
 SQL = {
     "op1_warc_round_trip": OP1_SQL,
     "op11_hashed_llr_rules": OP11_SQL,
+    "op12_fp_tree_search": OP12_SQL,
 }
