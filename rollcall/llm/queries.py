@@ -11,6 +11,7 @@ from rollcall.llm.packing import op3_best_fit_packing
 from rollcall.llm.pii import op6_contextual_pii
 from rollcall.llm.quality import op5_qda_quality
 from rollcall.llm.rules import OP11_SQL, op11_hashed_llr_rules
+from rollcall.llm.variants import OP13_SQL, op13_reduced_alphabet_variants
 from rollcall.llm.warc import OP1_SQL, op1_warc_round_trip
 
 QUERIES = {
@@ -26,10 +27,12 @@ QUERIES = {
     "op10_lsh_forest_join": op10_lsh_forest_join,
     "op11_hashed_llr_rules": op11_hashed_llr_rules,
     "op12_fp_tree_search": op12_fp_tree_search,
+    "op13_reduced_alphabet_variants": op13_reduced_alphabet_variants,
 }
 
 SQL = {
     "op1_warc_round_trip": OP1_SQL,
     "op11_hashed_llr_rules": OP11_SQL,
     "op12_fp_tree_search": OP12_SQL,
+    "op13_reduced_alphabet_variants": OP13_SQL,
 }
