@@ -7,4 +7,6 @@ from rollcall.plans.attendance import (  # noqa: F401
 from rollcall.plans.dashboard import latest_loaded_date  # noqa: F401
 from rollcall.plans.employees import merge_employees, normalise_employees, upsert_employees  # noqa: F401
 from rollcall.plans.holidays import replace_holidays  # noqa: F401
-from rollcall.plans.leave import covered_days, leave_history, leave_window, refresh_leave  # noqa: F401
+from rollcall.plans.leave import (  # noqa: F401
+    covered_days, leave_history, leave_window, read_leave, refresh_leave, refresh_leave_days,
+)

@@ -1,4 +1,4 @@
-"""Leave and tour history: rebuilt in full from a fixed first day, then replaced."""
+"""Leave and tour history from a fixed first day: rebuilt in full and replaced, or kept by day."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from rollcall import schemas
 from rollcall.operators import bind_by_name
-from rollcall.sinks import read_table, replace_table
-from rollcall.sources import DAY_COL, FILE_COL, POS_COL, read_envelope
+from rollcall.sinks import drop_days, read_days, read_table, replace_table, rewrite_days
+from rollcall.sources import DAY_COL, FILE_COL, POS_COL, day_folders, fingerprints, landed_files, read_envelope
 
 # Fixed value: first day of the rebuilt history.
 HISTORY_START = "2024-01-01"
@@ -104,5 +104,71 @@ def refresh_leave(spark: SparkSession, landing: str, warehouse: str,
     return version
 
 
+DAYS = "leave_days"           # the day-partitioned leave table
+_READ = "leave_read"          # one row a day of it: what it was built from
+
+
+def _leave_prints(spark: SparkSession, landing: str, first: dt.date, last: dt.date | None,
+                  final: set[dt.date]) -> dict[dt.date, int]:
+    """One number a landed day that changes with the leave or tour files of the day; the folders of
+    ``final`` days are not looked into."""
+    feeds = []
+    for name in ("leave", "tour"):
+        path = f"{landing}/{name}"
+        landed = {dt.date.fromisoformat(f.rpartition("=")[2]) for f in day_folders(spark, path, first, last)}
+        feeds.append(landed_files(spark, path, days=sorted(landed - final)).withColumn("feed", F.lit(name)))
+    per = fingerprints(feeds[0].unionByName(feeds[1]), "feed")
+    day = per.groupBy(DAY_COL).agg(F.bit_xor(F.xxhash64("feed", "files", "bytes", "digest")).alias("print"))
+    return {r[DAY_COL]: r["print"] for r in day.filter(F.col(DAY_COL).isNotNull()).collect()}     # one row a day
+
+
+def refresh_leave_days(spark: SparkSession, landing: str, warehouse: str, start: str | dt.date = HISTORY_START,
+                       stop: str | dt.date | None = NEXT_DAY, multi_line: bool = True,
+                       since: str | dt.date | None = None, leave_record=schemas.LEAVE,
+                       tour_record=schemas.TOUR) -> list[dt.date]:
+    """The leave history of :func:`refresh_leave`, one folder a day, of which only the days whose landed
+    leave or tour files changed since they were read are read and rewritten; returns those.
+
+    The distinct key holds the day, so days never mix and the table equals a full rebuild.
+    A day of which nothing is left goes, as do days outside ``start`` to ``stop``. Days whose landed
+    folders are gone stay as stored. ``since`` takes the days before it that were read once as
+    final and does not look at their files. What was read is recorded after the days are
+    written: a run that fails is done again.
+    """
+    start, since = _as_day(start), _as_day(since)
+    if stop == NEXT_DAY:
+        from rollcall.plans.attendance import next_attendance_day
+        stop = next_attendance_day(spark, warehouse)
+    stop = _as_day(stop)
+    table = f"{warehouse}/{DAYS}"
+    inside = lambda d: d >= start and (stop is None or d <= stop)
+    stored = read_table(spark, warehouse, _READ)
+    known = {r[DAY_COL]: r["print"] for r in stored.collect()} if stored is not None else {}      # one row a day
+    now = _leave_prints(spark, landing, start, stop, {d for d in known if since is not None and d < since})
+    changed = sorted(d for d, p in now.items() if known.get(d) != p)
+    outside = [d for d in known if not inside(d)]
+    if changed:
+        feeds = [read_envelope(spark, f"{landing}/{name}", root, record, dated=True, multi_line=multi_line, days=changed)
+                 .drop(FILE_COL, POS_COL) for name, root, record in
+                 (("leave", schemas.ROOT_LEAVE, leave_record), ("tour", schemas.ROOT_TOUR, tour_record))]
+        rewrite_days(leave_history(*feeds), table, changed, "date")
+    if outside:
+        drop_days(spark, table, outside, "date")
+    if changed or outside or stored is None:
+        kept = {d: p for d, p in known.items() if inside(d)} | {d: now[d] for d in changed}
+        replace_table(spark.createDataFrame(sorted(kept.items()), f"{DAY_COL} date, print long").coalesce(1), warehouse, _READ)
+    return changed
+
+
+def read_leave(spark: SparkSession, warehouse: str) -> DataFrame | None:
+    """The leave history: the day table if :func:`refresh_leave_days` keeps one, else the replaced table."""
+    if read_table(spark, warehouse, _READ) is None:
+        return read_table(spark, warehouse, "leave")
+    columns = schemas.strings(*schemas.LEAVE_SHARED).add("date", "date")
+    stored = read_days(spark, f"{warehouse}/{DAYS}", columns, day_col="date")
+    stored = spark.createDataFrame([], columns) if stored is None else stored
+    return stored.select(*schemas.LEAVE_COLUMNS)
+
+
 def _as_day(day: str | dt.date | None) -> dt.date | None:
     return dt.date.fromisoformat(day) if isinstance(day, str) else day

@@ -13,12 +13,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rollcall.operators.union import merge_schemas
+from rollcall.sources.envelope import day_folders
+
 COMMITS = "_commits"
 _COMMIT_SCHEMA = "version LONG, committed_at STRING"
 
@@ -39,17 +43,88 @@ def append_day(df: DataFrame, path: str, day_col: str = "reportdate",
        .parquet(path))
 
 
-def read_days(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
-    """The day-partitioned table at ``path``; ``None`` if nothing was ever written."""
+def marks_of(path: str) -> tuple[str, str]:
+    """Root and name of the marks table that belongs to the day-partitioned table at ``path``."""
+    root, _, name = path.rstrip("/").rpartition("/")
+    return root, f"{name}_marks"
+
+
+def recorded_schema(spark: SparkSession, path: str, days: list[dt.date] | None = None,
+                    day_col: str = "reportdate") -> T.StructType | None:
+    """The union of the column sets that the marks record for the stored days (or for ``days``),
+    checked by type; ``None`` if a day has none recorded. One row a column set reaches the driver."""
+    marks = read_table(spark, *marks_of(path))
+    if marks is None or "schema" not in marks.columns:
+        return None
+    marks = marks.filter(F.col("rows") > 0)
+    if days is not None:
+        marks = marks.filter(F.col(day_col).isin(days))
+    sets = marks.groupBy("schema").agg(F.min(day_col).alias("first")).orderBy("first").collect()
+    if not sets or any(r["schema"] is None for r in sets):
+        return None
+    merged = merge_schemas([T.StructType.fromJson(json.loads(r["schema"])) for r in sets],
+                           [f"the days from {r['first']} on" for r in sets])
+    return T.StructType([*merged.fields, T.StructField(day_col, T.DateType(), True)])
+
+
+def read_days(spark: SparkSession, path: str, schema: T.StructType | None = None, days: list[dt.date] | None = None,
+              first_day: dt.date | None = None, day_col: str = "reportdate") -> DataFrame | None:
+    """The day-partitioned table at ``path``; ``None`` if nothing (of the asked days) was ever written.
+
+    ``days`` / ``first_day`` read those day folders alone: no other folder is listed. Columns are
+    those the marks record for the stored days: a day stored without one of them reads as
+    missing there, and two types of one column raise ``SchemaClash``. A table without marks
+    takes its columns from one file.
+    """
+    folders = [path]
+    if days is not None or first_day is not None:
+        folders = day_folders(spark, path, first_day, None, days, day_col)
+        if not folders:
+            return None
+    if schema is None:
+        schema = recorded_schema(spark, path, days, day_col)
     try:
-        reader = spark.read if schema is None else spark.read.schema(schema)
-        return reader.parquet(path)
+        reader = (spark.read if schema is None else spark.read.schema(schema)).option("basePath", path)
+        return reader.parquet(*folders)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
             return None
         raise
 
 
+def day_files(spark: SparkSession, path: str, days: list[dt.date], day_col: str = "reportdate") -> dict[dt.date, frozenset[str]]:
+    """Names of the stored files of those of ``days`` that are stored."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = {}
+    for folder in day_folders(spark, path, None, None, days, day_col):
+        at = jvm.org.apache.hadoop.fs.Path(folder)
+        names = frozenset(s.getPath().getName() for s in at.getFileSystem(conf).listStatus(at))
+        out[dt.date.fromisoformat(folder.rpartition("=")[2])] = names
+    return out
+
+
+def drop_days(spark: SparkSession, path: str, days: list[dt.date], day_col: str = "reportdate") -> list[dt.date]:
+    """Delete the folders of ``days``; returns those that were stored."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = []
+    for folder in (day_folders(spark, path, None, None, days, day_col) if days else ()):
+        at = jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(conf).delete(at, True)
+        gone.append(dt.date.fromisoformat(folder.rpartition("=")[2]))
+    return sorted(gone)
+
+
+def rewrite_days(df: DataFrame, path: str, days: list[dt.date], day_col: str = "reportdate") -> list[dt.date]:
+    """:func:`append_day` for a frame that holds all there is of ``days``: a stored day among them
+    that has no row any more is deleted. Returns the deleted days."""
+    spark = df.sparkSession
+    before = day_files(spark, path, days, day_col)
+    append_day(df, path, day_col)
+    after = day_files(spark, path, list(before), day_col)
+    # A rewritten day has files of new names; one that was left alone got no row.
+    return drop_days(spark, path, [d for d, names in before.items() if after.get(d) == names], day_col)
+
+
 def _table_dir(root: str, table: str) -> str:
     return f"{root.rstrip('/')}/{table}"
 

@@ -39,9 +39,11 @@ def _explode(df: DataFrame, root: Column, record: T.StructType, keep: list[Colum
     return exploded.select(*names, *rest)
 
 
-def day_folders(spark: SparkSession, path: str, first: dt.date | None, last: dt.date | None) -> list[str]:
-    """The ``reportdate=`` folders of ``path`` in the range, from one listing of its top level
-    (one entry a day); the files of other days are never listed."""
+def day_folders(spark: SparkSession, path: str, first: dt.date | None, last: dt.date | None,
+                days: list[dt.date] | None = None, day_col: str = DAY_COL) -> list[str]:
+    """The ``reportdate=`` folders of ``path`` in the range (and among ``days``), from one listing of
+    its top level (one entry a day); the files of other days are never listed."""
+    want = None if days is None else set(days)
     jvm = spark.sparkContext._jvm
     top = jvm.org.apache.hadoop.fs.Path(path)
     fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -51,13 +53,13 @@ def day_folders(spark: SparkSession, path: str, first: dt.date | None, last: dt.
     for status in fs.listStatus(top):
         name = status.getPath().getName()
         key, _, value = name.partition("=")
-        if not status.isDirectory() or key != DAY_COL:
+        if not status.isDirectory() or key != day_col:
             continue
         try:
             day = dt.date.fromisoformat(value)
         except ValueError:
             continue                       # the missing-day folder: in no range
-        if (first is None or day >= first) and (last is None or day <= last):
+        if (first is None or day >= first) and (last is None or day <= last) and (want is None or day in want):
             out.append(f"{path.rstrip('/')}/{name}")
     return sorted(out)
 
@@ -83,10 +85,7 @@ def read_envelope(spark: SparkSession, path: str, root: str, record: T.StructTyp
     if first_day is None and last_day is None and days is None:
         raw = reader.json(path)
     else:
-        folders = day_folders(spark, path, first_day, last_day)
-        if days is not None:
-            want = {f"{DAY_COL}={d.isoformat()}" for d in days}
-            folders = [f for f in folders if f.rpartition("/")[2] in want]
+        folders = day_folders(spark, path, first_day, last_day, days)
         raw = reader.option("basePath", path).json(folders) if folders else None
     if raw is None:
         fields = [*record.fields, T.StructField(POS_COL, T.IntegerType()), T.StructField(FILE_COL, T.StringType())]

@@ -20,14 +20,17 @@ from rollcall.sources import DAY_COL
 
 # Files are found by name, however old they are: the default forgets them after a week.
 _ANY_AGE = "36500d"
+# What Spark's file listing source gives for a file.
+_FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
 def landed_days(spark: SparkSession, landing: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming frame with one row per new file: the day of its folder."""
-    reader = (spark.readStream.schema(f"value string, {DAY_COL} date").option("maxFileAge", _ANY_AGE))
+    """Streaming frame with one row per new file: the day of its folder. No file is opened: of
+    the files' columns only the folder's day is read, never the content."""
+    reader = (spark.readStream.format("binaryFile").schema(f"{_FILE}, {DAY_COL} date").option("maxFileAge", _ANY_AGE))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return reader.text(f"{landing}/attendance", wholetext=True).select(DAY_COL)
+    return reader.load(f"{landing}/attendance").select(DAY_COL)
 
 
 def run_attendance_stream(spark: SparkSession, landing: str, warehouse: str, checkpoint: str,

@@ -7,7 +7,7 @@ import pytest
 from rollcall import schemas
 from rollcall.daily import run
 from rollcall.operators import has_rows
-from rollcall.plans import covered_days, load_attendance, next_attendance_day, refresh_leave, upsert_employees
+from rollcall.plans import covered_days, load_attendance, next_attendance_day, read_leave, refresh_leave, upsert_employees
 from rollcall.sinks import append_day, current_version, drop_old_versions, read_days, read_table, replace_table
 from rollcall.sources import (
     day_folders, explode_envelope, not_landed, read_envelope, read_records, request_manifest,
@@ -23,7 +23,7 @@ def _leave_days(landing, *days):
 
 
 def _stored_leave(spark, warehouse):
-    return sorted(r["date"].day for r in read_table(spark, warehouse, "leave").collect())
+    return sorted(r["date"].day for r in read_leave(spark, warehouse).collect())
 
 
 def test_window_on_a_fresh_store_rebuilds_in_full(spark, landing, warehouse):
