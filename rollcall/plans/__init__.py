@@ -5,7 +5,9 @@ from rollcall.plans.attendance import (  # noqa: F401
     load_days, next_attendance_day,
 )
 from rollcall.plans.dashboard import latest_loaded_date  # noqa: F401
-from rollcall.plans.employees import merge_employees, normalise_employees, upsert_employees  # noqa: F401
+from rollcall.plans.employees import (  # noqa: F401
+    merge_employees, normalise_employees, read_register, upsert_buckets, upsert_employee_buckets, upsert_employees,
+)
 from rollcall.plans.holidays import replace_holidays  # noqa: F401
 from rollcall.plans.leave import (  # noqa: F401
     covered_days, leave_history, leave_window, read_leave, refresh_leave, refresh_leave_days,

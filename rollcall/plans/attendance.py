@@ -14,7 +14,8 @@ from rollcall.operators import distinct_keys, lookup_keys, role_join
 from rollcall.sinks import drop_days, rewrite_days
 from rollcall.sinks.marks import day_states, marks_ahead, next_day_from_marks, note_prints, read_marks, refresh_marks
 from rollcall.sources import (
-    DAY_COL, FILE_COL, POS_COL, completeness, landed_days, landed_files, paged_manifest, read_envelope,
+    DAY_COL, FILE_COL, POS_COL, completeness, keyed_scan, landed_days, landed_files, paged_manifest,
+    read_envelope,
 )
 
 # The organisation whose devices keep their own entry name, and the
@@ -71,7 +72,7 @@ def adopt_table(spark: SparkSession, warehouse: str) -> None:
 def load_days(spark: SparkSession, landing: str, warehouse: str, days: list[dt.date],
               devices: DataFrame | None = None, dedupe_dim: bool = False, multi_line: bool = True,
               record=schemas.ATTENDANCE, device_record=schemas.DEVICES, restrict_devices: bool = False,
-              salt_buckets: int = 0, prints: DataFrame | None = None) -> bool:
+              salt_buckets: int = 0, prints: DataFrame | None = None, device_buckets: int | None = None) -> bool:
     """Load ``days`` whole from what has landed for them, replacing them, and mark them with the
     landed files' fingerprints (``prints``; taken here, before any file is read, if not given). A stored
     day of which nothing is left goes. Returns whether a row was loaded."""
@@ -85,6 +86,8 @@ def load_days(spark: SparkSession, landing: str, warehouse: str, days: list[dt.d
         drop_days(spark, table, days)
         refresh_marks(spark, table, days=days, prints=prints)
         return False
+    if devices is None and device_buckets:
+        devices = keyed_scan(spark, f"{landing}/devices_by_key", "device_id", device_keys(att), device_buckets)
     if devices is None:
         devices = read_envelope(spark, f"{landing}/devices", schemas.ROOT_DEVICES, device_record,
                                 multi_line=multi_line).drop(FILE_COL, POS_COL)
@@ -128,7 +131,7 @@ def held_days(expected: DataFrame, files: DataFrame, days: list[dt.date], page_s
     """Those of ``days`` that are not whole by ``expected`` (day, total), with their missing pages; a day that
     ``expected`` does not know is not whole."""
     manifest = paged_manifest(expected, "attendance", page_size, first_page).filter(F.col(DAY_COL).isin(days))
-    state = completeness(manifest, files).select(DAY_COL, "missing", "whole").collect()          # one row a day
+    state = completeness(manifest, files, page_size, first_page).select(DAY_COL, "missing", "whole").collect()          # one row a day
     whole = {r[DAY_COL] for r in state if r["whole"]}
     missing = {r[DAY_COL]: r["missing"] for r in state}
     return {d: missing.get(d, []) for d in days if d not in whole}
@@ -138,7 +141,8 @@ def load_attendance(spark: SparkSession, landing: str, warehouse: str,
                     first_day: str | dt.date | None = None, dedupe_dim: bool = False,
                     restrict_devices: bool = False, multi_line: bool = True, salt_buckets: int = 0,
                     record=schemas.ATTENDANCE, device_record=schemas.DEVICES,
-                    expected: DataFrame | None = None, page_size: int = 1000, first_page: int = 0) -> LoadStatus:
+                    expected: DataFrame | None = None, page_size: int = 1000, first_page: int = 0,
+                    device_buckets: int | None = None) -> LoadStatus:
     """Load every landed attendance day that no load has read as it now stands.
 
     The landed day folders are listed (no file is opened) and each day's files are compared
@@ -153,7 +157,9 @@ def load_attendance(spark: SparkSession, landing: str, warehouse: str,
     A date far ahead of its day would hide landed days behind the high-water mark. They are
     loaded all the same, and the status is stalled and names both.
     ``restrict_devices`` first semi-joins the device table with the ids in use
-    (same result; worthwhile only when the device table dwarfs the day's ids).
+    (same result; worthwhile only when the device table dwarfs the day's ids). With
+    ``device_buckets`` the devices are those that :func:`rollcall.sources.land_by_key` laid out in so many
+    buckets, of which only the buckets of ids in use are read.
     """
     path, table = f"{landing}/attendance", f"{warehouse}/attendance"
     start = next_attendance_day(spark, warehouse, first_day)
@@ -175,7 +181,8 @@ def load_attendance(spark: SparkSession, landing: str, warehouse: str,
     behind = [d for d in todo if states[d]["state"] == "new" and states[d]["behind"]]
 
     loaded = load_days(spark, landing, warehouse, days, dedupe_dim=dedupe_dim, multi_line=multi_line, record=record,
-                       device_record=device_record, restrict_devices=restrict_devices, salt_buckets=salt_buckets, prints=prints)
+                       device_record=device_record, restrict_devices=restrict_devices, salt_buckets=salt_buckets, prints=prints,
+                       device_buckets=device_buckets)
     ahead = _ahead(read_marks(spark, table), behind, max(states, default=None))
 
     message = "No New Attendance Data"

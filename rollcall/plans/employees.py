@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +10,8 @@ from rollcall import schemas
 from rollcall.functions import category, remove_first, title_case
 from rollcall.operators import bind_by_name, keep_first
 from rollcall.sinks import read_table, replace_versioned
-from rollcall.sources import FILE_COL, POS_COL, read_envelope
+from rollcall.sources import FILE_COL, POS_COL, bucket_of, read_envelope
+from rollcall.sources.keyed import BUCKET
 
 # Fixed value: suffix removed (first occurrence only) from title-cased designations.
 DESIGNATION_SUFFIX = " Ng"
@@ -59,6 +61,59 @@ def merge_employees(new: DataFrame, old: DataFrame | None, key: str = "emp_id",
     return first.drop("__src", "__ord", "__tie")
 
 
+BUCKETS = 64
+_BUCKETED = "employee_by_key"
+
+
+def _register(warehouse: str, buckets: int) -> str:
+    # The count is part of the place: a key is looked for where that count puts it.
+    return f"{warehouse}/{_BUCKETED}/of-{buckets}"
+
+
+def read_register(spark: SparkSession, warehouse: str, buckets: int = BUCKETS,
+                  only: list[int] | None = None) -> DataFrame | None:
+    """The register that :func:`upsert_buckets` keeps (or its buckets ``only``); ``None`` if there is none."""
+    path = _register(warehouse, buckets)
+    try:
+        whole = spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return None
+        raise
+    return whole if only is None else whole.filter(F.col(BUCKET).isin(only))
+
+
+def upsert_buckets(feed: DataFrame, warehouse: str, key: str = "emp_id", buckets: int = BUCKETS) -> list[int]:
+    """Merge ``feed`` (normalised, with its file and position) over the register kept in ``buckets`` hash
+    buckets of ``key``, reading and rewriting only the buckets that the feed has rows of; returns
+    those.
+
+    Buckets are swapped in one after another; a run that fails half way is done again and gives
+    the same register, since the feed's rows win either way. A feed that brings a new column
+    rewrites all buckets, so that every file holds the same columns; one whose column has
+    another type than the stored one raises ``SchemaClash``.
+    """
+    spark = feed.sparkSession
+    place = bucket_of(F.col(key), buckets)
+    touched = sorted(r[0] for r in feed.select(place.alias(BUCKET)).distinct().collect())    # ``buckets`` at most
+    if not touched:
+        return []
+    stored = read_register(spark, warehouse, buckets)
+    if stored is not None and set(feed.columns) - {FILE_COL, POS_COL} <= set(stored.columns):
+        stored = stored.filter(F.col(BUCKET).isin(touched))
+    merged = merge_employees(feed, None if stored is None else stored.drop(BUCKET), key)
+    (merged.withColumn(BUCKET, place).hint("rebalance", BUCKET).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(_register(warehouse, buckets)))
+    return touched
+
+
+def upsert_employee_buckets(spark: SparkSession, landing: str, warehouse: str, record=schemas.EMPLOYEE,
+                            multi_line: bool = True, buckets: int = BUCKETS) -> list[int]:
+    """:func:`upsert_employees` on the bucketed register: a small feed costs its own buckets, not the register."""
+    feed = read_envelope(spark, f"{landing}/employee", schemas.ROOT_EMPLOYEE, record, multi_line=multi_line)
+    return upsert_buckets(normalise_employees(feed), warehouse, buckets=buckets)
+
+
 def upsert_employees(spark: SparkSession, landing: str, warehouse: str,
                      record=schemas.EMPLOYEE, multi_line: bool = True) -> int:
     """Read the employee feed, normalise, merge over the stored register, and

@@ -22,14 +22,16 @@ PRINT = "files long, bytes long, digest long"
 
 def landed_files(spark: SparkSession, path: str, first_day: dt.date | None = None, last_day: dt.date | None = None,
                  days: list[dt.date] | None = None) -> DataFrame:
-    """One row a landed file of the chosen day folders: ``reportdate, file, bytes, modified``."""
+    """One row a landed file of the chosen day folders: ``reportdate, file, bytes, modified``; ``file`` is
+    its path within the day's folder."""
     folders = day_folders(spark, path, first_day, last_day, days)
     if not folders:
         return spark.createDataFrame([], FILES)
     raw = spark.read.format("binaryFile").option("basePath", path).load(folders)
-    meta = {"file": "file_name", "bytes": "file_size", "modified": "file_modification_time"}
     return raw.select(F.col(DAY_COL).cast("date").alias(DAY_COL),
-                      *[F.col(f"_metadata.{field}").alias(name) for name, field in meta.items()])
+                      F.regexp_extract("_metadata.file_path", f"/{DAY_COL}=[^/]*/(.*)$", 1).alias("file"),
+                      F.col("_metadata.file_size").alias("bytes"),
+                      F.col("_metadata.file_modification_time").alias("modified"))
 
 
 def fingerprints(files: DataFrame, *keys: str) -> DataFrame:
@@ -48,10 +50,13 @@ def landed_days(spark: SparkSession, path: str, first_day: dt.date | None = None
     return spark.createDataFrame(now.collect(), f"{DAY_COL} date, {PRINT}")            # one row a day
 
 
-def page_number(file: str | Column) -> Column:
-    """The last number in a file's name; null without one."""
+def page_number(file: str | Column, page_size: int = 1000, first_page: int = 0) -> Column:
+    """The page a landed file holds: by its ``offset=`` folder if it landed under the manifest's
+    path, else by the last number in its name; null without one."""
     name = F.col(file) if isinstance(file, str) else file
-    return F.regexp_extract(name, r"([0-9]{1,18})(?:\.[A-Za-z.]*)?$", 1).try_cast("long")
+    offset = F.regexp_extract(name, r"(?:^|/)offset=([0-9]{1,18})/", 1).try_cast("long")
+    number = F.regexp_extract(name, r"([0-9]{1,18})(?:\.[A-Za-z.]*)?$", 1).try_cast("long")
+    return F.coalesce(F.floor(offset / page_size) + first_page, number)
 
 
 def paged_manifest(totals: DataFrame, feed: str, page_size: int = 1000, first_page: int = 0,
@@ -70,11 +75,10 @@ def paged_manifest(totals: DataFrame, feed: str, page_size: int = 1000, first_pa
     return pages.select(DAY_COL, (F.expr(f"__offset div {page_size}") + F.lit(first_page)).alias("page"), path.alias("path"))
 
 
-def completeness(manifest: DataFrame, files: DataFrame) -> DataFrame:
+def completeness(manifest: DataFrame, files: DataFrame, page_size: int = 1000, first_page: int = 0) -> DataFrame:
     """Per day of the paged ``manifest``: ``pages`` asked for, ``landed`` ones among them, the numbers
-    of the ``missing`` ones, and whether the day is ``whole``. A page has landed if some file's
-    name ends in its number."""
-    have = files.select(DAY_COL, page_number("file").alias("page")).distinct().withColumn("__have", F.lit(True))
+    of the ``missing`` ones, and whether the day is ``whole``."""
+    have = files.select(DAY_COL, page_number("file", page_size, first_page).alias("page")).distinct().withColumn("__have", F.lit(True))
     got = manifest.join(have, [DAY_COL, "page"], "left")
     out = got.groupBy(DAY_COL).agg(
         F.count(F.lit(1)).alias("pages"), F.count("__have").alias("landed"),
