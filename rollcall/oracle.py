@@ -210,8 +210,44 @@ SQL["attendance_mixed"] = SQL["attendance_stream"]
 SQL["leave_gap_refresh"] = SQL["leave_tour_refresh"]
 SQL["employee_landing"] = SQL["employee_normalise"]
 SQL["holiday_landing"] = "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation"
-SQL["daily_run"] = f"""
-    SELECT 'attendance' AS table_name, count(*) AS rows FROM events
-    UNION ALL SELECT 'leave', count(*) FROM ({SQL["leave_tour_refresh"]}) l
-    UNION ALL SELECT 'employee', count(*) FROM customer WHERE c_acctbal >= 0
-    UNION ALL SELECT 'holiday', count(*) FROM nation"""
+SQL["attendance_late_pages"] = SQL["attendance_stream"]
+SQL["leave_changed_days"] = SQL["leave_tour_refresh"]
+SQL["keyed_bucket_scan"] = SQL["keyed_lookup"]
+SQL["employee_buckets"] = SQL["employee_normalise"]
+SQL["attendance_gate"] = """
+    SELECT CAST(ts AS DATE) AS reportdate, CASE WHEN CAST(ts AS DATE) <> DATE '2024-01-10' THEN count(*) END AS rows,
+           CASE WHEN CAST(ts AS DATE) = DATE '2024-01-10' THEN CAST(1 AS BIGINT) END AS missing_page
+    FROM events GROUP BY CAST(ts AS DATE)"""
+SQL["attendance_misdated"] = """
+    WITH days AS (SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1)
+    SELECT 'ahead' AS what, DATE '2024-01-05' AS reportdate, DATE '2042-01-01' AS max_date, CAST(NULL AS BIGINT) AS rows
+    UNION ALL SELECT 'behind', d, NULL, NULL FROM days WHERE d > DATE '2024-01-10'
+    UNION ALL SELECT 'stored', d, CASE WHEN d = DATE '2024-01-05' THEN DATE '2042-01-01' ELSE d END, n FROM days"""
+SQL["stored_days_columns"] = """
+    SELECT event_id, event_type, CASE WHEN CAST(ts AS DATE) > DATE '2024-01-15' THEN value END AS value,
+           CAST(ts AS DATE) AS reportdate
+    FROM events"""
+SQL["manifest_pages"] = """
+    SELECT reportdate, page + 1 AS page,
+           concat('events/reportdate=', strftime(reportdate, '%Y-%m-%d'), '/offset=', page * 100, '/count=100') AS path
+    FROM (SELECT reportdate, unnest(range(0, (n + 99) // 100)) AS page
+          FROM (SELECT CAST(ts AS DATE) AS reportdate, count(*) AS n FROM events GROUP BY 1) t) p"""
+SQL["records_scan"] = """
+    SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name,
+           CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS _pos FROM nation"""
+
+
+def _content(name: str, sql: str, columns: list[str]) -> str:
+    """Rows and content sum of a stored table, as the daily run's key reports them."""
+    text = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in sorted(columns))
+    return (f"SELECT '{name}' AS table_name, count(*) AS rows, "
+            f"CAST(sum(CAST('0x' || left(md5({text}), 8) AS BIGINT)) AS BIGINT) AS content FROM ({sql}) t")
+
+
+SQL["daily_run"] = " UNION ALL ".join([
+    _content("attendance", SQL["attendance_stream"], ["emp_id", "log_date", "in_device_id", "out_device_id",
+                                                      "in_location", "out_location", "reportdate"]),
+    _content("leave", SQL["leave_tour_refresh"], ["date", "emp_id", "leave_type", "reason", "created_by", "creation_date"]),
+    _content("employee", SQL["employee_normalise"], ["emp_id", "emp_name", "designation", "division", "cat"]),
+    _content("holiday", "SELECT '2024-01-26' AS holiday_date, n_name AS holiday_name FROM nation",
+             ["holiday_date", "holiday_name"])])

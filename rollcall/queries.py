@@ -564,9 +564,173 @@ def holiday_landing(spark, sf_dir):
     return read_table(spark, root, "holiday")
 
 
+# -- what has landed: late pages, held-back days, misdated rows, changed days --------------
+
+def _attendance_records(spark, sf_dir) -> DataFrame:
+    """Events as attendance records, with their day and a half (by id) that tells early from late pages."""
+    ev = _t(spark, sf_dir, "events")
+    k = json_field("props", "k", "int").cast("string")
+    out_dev = F.when(F.col("event_type") == "error", F.lit("")).when(F.col("event_type") != "view", k)
+    return ev.select(F.col("user_id").cast("string").alias("emp_id"), iso_text("ts").alias("log_date"),
+                     F.col("user_id").cast("string").alias("in_device_id"), out_dev.alias("out_device_id"),
+                     F.col("ts").cast("date").alias("reportdate"), F.pmod("event_id", F.lit(3)).alias("third"))
+
+
+def _land_devices(spark, sf_dir, landing: str) -> None:
+    from rollcall.schemas import DEVICES, ROOT_DEVICES
+    c = _t(spark, sf_dir, "customer")
+    dev = c.select(F.col("c_custkey").cast("string").alias("device_id"),
+                   F.lpad(F.col("c_nationkey").cast("string"), 6, "0").alias("org_id"),
+                   F.col("c_name").alias("entry_name"), F.col("c_mktsegment").alias("org_name"))
+    _land(dev.select(*DEVICES.fieldNames()), f"{landing}/devices", ROOT_DEVICES)
+
+
+def _land_more(records: DataFrame, path: str, root: str, *folders: str) -> None:
+    """Add ``records`` to what has landed, as envelopes of eight a folder (``reportdate`` and ``folders``)."""
+    keys = ["reportdate", *folders]
+    fields = [c for c in records.columns if c not in keys]
+    page = F.pmod(F.xxhash64(*fields), F.lit(8)).alias("__page")
+    body = F.to_json(F.struct(F.collect_list(F.struct(*fields)).alias(root))).alias("value")
+    records.groupBy(*keys, page).agg(body).drop("__page").write.mode("append").partitionBy(*keys).text(path)
+
+
+_ATTENDANCE_OUT = ["emp_id", "log_date", "in_device_id", "out_device_id", "in_location", "out_location", "reportdate"]
+
+
+def attendance_late_pages(spark, sf_dir):
+    """A batch load, then more pages of the same days, then a batch load: nothing is lost."""
+    from rollcall.plans import load_attendance
+    from rollcall.schemas import ROOT_ATTENDANCE
+    root = scratch_path(spark, "attendance_late_pages")
+    landing = f"{root}/landing"
+    _land_devices(spark, sf_dir, landing)
+    records = _attendance_records(spark, sf_dir)
+    for part in (F.col("third") == 0, F.col("third") > 0):
+        _land_more(records.filter(part).drop("third"), f"{landing}/attendance", ROOT_ATTENDANCE)
+        load_attendance(spark, landing, root, multi_line=False)
+    return read_days(spark, f"{root}/attendance").select(*_ATTENDANCE_OUT)
+
+
+def attendance_gate(spark, sf_dir):
+    """Three pages a day landed under their manifest paths, but for the second one of the 10th: that day is held
+    back with its page, without rows and unmarked; the others are loaded."""
+    from rollcall.plans import load_attendance
+    from rollcall.schemas import ROOT_ATTENDANCE
+    from rollcall.sinks import read_marks
+    root = scratch_path(spark, "attendance_gate")
+    landing = f"{root}/landing"
+    _land_devices(spark, sf_dir, landing)
+    records = _attendance_records(spark, sf_dir).withColumns({"offset": F.col("third") * 1000, "count": F.lit(1000)})
+    missing = (F.col("reportdate") == F.lit("2024-01-10").cast("date")) & (F.col("third") == 1)
+    _land_more(records.filter(~missing).drop("third"), f"{landing}/attendance", ROOT_ATTENDANCE, "offset", "count")
+    totals = records.groupBy("reportdate").agg(F.lit(3000).cast("long").alias("total"))
+    status = load_attendance(spark, landing, root, multi_line=False, expected=totals)
+    held = spark.createDataFrame([(d, p) for d, pages in status.held.items() for p in pages], "reportdate date, missing_page long")
+    marks = read_marks(spark, f"{root}/attendance").select("reportdate", "rows")
+    return marks.join(held, "reportdate", "full")
+
+
+def attendance_misdated(spark, sf_dir):
+    """The days to the 10th are loaded, the 5th with rows dated 2042; then the other days land. The load names the
+    misdated day and the days behind its date, and reads them."""
+    from rollcall.plans import load_attendance
+    from rollcall.schemas import ROOT_ATTENDANCE
+    from rollcall.sinks import read_marks
+    root = scratch_path(spark, "attendance_misdated")
+    landing = f"{root}/landing"
+    _land_devices(spark, sf_dir, landing)
+    records = _attendance_records(spark, sf_dir)
+    wrong = (F.col("reportdate") == F.lit("2024-01-05").cast("date")) & (F.col("third") == 0)
+    records = records.withColumn("log_date", F.when(wrong, "2042-01-01").otherwise(F.col("log_date"))).drop("third")
+    early = F.col("reportdate") <= F.lit("2024-01-10").cast("date")
+    for part in (early, ~early):
+        _land_more(records.filter(part), f"{landing}/attendance", ROOT_ATTENDANCE)
+        status = load_attendance(spark, landing, root, multi_line=False)
+    said = [("ahead", d, m) for d, m in status.ahead] + [("behind", d, None) for d in status.behind]
+    marks = read_marks(spark, f"{root}/attendance").select(F.lit("stored").alias("what"), "reportdate", "max_date", "rows")
+    report = spark.createDataFrame(said, "what string, reportdate date, max_date date")
+    return report.withColumn("rows", F.lit(None).cast("long")).unionByName(marks)
+
+
+def leave_changed_days(spark, sf_dir):
+    """Leave by day: a run over a part of each day's records and the 11th left out, more files for all days,
+    then a run that reads what changed, then one that finds nothing to do."""
+    from rollcall.plans import read_leave, refresh_leave_days
+    from rollcall.schemas import ROOT_LEAVE, ROOT_TOUR
+    root = scratch_path(spark, "leave_changed_days")
+    feeds = zip(_leave_feeds(spark, sf_dir), ("leave", "tour"), (ROOT_LEAVE, ROOT_TOUR))
+    first = (F.col("reason") == "click") & (F.col("reportdate") != F.lit("2024-01-11").cast("date"))
+    feeds = list(feeds)
+    for part in (first, ~first):
+        for feed, name, key in feeds:
+            _land_more(feed.filter(part), f"{root}/landing/{name}", key)
+        refresh_leave_days(spark, f"{root}/landing", root, start="1970-01-01", stop=None, multi_line=False)
+    if refresh_leave_days(spark, f"{root}/landing", root, start="1970-01-01", stop=None, multi_line=False):
+        raise RuntimeError("unchanged days were read again")
+    return read_leave(spark, root)
+
+
+def stored_days_columns(spark, sf_dir):
+    """Days stored with a column that earlier days lack read back whole, filled with missing values."""
+    from rollcall.sinks import refresh_marks
+    path = f"{scratch_path(spark, 'stored_days_columns')}/events"
+    ev = _t(spark, sf_dir, "events").withColumn("reportdate", F.col("ts").cast("date"))
+    early = F.col("reportdate") <= F.lit("2024-01-15").cast("date")
+    for rows in (ev.filter(early).select("event_id", "event_type", "reportdate"),
+                 ev.filter(~early).select("event_id", "value", "event_type", "reportdate")):
+        append_day(rows, path)
+        days = [r[0] for r in rows.select("reportdate").distinct().collect()]
+        refresh_marks(spark, path, days=days, col="reportdate", schema=rows.schema)
+    return read_days(spark, path).select("event_id", "event_type", "value", "reportdate")
+
+
+def manifest_pages(spark, sf_dir):
+    """One path a page of each day's events, a hundred records a page, and those of which nothing landed."""
+    from rollcall.sources import paged_manifest
+    ev = _t(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("reportdate"), "event_id")
+    totals = ev.groupBy("reportdate").agg(F.count(F.lit(1)).alias("total"))
+    return paged_manifest(totals, "events", page_size=100, first_page=1)
+
+
+def records_scan(spark, sf_dir):
+    """Regions landed as bare JSON arrays, one file each, read record by record with their positions."""
+    from rollcall.sources import read_records
+    path = f"{scratch_path(spark, 'records_scan')}/nations"
+    recs = F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))
+    body = _t(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.to_json(recs).alias("value"))
+    body.write.partitionBy("n_regionkey").text(path)
+    record = T.StructType([T.StructField("n_nationkey", T.LongType()), T.StructField("n_name", T.StringType())])
+    return read_records(spark, path, record).select("n_nationkey", "n_name", "_pos")
+
+
+def keyed_bucket_scan(spark, sf_dir):
+    """The keyed scan from a source laid out in hash buckets of its key: buckets without a key are not read."""
+    from rollcall.sources import keyed_scan, land_by_key
+    path = scratch_path(spark, "keyed_bucket_scan")
+    part = _t(spark, sf_dir, "part").select("p_partkey", "p_name")
+    land_by_key(part, path, "p_partkey", 32)
+    keys = distinct_keys(_role_keys(spark, sf_dir), ["in_key", "out_key"], exclude=1, name="key")
+    return keyed_scan(spark, path, "p_partkey", keys, 32)
+
+
+def employee_buckets(spark, sf_dir):
+    """The register in hash buckets, loaded with an older feed of some employees and then with the whole feed."""
+    from rollcall.plans import read_register, upsert_employee_buckets
+    from rollcall.schemas import ROOT_EMPLOYEE
+    root = scratch_path(spark, "employee_buckets")
+    feed = _employee_feed(spark, sf_dir)
+    older = feed.filter(F.col("division") != "BUILDING").withColumn("division", F.lit("OLD"))
+    for f in (older, feed):
+        _land(f, f"{root}/landing/employee", ROOT_EMPLOYEE)
+        upsert_employee_buckets(spark, f"{root}/landing", root, multi_line=False, buckets=16)
+    return read_register(spark, root, 16).select("emp_id", "emp_name", "designation", "division", "cat")
+
+
 def daily_run(spark, sf_dir):
-    """The daily job over all four feeds, run twice; rows of each stored table."""
+    """The daily job over all four feeds, run twice; rows and content of each stored table, the content as
+    the sum of 32 bits of each row's MD5."""
     from rollcall.daily import run
+    from rollcall.plans import read_leave
     from rollcall.schemas import DEVICES, ROOT_DEVICES, ROOT_EMPLOYEE, ROOT_HOLIDAY
     root = scratch_path(spark, "daily_run")
     landing = f"{root}/landing"
@@ -582,14 +746,20 @@ def daily_run(spark, sf_dir):
         failed = {k: v for k, v in out.items() if v.startswith("FAILED")}
         if failed:
             raise RuntimeError(str(failed))
-    tables = {"attendance": read_days(spark, f"{root}/attendance"),
-              **{t: read_table(spark, root, t) for t in ("leave", "employee", "holiday")}}
+    tables = {"attendance": read_days(spark, f"{root}/attendance"), "leave": read_leave(spark, root),
+              **{t: read_table(spark, root, t) for t in ("employee", "holiday")}}
     rows = None
     for name, t in tables.items():
-        one = t.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows"))
+        text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in sorted(t.columns)])
+        bits = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+        one = t.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows"), F.sum(bits).alias("content"))
         rows = one if rows is None else rows.unionByName(one)
     return rows
 
 
 QUERIES.update({"attendance_mixed": attendance_mixed, "leave_gap_refresh": leave_gap_refresh,
                 "employee_landing": employee_landing, "holiday_landing": holiday_landing, "daily_run": daily_run})
+QUERIES.update({"attendance_late_pages": attendance_late_pages, "attendance_gate": attendance_gate,
+                "attendance_misdated": attendance_misdated, "leave_changed_days": leave_changed_days,
+                "stored_days_columns": stored_days_columns, "manifest_pages": manifest_pages,
+                "records_scan": records_scan, "keyed_bucket_scan": keyed_bucket_scan, "employee_buckets": employee_buckets})
