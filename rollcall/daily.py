@@ -89,7 +89,8 @@ def main(argv: list[str] | None = None) -> int:
         from rollcall.session import local_session
         spark = local_session()
     else:
-        spark = SparkSession.builder.appName("rollcall-daily").getOrCreate()
+        from rollcall.session import BASE_CONF
+        spark = SparkSession.builder.appName("rollcall-daily").config(map=BASE_CONF).getOrCreate()
     totals = None
     if args.attendance_totals:
         totals = spark.read.schema("reportdate date, total long").option("mode", "FAILFAST").json(args.attendance_totals)

@@ -213,6 +213,7 @@ SQL["holiday_landing"] = "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_
 SQL["attendance_late_pages"] = SQL["attendance_stream"]
 SQL["leave_changed_days"] = SQL["leave_tour_refresh"]
 SQL["keyed_bucket_scan"] = SQL["keyed_lookup"]
+SQL["emp_upsert_view"] = SQL["emp_upsert"]
 SQL["employee_buckets"] = SQL["employee_normalise"]
 SQL["attendance_gate"] = """
     SELECT CAST(ts AS DATE) AS reportdate, CASE WHEN CAST(ts AS DATE) <> DATE '2024-01-10' THEN count(*) END AS rows,

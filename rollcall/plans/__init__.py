@@ -6,7 +6,8 @@ from rollcall.plans.attendance import (  # noqa: F401
 )
 from rollcall.plans.dashboard import latest_loaded_date  # noqa: F401
 from rollcall.plans.employees import (  # noqa: F401
-    merge_employees, normalise_employees, read_register, upsert_buckets, upsert_employee_buckets, upsert_employees,
+    merge_employees, normalise_employees, read_register, upsert_buckets, upsert_employee_buckets, upsert_employee_view,
+    upsert_employees,
 )
 from rollcall.plans.holidays import replace_holidays  # noqa: F401
 from rollcall.plans.leave import (  # noqa: F401

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rollcall import schemas
 from rollcall.functions import category, remove_first, title_case
 from rollcall.operators import bind_by_name, keep_first
-from rollcall.sinks import read_table, replace_versioned
+from rollcall.sinks import read_table, read_view, replace_versioned, replace_view
 from rollcall.sources import FILE_COL, POS_COL, bucket_of, read_envelope
 from rollcall.sources.keyed import BUCKET
 
@@ -122,3 +122,10 @@ def upsert_employees(spark: SparkSession, landing: str, warehouse: str,
                          multi_line=multi_line)
     merged = merge_employees(normalise_employees(feed), read_table(spark, warehouse, "employee"))
     return replace_versioned(merged, warehouse, "employee")
+
+
+def upsert_employee_view(spark: SparkSession, landing: str, view: str, location: str,
+                         record=schemas.EMPLOYEE, multi_line: bool = True) -> int:
+    """:func:`upsert_employees` for a register kept in the catalog: read and replaced by its view's name."""
+    feed = read_envelope(spark, f"{landing}/employee", schemas.ROOT_EMPLOYEE, record, multi_line=multi_line)
+    return replace_view(merge_employees(normalise_employees(feed), read_view(spark, view)), view, location)

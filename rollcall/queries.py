@@ -308,6 +308,13 @@ def leave_tour_refresh_window(spark, sf_dir):
     return read_table(spark, root, "leave")
 
 
+def _order_feed(spark, sf_dir) -> DataFrame:
+    o = _t(spark, sf_dir, "orders")
+    page = F.when(F.col("o_orderstatus") == "F", "page-2.json").otherwise("page-10.json")
+    return o.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("seg"),
+                    F.lit(0).alias("src"), page.alias("_file"), F.col("o_orderkey").alias("_pos"))
+
+
 def emp_upsert(spark, sf_dir):
     """Stored register = customers; the feed = orders in two pages, completed ones on page 2
     and the others on page 10 (one row per order, first order per customer wins); the
@@ -316,15 +323,24 @@ def emp_upsert(spark, sf_dir):
     c = _t(spark, sf_dir, "customer")
     replace_versioned(c.select("c_custkey", F.col("c_mktsegment").alias("seg"), F.lit(1).alias("src")),
                       root, "emp")
-    o = _t(spark, sf_dir, "orders")
-    page = F.when(F.col("o_orderstatus") == "F", "page-2.json").otherwise("page-10.json")
-    feed = o.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("seg"),
-                    F.lit(0).alias("src"), page.alias("_file"), F.col("o_orderkey").alias("_pos"))
-    merged = merge_employees(feed, read_table(spark, root, "emp"), key="c_custkey")
+    merged = merge_employees(_order_feed(spark, sf_dir), read_table(spark, root, "emp"), key="c_custkey")
     replace_versioned(merged, root, "emp")
     return read_table(spark, root, "emp").select("c_custkey", "seg", "src")
 
 
+def emp_upsert_view(spark, sf_dir):
+    """The register's upsert by name: read through its view, written as the next table, the view moved on."""
+    import uuid
+
+    from rollcall.sinks import read_view, replace_view
+    name, place = f"emp_{uuid.uuid4().hex[:12]}", scratch_path(spark, "emp_upsert_view")
+    c = _t(spark, sf_dir, "customer")
+    replace_view(c.select("c_custkey", F.col("c_mktsegment").alias("seg"), F.lit(1).alias("src")), name, place)
+    merged = merge_employees(_order_feed(spark, sf_dir), read_view(spark, name), key="c_custkey")
+    replace_view(merged, name, place)
+    return spark.sql(f"SELECT c_custkey, seg, src FROM {name}")
+
+
 def append_day_q(spark, sf_dir):
     """All landed days appended, the same load run again, then an empty day."""
     path = f"{scratch_path(spark, 'append_day')}/events"
@@ -762,4 +778,4 @@ QUERIES.update({"attendance_mixed": attendance_mixed, "leave_gap_refresh": leave
 QUERIES.update({"attendance_late_pages": attendance_late_pages, "attendance_gate": attendance_gate,
                 "attendance_misdated": attendance_misdated, "leave_changed_days": leave_changed_days,
                 "stored_days_columns": stored_days_columns, "manifest_pages": manifest_pages,
-                "records_scan": records_scan, "keyed_bucket_scan": keyed_bucket_scan, "employee_buckets": employee_buckets})
+                "records_scan": records_scan, "keyed_bucket_scan": keyed_bucket_scan, "employee_buckets": employee_buckets, "emp_upsert_view": emp_upsert_view})

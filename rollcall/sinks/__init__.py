@@ -7,3 +7,6 @@ from rollcall.sinks.tables import (  # noqa: F401
 from rollcall.sinks.marks import (  # noqa: F401,E402
     day_marks, day_states, latest_from_marks, marks_ahead, next_day_from_marks, read_marks, refresh_marks,
 )
+from rollcall.sinks.catalog import (  # noqa: F401,E402
+    current_view_version, drop_old_view_versions, read_view, replace_view, view_versions,
+)
