@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -101,18 +103,37 @@ def best_fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarra
 
 # ---- tokenising ---------------------------------------------------------------------
 
-_CACHE_MAX = 300_000
+_CACHE_MAX = 250_000           # chunks, in each of two generations
 _SPACE_RUN = re.compile(r" \s")
 _SAFE_CUT = re.compile(r"(?<=\S)(?= )")
+_SPACE_SIGN = chr(256 + 0x20)                  # how a byte-level vocabulary writes a space
 
 
 def chunks(text: str) -> list[str]:
-    """``text`` cut before single spaces that follow a non-space. The pre-tokeniser always
-    starts a new token there, so the chunks' ids, joined, are the text's ids."""
-    if _SPACE_RUN.search(text):
-        return _SAFE_CUT.split(text)
-    head, *rest = text.split(" ")
-    return [head, *[" " + c for c in rest]]
+    """``text`` cut before single spaces that follow a non-space, and around single line feeds
+    between non-spaces. The pre-tokeniser always starts a new token there, so the chunks'
+    ids, joined, are the text's ids."""
+    out: list[str] = []
+    lines = text.split("\n")
+    held = lines[0]
+    for line in lines[1:]:
+        if held and line and not held[-1].isspace() and not line[0].isspace():
+            _cut_line(held, out)
+            out.append("\n")
+            held = line
+        else:
+            held = f"{held}\n{line}"
+    _cut_line(held, out)
+    return out
+
+
+def _cut_line(line: str, out: list[str]) -> None:
+    if _SPACE_RUN.search(line):
+        out += _SAFE_CUT.split(line)
+    else:
+        head, *rest = line.split(" ")
+        out.append(head)
+        out += [" " + c for c in rest]
 
 
 def byte_letters() -> dict[int, str]:
@@ -123,6 +144,13 @@ def byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in own}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
 
 
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class ChunkEncoder:
     """Little-endian unsigned 32-bit ids of texts; common chunks are encoded once a task.
 
@@ -139,6 +167,7 @@ class ChunkEncoder:
         self.model = self.tok.model
         self.letters = byte_letters()
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _part(self, p: str) -> bytes:
@@ -146,35 +175,54 @@ class ChunkEncoder:
         if got is None:
             if len(self.parts) > _CACHE_MAX:
                 self.parts.clear()
-            signs = p.encode("utf-8").decode("latin-1").translate(self.letters)
-            got = self.parts[p] = np.array([t.id for t in self.model.tokenize(signs)], dtype="<u4").tobytes()
+            if p.isascii():                    # letters and marks stand for themselves
+                signs = _SPACE_SIGN + p[1:] if p[:1] == " " else p
+            else:
+                signs = p.encode("utf-8").decode("latin-1").translate(self.letters)
+            got = self.parts[p] = _packed([t.id for t in self.model.tokenize(signs)])
         return got
 
     def _encode(self, chunks_: list[str]) -> dict[str, bytes]:
-        out, other = {}, []
+        out, other, part, marks = {}, [], self._part, self._MARKS
         for c in chunks_:
-            core = c.rstrip(self._MARKS)
+            if (c[1:] if c[:1] == " " else c).isalpha():
+                out[c] = part(c)
+                continue
+            core = c.rstrip(marks)
             if (core[1:] if core[:1] == " " else core).isalpha():
-                out[c] = self._part(core) + (self._part(c[len(core):]) if len(core) < len(c) else b"")
+                out[c] = part(core) + part(c[len(core):])
             else:
                 other.append(c)
         for c, e in zip(other, self.tok.encode_batch(other, add_special_tokens=False) if other else ()):
-            out[c] = np.array(e.ids, dtype="<u4").tobytes()
+            out[c] = _packed(e.ids)
         return out
 
     def __call__(self, text: str) -> bytes:
         parts = chunks(text)
-        cache = self.cache
-        missing = [p for p in set(parts) if p not in cache]
-        if missing:
-            if len(cache) + len(missing) > _CACHE_MAX:
-                cache.clear()
-                missing = list(set(parts))
-            got = self._encode(missing)
-            if len(got) > _CACHE_MAX:          # one very long text: its own ids, not kept
-                return b"".join([got[p] for p in parts])
-            cache.update(got)
-        return b"".join([cache[p] for p in parts])
+        cache, older = self.cache, self.older
+        new = [p for p in set(parts) if p not in cache]
+        if new:
+            if len(cache) + len(new) > _CACHE_MAX:
+                # What was met since the last change stays at hand; what was not, goes.
+                self.older = older = cache
+                self.cache = cache = {}
+                new = list(set(parts))
+            unseen = [p for p in new if p not in older]
+            if len(unseen) > _CACHE_MAX:       # one very long text: its own ids, not kept
+                got = self._encode(new)
+                return b"".join(map(got.__getitem__, parts))
+            if len(unseen) < len(new):
+                cache.update([(p, older[p]) for p in new if p in older])
+            cache.update(self._encode(unseen))
+        return b"".join(map(cache.__getitem__, parts))
+
+
+def encoder(path: str) -> ChunkEncoder:
+    """The worker process's encoder for ``path``: loaded once, with the chunks that earlier tasks met."""
+    held = vars(sys.modules["tokenizers"]).setdefault("_chunk_encoders", {})
+    if path not in held:
+        held[path] = ChunkEncoder(path)
+    return held[path]
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -202,7 +250,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str | None = None, text: str =
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = ChunkEncoder(path)
+        import tokenizers  # noqa: F401 -- holds the process's encoders
+        encode = encoder(path)
         end = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
             rows = [[] for _ in fields]
