@@ -6,7 +6,7 @@ from rollcall.llm.language import op4_ecoc_language
 from rollcall.llm.lexical import OP12_SQL, op12_fp_tree_search
 from rollcall.llm.lm import op7_lattice_lm
 from rollcall.llm.mixing import op2_pareto_mix
-from rollcall.llm.neighbours import op9_nn_descent
+from rollcall.llm.neighbours import OP9_SQL, op9_nn_descent
 from rollcall.llm.packing import op3_best_fit_packing
 from rollcall.llm.pii import op6_contextual_pii
 from rollcall.llm.quality import op5_qda_quality
@@ -32,6 +32,7 @@ QUERIES = {
 
 SQL = {
     "op1_warc_round_trip": OP1_SQL,
+    "op9_nn_descent": OP9_SQL,
     "op11_hashed_llr_rules": OP11_SQL,
     "op12_fp_tree_search": OP12_SQL,
     "op13_reduced_alphabet_variants": OP13_SQL,

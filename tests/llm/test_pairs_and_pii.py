@@ -194,8 +194,10 @@ def test_starts_follow_the_rows_and_the_audit_sees_rare_links(spark):
     order = spark.range(3000).selectExpr("id", "pmod(xxhash64(id, 99), 3) as part").filter("part = 2").orderBy("id").limit(4)
     a, b, c, d = [r.id for r in order.collect()]
     v[b], v[d] = v[a] * 1.001 + 1e-4, v[c] * 1.001 + 1e-4
-    space = spark.createDataFrame([(i, 1, x.tolist()) for i, x in enumerate(v)], "node long, space long, v array<double>")
-    assert audit(space, spark.createDataFrame([], "node long, component long"), 0.98) == (4, 0)
+    space = spark.createDataFrame([(i, 1, 16, x.tolist()) for i, x in enumerate(v)], "node long, label long, size long, v array<double>")
+    lists = spark.createDataFrame([(i, (i + 1) % 3000, 0.1) for i in range(3000)] + [(a, b, 1.0), (b, a, 1.0), (c, d, 1.0), (d, c, 0.95)],
+                                  "node long, nbr long, sim float")
+    assert audit(space, spark.createDataFrame([], "node long, component long"), 0.98, lists) == (4, 0)
 
 
 def test_components(spark):
@@ -251,3 +253,48 @@ def test_similar_documents_odd_rows(spark, tmp_path):
     kept = drop_near_duplicates(df)
     assert kept.columns == df.columns and kept.count() == 6
     assert drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def _linked(rows, threshold=0.98):
+    """{vec_id: (n_links, component_id)} by brute force for (vec_id, embedding, label), ids distinct."""
+    ok = {i: (label, np.array(v, dtype=float)) for i, v, label in rows if v and label is not None and any(v)}
+    links = {i: set() for i, _, _ in rows}
+    for i, (a, x) in ok.items():
+        for j, (b, y) in ok.items():
+            if i != j and a == b and len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= threshold:
+                links[i].add(j)
+    out = {}
+    for i in links:
+        seen, todo = {i}, [i]
+        while todo:
+            for j in links[todo.pop()] - seen:
+                seen.add(j)
+                todo.append(j)
+        out[i] = (len(links[i]), min(seen))
+    return out
+
+
+def test_vectors_of_everyday_and_mixed_lengths_and_huge_labels(spark):
+    from rollcall.llm.neighbours import near_duplicates
+    r = np.random.default_rng(3)
+    rows = []
+    for size, label in ((4096, 0), (4096, 1), (4097, 1), (1, 2), (4095, 1), (3, 2 ** 52), (3, -5), (5, 2 ** 52)):
+        for _ in range(4):
+            v = r.standard_normal(size)
+            rows += [(len(rows), v.tolist(), label), (len(rows) + 1, (v * 2 + r.standard_normal(size) * 0.01).tolist(), label)]
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long"))
+    assert {x.vec_id: (x.n_links, x.component_id) for x in got.collect()} == _linked(rows)
+
+
+def test_saturated_lists_grow(spark):
+    from rollcall.llm.neighbours import LIST, enlarged, nodes, search
+    r = np.random.default_rng(4)
+    centers = r.standard_normal((3, 16))
+    v = np.concatenate([c + 0.02 * r.standard_normal((14, 16)) for c in centers] + [r.standard_normal((60, 16))])
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label long")
+    _, space = nodes(df)
+    lists = search(space, 0.98, 0)
+    grown, k = enlarged(lists, space, 0.98)
+    assert k == 2 * LIST
+    have = grown.filter("sim >= 0.979").groupBy("node").count().collect()
+    assert len(have) == 42 and {x["count"] for x in have} == {13}          # the whole cluster is listed
