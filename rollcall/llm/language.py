@@ -112,7 +112,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict:
         w[:, j] = np.log(freq[code[:, j] > 0].mean(axis=0)) - np.log(freq[code[:, j] < 0].mean(axis=0))
     # A bit is as reliable as its mean margin on the languages' own profiles is large.
     rel = np.abs((freq @ w) * code).mean(axis=0)
-    return {"langs": langs, "code": code, "w": w, "rel": rel / max(rel.sum(), 1e-12)}
+    return {"langs": langs, "code": code, "w": w, "rel": rel / max(rel.sum(), 1e-12), "fit": np.log(freq * (1 << DIM_BITS))}
 
 
 def decode(model: dict, p: np.ndarray) -> tuple[str, float, bool]:
@@ -146,6 +146,29 @@ def predictor(spark: SparkSession, model: dict):
     return lambda text: predict(F.col(f"`{text}`").cast("string"))
 
 
+def fits(model: dict, text: str) -> bool:
+    """Whether the text's n-grams are likelier in the language that decoding gives than in a text
+    whose n-grams are spread evenly. Scripts and languages that were not learned fall below that;
+    text of a learned language lies far above, names and numbers in it included."""
+    p = profile(text)
+    lang = model["langs"].index(decode(model, p)[0])
+    return float(model["fit"][lang] @ p) >= 0.0
+
+
+def told(spark: SparkSession, model: dict):
+    """A column function: does a text have a letter, and fit the language that the model says it is in."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def tell(texts):
+        import pandas as pd
+        m = shared.value
+        return pd.Series([t is not None and has_letter(t) and fits(m, t) for t in texts], dtype="bool")
+
+    arrow_rows(spark, 256)
+    return lambda text: tell(F.col(f"`{text}`").cast("string"))
+
+
 def op4_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text of ``documents``, learned from those whose remainder is not 1.
 

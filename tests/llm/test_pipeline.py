@@ -27,3 +27,13 @@ def test_pipeline_odd_rows(spark, tmp_path):
     assert {r.doc_id for r in got} <= {3, None}
     e = folder(spark, tmp_path / "e", documents=spark.createDataFrame(*rows).limit(0))
     assert corpus_pipeline.run(spark, e).count() == 0
+
+
+def test_language_stage_rejects_languages_that_were_not_learned(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    foreign = ["\u042d\u0442\u043e \u0442\u0435\u043a\u0441\u0442 \u043d\u0430 \u044f\u0437\u044b\u043a\u0435", "\u03b1\u03c5\u03c4\u03cc \u03b5\u03af\u03bd\u03b1\u03b9 \u03ba\u03b5\u03af\u03bc\u03b5\u03bd\u03bf",
+               "\u672a\u77e5\u306e\u8a00\u8a9e\u306e\u6587\u7ae0", "xq zzkw vvjq pqx wqk jjxv kqz qwx", "123 456 !!", ""]
+    more = spark.createDataFrame([(10 ** 6 + i, t) for i, t in enumerate([*foreign, None])], "doc_id long, text string")
+    both = df.unionByName(more, allowMissingColumns=True)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, both, SF).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in df.collect() if r.text and any(c.isalpha() for c in r.text)}
