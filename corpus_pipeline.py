@@ -12,21 +12,21 @@ from pyspark.sql import functions as F
 
 from rollcall.llm.common import crc_mod, materialize
 from rollcall.llm.forest import drop_near_duplicates
-from rollcall.llm.language import UNKNOWN, fit, predictor
+from rollcall.llm.language import fit, told
 from rollcall.llm.mixing import mixed
 from rollcall.llm.packing import pack, tokenized_pieces
 from rollcall.llm.pii import redact
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told. Learned from the documents with a lang whose
-    crc32(doc_id) modulo 3 is not 1; a null text and a text without a letter go. When no
-    document has a lang, none is rejected for it."""
+    """Documents in a learned language. Learned from the documents with a lang whose
+    crc32(doc_id) modulo 3 is not 1; a null text, a text without a letter and a text that fits
+    its decoded language no better than chance go. When no document has a lang, only null
+    texts and those without a letter go; an empty table gives no rows."""
     model = fit(docs.filter(crc_mod(F.col("doc_id"), 3) != 1))
     if not model["langs"]:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    said = predictor(spark, model)("text")
-    return docs.filter(said["lang_pred"] != UNKNOWN)
+    return docs.filter(told(spark, model)("text"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
