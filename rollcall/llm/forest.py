@@ -1,29 +1,32 @@
 """N-gram Jaccard join by a MinHash LSH forest, verified exactly.
 
 A text is the set of its five-word shingles; texts with equal sets are one node with a
-count. ``TREES`` prefix tries hold the nodes by ``DEPTH`` minhashes each. Two nodes match in a
-trie when their paths share a prefix; the prefix is shortened from the full depth until
-a pair at the threshold would match in some trie with the target recall.
-
-Nodes that share a prefix are never paired all with all. They stream past a list of
-leaders: a node joins every leader whose signature is loosely like its own, and leads
-itself unless one is close. Groups are first split by a salt; the leaders of the parts
-then meet. What comes out is at most one edge a node and trie. Connected nodes form loose
-groups that hold every pair at the threshold (up to the target recall); inside them the
-shingle sets are compared exactly, block by block, which gives the number of links and
-the final classes.
+count. Its signature is ``TREES`` paths of ``DEPTH`` minhashes, two bytes each, so each tree's
+trie is the nodes sorted by their path, and a trie node is a prefix of it. Two nodes match
+when their paths share a prefix in some tree. The prefix starts at the length at which a
+pair at the threshold matches with the target recall; then the recall is measured and
+the prefix shortened by a minhash until the measured recall holds, too. It is measured
+on about ``AUDIT`` rows, whose exact links with all others are found while the signatures
+are made.
+
+Nodes that share a prefix are never paired all with all. They stream in path order past a
+list of leaders: a node joins every leader whose signature is loosely like its own, and
+leads itself unless one is close. Groups are first split by a salt; the leaders of the
+parts then meet, in pairs of blocks where a group has very many. What comes out is at most
+one edge a node, tree and block. Connected nodes form loose groups that hold every pair at the
+threshold (up to the target recall); inside them the shingle sets are compared exactly,
+block by block, which gives the number of links and the final classes.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import RID, ROW, arrow_rows, materialize, packed, small, table, unpacked, with_rid
+from rollcall.llm.common import RID, ROW, arrow_rows, materialize, packed, small, table, uniform, unpacked, with_rid
 from rollcall.llm.graph import components, groups, local_roots
 
 SHINGLE = 5
@@ -34,6 +37,9 @@ RECALL = 0.999
 CLOSE = 0.8                   # signature likeness at which a leader stands for a node
 LOOSE = 0.3                   # ... at which node and leader are in one group
 SALTS = 8
+LEADERS = 1024                # leaders of a group that meet in one task
+AUDIT = 256                   # rows the recall is measured on, about
+AUDIT_CHARS = 65536           # ... of at most so many characters
 BLOCK = 256
 _COLUMNS = 8192
 _P = np.uint64(0x100000001B3)
@@ -52,7 +58,7 @@ def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    w = mixed_bits(np.fromiter(map(zlib.crc32, words), np.uint64, len(words)) + np.uint64(1))
+    w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     n = min(n, len(w))
     h = np.zeros(len(w) - n + 1, np.uint64)
     for j in range(n):
@@ -75,13 +81,14 @@ def hash_family(size: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
 
 
 def depth_for(recall: float = RECALL, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH) -> int:
-    """Shorten the prefix until a pair at the threshold matches in some trie with ``recall``."""
+    """The longest prefix at which a pair at the threshold matches in some trie with ``recall``;
+    where the measured recall starts."""
     while depth > 1 and 1 - (1 - threshold ** depth) ** trees < recall:
         depth -= 1
     return depth
 
 
-_SETS = "rid long, size long, h1 long, h2 long, sig binary, paths array<long>"
+_SETS = "rid long, size long, h1 long, h2 long, sig binary, near array<int>"
 
 
 def _lists(xs: list[np.ndarray]) -> pa.ListArray:
@@ -89,33 +96,61 @@ def _lists(xs: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(xs)))
 
 
-def shingle_sets(rows: DataFrame, depth: int) -> DataFrame:
-    """One row per row (rid, text): set key (null without words), signature, and the path of
-    the prefix in each trie. The sets themselves are not kept: they are larger than the text."""
+def short(sig: np.ndarray) -> np.ndarray:
+    """Half of each minhash (chance equals 1 in 65536), high byte first, so bytes sort as paths."""
+    return sig.astype(np.uint16).astype(">u2")
+
+
+def audit_rows(rows: DataFrame, about: int = AUDIT) -> list[tuple[int, np.ndarray]]:
+    """(rid, shingle set) of about ``about`` rows of (rid, text), at most twice as many."""
+    rate = about / max(rows.count(), 1)
+    drawn = rows.filter(uniform(F.lit(11), F.col("rid")) < F.lit(rate)).filter(F.length("text") <= AUDIT_CHARS)
+    sets = [(r["rid"], shingles(r["text"])) for r in drawn.limit(2 * about).collect()]
+    return [(rid, s) for rid, s in sets if len(s)]
+
+
+def shingle_sets(rows: DataFrame, asked: list[np.ndarray], threshold: float) -> DataFrame:
+    """One row per row (rid, text): set key (null without words), signature, and which of the
+    sets ``asked`` its own is linked with, equal ones left out. The sets themselves are
+    not kept: they are larger than the text."""
     mul, add = hash_family(TREES * DEPTH)
+    probes = [short(signature(s, mul, add)) for s in asked]
+    probes = np.stack(probes) if probes else np.zeros((0, TREES * DEPTH), ">u2")
+    shared = rows.sparkSession.sparkContext.broadcast((probes, asked))
+    loose = threshold - 0.2          # over four standard errors below the threshold
+
+    def linked(s, sig):
+        probes, asked = shared.value
+        out = []
+        for i in np.flatnonzero(np.count_nonzero(probes == sig, axis=1) >= loose * len(sig)).tolist():
+            a, z = (s, asked[i]) if len(s) < len(asked[i]) else (asked[i], s)
+            if threshold * len(z) <= len(a):
+                common = int((z[np.minimum(np.searchsorted(z, a), len(z) - 1)] == a).sum())
+                either = len(a) + len(z) - common
+                if common < either and common >= threshold * either - 1e-9:
+                    out.append(i)
+        return np.array(out, np.int32)
 
     def run(batches):
         for b in batches:
-            size, h1, h2, sigs, paths = [], [], [], [], []
+            size, h1, h2, sigs, near = [], [], [], [], []
             for t in b.column(1).to_pylist():
                 s = shingles(t)
                 size.append(len(s))
                 if len(s):
-                    sig = signature(s, mul, add)
-                    p = np.zeros(TREES, np.uint64) + np.uint64(depth)
-                    for j in range(depth):
-                        p = mixed_bits(p * _P + sig[j::DEPTH].astype(np.uint64))
+                    sig = short(signature(s, mul, add))
                     h1.append(int(mixed_bits(s).sum().astype(np.int64)))
                     h2.append(int(np.bitwise_xor.reduce(mixed_bits(s * _P)).astype(np.int64)))
-                    sigs.append(sig.astype(np.uint16).tobytes())      # half of each hash: chance equals 1 in 65536
-                    paths.append(p.astype(np.int64))
+                    sigs.append(sig.tobytes())
+                    near.append(linked(s, sig))
                 else:
                     for c in (h1, h2, sigs):
                         c.append(None)
-                    paths.append(np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
-                 pa.array(sigs, pa.binary()), _lists(paths)], names=[c.split()[0] for c in _SETS.split(", ")])
+                    near.append(np.zeros(0, np.int32))
+            if size:
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array(size, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
+                     pa.array(sigs, pa.binary()), _lists(near)], names=[c.split()[0] for c in _SETS.split(", ")])
 
     arrow_rows(rows.sparkSession, 256)
     return rows.mapInArrow(run, _SETS)
@@ -168,7 +203,7 @@ class Leaders:
         return True
 
 
-_MATCH = "node long, leader long, tree long, path long, sig binary"
+_MATCH = "node long, leader long, tree long, path binary, sig binary"
 
 
 def _cluster(keys: list[str]):
@@ -179,7 +214,7 @@ def _cluster(keys: list[str]):
 
         def flush(rows):
             cols = list(zip(*rows))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
                                               names=["node", "leader", "tree", "path", "sig"])
 
@@ -202,24 +237,46 @@ def _cluster(keys: list[str]):
     return run
 
 
-def loose_edges(nodes: DataFrame) -> DataFrame:
-    """(a, b): spanning edges of the nodes (node, sig, paths) that share a prefix in some trie."""
+def path(tree, length: int):
+    """The first ``length`` minhashes of a signature's path in ``tree`` (a column, from 0)."""
+    return F.substring(F.col("sig"), (tree * F.lit(2 * DEPTH) + F.lit(1)).cast("int"), F.lit(2 * length))
+
+
+def loose_edges(nodes: DataFrame, length: int) -> DataFrame:
+    """(a, b): spanning edges of the nodes (node, sig) that share a prefix of ``length`` in some trie."""
     # Places first, without signatures: most nodes share no prefix with another.
-    at = nodes.select("node", F.posexplode("paths").alias("tree", "path"))
+    trees = F.sequence(F.lit(0), F.lit(TREES - 1))
+    at = nodes.select("node", F.posexplode(F.transform(trees, lambda t: path(t, length))).alias("tree", "path"))
     shared = at.groupBy("tree", "path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("tree", "path")
     members = materialize(at.join(shared, ["tree", "path"]), "forest-members")
     sigs = nodes.select("node", "sig").join(members.select("node").distinct(), "node", "left_semi")
     rows = members.join(sigs, "node").select(
         F.col("tree").cast("long").alias("tree"), "path", F.pmod(F.xxhash64("node", "tree"), F.lit(SALTS)).alias("salt"),
         "node", "sig")
-    parts = rows.repartition("tree", "path", "salt").sortWithinPartitions("tree", "path", "salt")
+    parts = rows.repartition("tree", "path", "salt").sortWithinPartitions(
+        "tree", "path", "salt", path(F.col("tree"), DEPTH))
     first = materialize(parts.mapInArrow(_cluster(["tree", "path", "salt"]), _MATCH), "forest-leaders")
     heads = first.filter("leader is null").select("tree", "path", "node", "sig")
-    second = (heads.repartition("tree", "path").sortWithinPartitions("tree", "path")
-              .mapInArrow(_cluster(["tree", "path"]), _MATCH))
+    met = heads.groupBy("tree", "path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
+        "tree", "path", F.ceil(F.col("n") / F.lit(LEADERS)).cast("int").alias("blocks"))
+    heads = heads.join(met, ["tree", "path"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pairs = heads.select("tree", "path", "node", "sig", "block",
+                         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select(
+        "tree", "path", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "node", "sig")
+    second = (pairs.repartition("tree", "path", "i", "j").sortWithinPartitions("tree", "path", "i", "j")
+              .mapInArrow(_cluster(["tree", "path", "i", "j"]), _MATCH))
     return first.unionByName(second).filter("leader is not null").select(F.col("node").alias("a"), F.col("leader").alias("b"))
 
 
+def audit(nodes: DataFrame, loose: DataFrame, asked: DataFrame) -> tuple[int, int]:
+    """Links of the audited nodes ``asked`` (i, node), and how many lie inside a loose group."""
+    homes = asked.join(loose, "node").select("i", F.col("component").alias("home"))
+    links = nodes.filter(F.size("near") > 0).join(loose, "node", "left").select("component", F.explode("near").alias("i"))
+    r = links.join(F.broadcast(homes), "i", "left").agg(         # at most 2 * AUDIT rows
+        F.count(F.lit(1)), F.count(F.when(F.col("component") == F.col("home"), 1))).first()
+    return int(r[0]), int(r[1])
+
+
 def set_links(grouped: DataFrame, threshold: float) -> DataFrame:
     """(node, links, root) from (group, blocks, node, n, shingles): every pair of a group
     compared exactly, in blocks; no pair is emitted."""
@@ -264,15 +321,30 @@ def set_links(grouped: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(compare, "node long, links long, root long")
 
 
-def classes(rows: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def classes(rows: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, start: int | None = None) -> DataFrame:
     """(rid, copy_rid, class_rid, n_links) of every row (rid, text) of a stored table: the
-    smallest rid with the same set, the smallest in the class, and the other rows linked."""
-    sets = materialize(shingle_sets(rows, depth_for(recall, threshold)), "forest-sets")
+    smallest rid with the same set, the smallest in the class, and the other rows linked.
+    ``start``: length of the first prefix (default: :func:`depth_for`)."""
+    asked = audit_rows(rows)
+    sets = materialize(shingle_sets(rows, [s for _, s in asked], threshold), "forest-sets")
     lean = sets.select("rid", "size", "h1", "h2")
     copies = materialize(lean.filter("size > 0").groupBy("h1", "h2", "size").agg(
         F.min("rid").alias("node"), F.count(F.lit(1)).alias("n")), "forest-nodes")
-    nodes = sets.select(F.col("rid").alias("node"), "sig", "paths").join(copies.select("node"), "node", "left_semi")
-    loose = components(loose_edges(nodes))
+    nodes = sets.select(F.col("rid").alias("node"), "sig", "near").join(copies.select("node"), "node", "left_semi")
+    spark = rows.sparkSession
+    drawn = F.broadcast(spark.createDataFrame([(i, rid) for i, (rid, _) in enumerate(asked)], "i int, rid long"))
+    probes = materialize(lean.join(drawn, "rid").join(copies, ["h1", "h2", "size"]).select("i", "node"), "forest-asked")
+    length, edges = start or depth_for(recall, threshold), None
+    while True:
+        more = loose_edges(nodes.select("node", "sig"), length)
+        edges = more if edges is None else edges.unionByName(more)
+        loose = components(edges)
+        links, found = audit(nodes, loose, probes)
+        if found >= recall * links:
+            break
+        if length == 1:
+            raise RuntimeError(f"LSH forest: {found} of {links} audited links found with the shortest prefix, target {recall}")
+        length -= 1
     wanted = copies.select("node", "n").join(loose.withColumnRenamed("component", "group"), "node")
     blocks = wanted.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
     wanted = materialize(wanted.join(blocks, "group"), "forest-wanted")
@@ -309,6 +381,33 @@ def op10_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
                                   F.col("text").cast("string").alias("text")), "forest-docs")
     found = materialize(classes(ids.select("rid", "text")), "forest-result").join(ids.select("rid", "doc_id"), "rid")
-    name = lambda key, out: found.groupBy(key).agg(F.min("doc_id").alias(out))
-    out = found.join(name("class_rid", "class_id"), "class_rid").join(name("copy_rid", "copy_id"), "copy_rid")
+    # Only rows with a link need a name from others: few enough to be sent, as a rule.
+    def name(key: str, out: str) -> DataFrame:
+        names = found.filter("n_links > 0").groupBy(key).agg(F.min("doc_id").alias(out))
+        return small(materialize(names, "forest-names"))
+
+    out = found.join(name("class_rid", "class_id"), "class_rid", "left").join(name("copy_rid", "copy_id"), "copy_rid", "left")
+    linked = F.col("n_links") > 0
+    out = out.withColumn("class_id", F.when(linked, F.col("class_id")).otherwise(F.col("doc_id")))
+    out = out.withColumn("copy_id", F.when(linked, F.col("copy_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "class_id", "copy_id", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+# Shingle sets as lists of text, links by counting common shingles, classes by following them.
+OP10_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id::BIGINT AS doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(w) BETWEEN 1 AND {SHINGLE - 1} THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' ')) END)) AS s FROM w),
+k AS (SELECT r, doc_id, CASE WHEN len(s) > 0 THEN md5(array_to_string(s, chr(10))) ELSE 'row ' || r END AS k, s FROM s),
+node AS (SELECT k, min(r) AS node, min(doc_id) AS copy_id, count(*) AS n, any_value(s) AS s FROM k GROUP BY k),
+part AS (SELECT node, len(s) AS size, unnest(s) AS x FROM node WHERE len(s) > 0),
+pair AS (SELECT a.node AS a, b.node AS b FROM part a JOIN part b ON a.x = b.x AND a.node <> b.node
+         GROUP BY a.node, b.node, a.size, b.size HAVING 5 * count(*) >= 4 * (a.size + b.size - count(*))),
+reach(node, t) AS (SELECT node, node FROM node UNION SELECT reach.node, pair.b FROM reach JOIN pair ON reach.t = pair.a),
+class AS (SELECT reach.node, min(node.copy_id) AS class_id FROM reach JOIN node ON reach.t = node.node GROUP BY reach.node),
+near AS (SELECT pair.a AS node, sum(node.n) AS links FROM pair JOIN node ON pair.b = node.node GROUP BY pair.a)
+SELECT k.doc_id, class_id, copy_id, (n - 1 + coalesce(links, 0))::BIGINT AS n_links, k.doc_id IS NOT DISTINCT FROM class_id AS kept
+FROM k JOIN node USING (k) JOIN class USING (node) LEFT JOIN near USING (node)
+"""

@@ -1,7 +1,7 @@
 """The registered queries of this folder and, where SQL can express them, their SQL."""
 
 from rollcall.llm.cws import op8_cws_fingerprints
-from rollcall.llm.forest import op10_lsh_forest_join
+from rollcall.llm.forest import OP10_SQL, op10_lsh_forest_join
 from rollcall.llm.language import op4_ecoc_language
 from rollcall.llm.lexical import OP12_SQL, op12_fp_tree_search
 from rollcall.llm.lm import op7_lattice_lm
@@ -33,6 +33,7 @@ QUERIES = {
 SQL = {
     "op1_warc_round_trip": OP1_SQL,
     "op9_nn_descent": OP9_SQL,
+    "op10_lsh_forest_join": OP10_SQL,
     "op11_hashed_llr_rules": OP11_SQL,
     "op12_fp_tree_search": OP12_SQL,
     "op13_reduced_alphabet_variants": OP13_SQL,

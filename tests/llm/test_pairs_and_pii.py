@@ -1,9 +1,11 @@
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 
+from rollcall.llm import forest
 from rollcall.llm.cws import fingerprint_neighbours, op8_cws_fingerprints
 from rollcall.llm.forest import depth_for, drop_near_duplicates, op10_lsh_forest_join, shingles
 from rollcall.llm.graph import components, local_roots
@@ -241,6 +243,57 @@ def test_similar_documents_against_brute_force(spark, tmp_path):
     assert depth_for(0.5) > depth_for(0.999) >= 1
 
 
+def _family(rng, n, words, changes):
+    """(rid, text) of ``n`` texts, each a seed with up to ``changes`` - 1 words changed."""
+    seed, rows = list(rng.choice(words, 60)), []
+    for i in range(n):
+        t = list(seed)
+        for at in rng.integers(0, len(t), int(rng.integers(0, changes))):
+            t[at] = str(rng.choice(words))
+        rows.append((i, " ".join(t)))
+    return rows
+
+
+def test_prefixes_are_shortened_to_the_measured_recall(spark, tmp_path, monkeypatch):
+    """From the full path on, most pairs near the threshold are missed until it is shortened."""
+    rng = np.random.default_rng(21)
+    rows = _family(rng, 150, [f"w{i}" for i in range(400)], 4)
+    spark.createDataFrame(rows, "rid long, text string").write.parquet(str(tmp_path / "rows"))
+    sets = [set(shingles(t).tolist()) for _, t in rows]
+    link = np.array([[len(a & b) / len(a | b) >= 0.8 and a != b for b in sets] for a in sets])
+    lengths = []
+    whole = forest.loose_edges
+    monkeypatch.setattr(forest, "loose_edges", lambda nodes, n: lengths.append(n) or whole(nodes, n))
+    seen = []
+    measure = forest.audit
+    monkeypatch.setattr(forest, "audit", lambda *a: seen.append(measure(*a)) or seen[-1])
+    monkeypatch.setattr(forest, "LEADERS", 4)
+    got = forest.classes(spark.read.parquet(str(tmp_path / "rows")), start=8).collect()
+    copies = [sum(a == b for b in sets) - 1 for a in sets]
+    root = local_roots(link | np.array([[a == b for b in sets] for a in sets]))
+    assert {r.rid: (r.n_links, r.class_rid) for r in got} == {
+        i: (link[i].sum() + copies[i], root[i]) for i in range(len(rows))}
+    assert lengths == list(range(8, 8 - len(lengths), -1))
+    assert all(found < forest.RECALL * links for links, found in seen[:-1]) and seen[-1][0] > 0
+
+
+def test_groups_of_many_leaders_are_split_without_loss(spark, monkeypatch):
+    """Every two leaders of a group meet in some pair of blocks; one task holds two blocks at most."""
+    sig = np.arange(400, dtype=np.uint16)[:, None] * np.ones(forest.TREES * forest.DEPTH, np.uint16)
+    sig[:, 4:50] = 7                       # a shared start of some trees, and 0.36 of all places
+    rows = [(i, s.astype(">u2").tobytes()) for i, s in enumerate(sig)]
+    nodes = spark.createDataFrame(rows, "node long, sig binary").repartition(3)
+    monkeypatch.setattr(forest, "LEADERS", 25)
+    comp = components(forest.loose_edges(nodes, 4)).collect()
+    assert len(comp) == 400 and {r.component for r in comp} == {0}
+
+
+def test_words_of_equal_checksum_are_different_words():
+    """"plumless" and "buckeroo" share their 32-bit checksum."""
+    assert zlib.crc32(b"plumless") == zlib.crc32(b"buckeroo")
+    assert shingles("plumless").tolist() != shingles("buckeroo").tolist()
+
+
 def test_similar_documents_odd_rows(spark, tmp_path):
     w = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
     rows = docs((1, None), (2, ""), (2, " \n"), (3, "x"), (3, "x"), (4, "X  "), (5, "a b c"), (None, w * 20 + " zz"), (7, w * 20 + " zz"))
