@@ -17,13 +17,14 @@ a chunk inside every such text in a payload, so it never occurs in a block.
 from __future__ import annotations
 
 import base64
+import datetime as dt
 import hashlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import arrow_rows, small, table
+from rollcall.llm.common import arrow_rows, materialize, small, table
 from rollcall.session import scratch_path
 
 CHUNK_BYTES = 64 * 1024
@@ -146,16 +147,17 @@ def _line(name: str, value) -> Column:
 
 
 def write_warc(pages: DataFrame, path: str, payload: str = "html", min_bytes: int = 0,
-               chunk_bytes: int = CHUNK_BYTES) -> None:
+               chunk_bytes: int = CHUNK_BYTES, date: dt.datetime | None = None) -> None:
     """Write one record per row of ``pages`` (page_id, url, payload) as gzip WARC files.
 
     Of rows with equal payloads of at least ``min_bytes``, that with the largest page_id
     is a response and the others are revisit records without a block; rows that repeat
     the largest page_id are responses too. A null page_id is written as ``null`` and
     counts as the smallest. Control characters in a url, and the version text, are
-    percent-encoded.
+    percent-encoded. ``date`` (UTC) is every record's date, by default the time of the call.
     """
-    dup = small(duplicates(pages, payload, min_bytes))
+    stamp = (date or dt.datetime.now(dt.UTC)).strftime("%Y-%m-%dT%H:%M:%SZ")
+    dup = small(materialize(duplicates(pages, payload, min_bytes), "warc-duplicates"))
     rows = chunk_table(pages, payload, chunk_bytes)
     rows = rows.join(dup, (F.col("payload_digest") == F.col("__digest"))
                      & (F.col("payload_bytes") == F.col("__bytes")), "left")
@@ -174,6 +176,7 @@ def write_warc(pages: DataFrame, path: str, payload: str = "html", min_bytes: in
     head = F.concat(
         F.lit(VERSION), _line("WARC-Type", kind),
         _line("WARC-Record-ID", F.concat(origin, F.when(split, F.concat(F.lit(":"), number)).otherwise(empty), F.lit(">"))),
+        _line("WARC-Date", stamp),
         F.when(F.col("url").isNotNull(), _line("WARC-Target-URI", url)).otherwise(empty),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         _line("WARC-Payload-Length", F.col("payload_bytes").cast("string")),
@@ -184,6 +187,8 @@ def write_warc(pages: DataFrame, path: str, payload: str = "html", min_bytes: in
         F.when(split, F.concat(
             _line("WARC-Segment-Origin-ID", F.concat(origin, F.lit(":1>"))),
             _line("WARC-Segment-Number", number),
+            F.when(F.col("chunk") + 1 == F.col("chunks"),
+                   _line("WARC-Segment-Total-Length", F.col("payload_bytes").cast("string"))).otherwise(empty),
             _line("WARC-Segment-Count", F.col("chunks").cast("string")),
             _line("WARC-Prefix-Digest", F.concat(F.lit("sha1:"), F.col("prefix_digest"))))).otherwise(empty),
         _line("Content-Type", "text/html"),
