@@ -11,9 +11,11 @@ their words are as near the rest as whole documents allow: the sample's size in
 is fixed.
 
 No source is ever sorted in one task. ``k`` is solved on (source, size) counts, and
-the cut is found by histograms: 256 ranges of the rank per source are summed, the
-range that holds the cut is split again, and only what is left of it after
-``LEVELS`` splits is ordered row by row.
+the cut is found by histograms: 256 ranges of the rank per source are summed and the
+range that holds the cut is split again, ``LEVELS`` times, down to one rank. Rows of equal
+rank (certain ones, rows repeated whole) follow a second number hashed from the row id,
+and the ranges of that number are split alike; only what is left of the last is
+ordered row by row.
 """
 
 from __future__ import annotations
@@ -91,39 +93,62 @@ def _solve_scale(docs: DataFrame, src: DataFrame) -> DataFrame:
             return scale
 
 
-def _cuts(ranked: DataFrame, src: DataFrame) -> DataFrame:
-    """(source, cut_rank, cut_rid): the last document taken in rank order; absent if none is.
+def _passing(sums: DataFrame, key: str) -> DataFrame:
+    """Of (source, key, words, rest, before) the key at which a source's words reach its rest,
+    ``before`` being the words of all lower keys."""
+    run = W.partitionBy("source").orderBy(key)      # at most BUCKETS rows a source, or the ranks of one range
+    sums = sums.withColumn("upto", F.col("before") + F.sum("words").over(run))
+    hit = sums.filter((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("words") < F.col("rest")))
+    return hit.withColumn("before", F.col("upto") - F.col("words"))
 
-    ``ranked``: (rid, source, size, rank) with ranks in [0, 1), ``src``: (source, rest).
-    """
-    state = src.select("source", "rest", F.lit(0.0).alias("lo"), F.lit(0).cast("long").alias("before"))
-    width = 1.0
-    left = ranked
+
+def _narrow(rows: DataFrame, state: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Split [0, 1) by ``key`` LEVELS times, each time going on with the range in which a
+    source's words reach its rest. ``rows`` (source, size, key, ...), ``state`` (source, rest,
+    before, ...); returns the rows left and the state with ``lo``, the start of the range."""
+    columns, held = rows.columns, [c for c in state.columns if c not in ("source", "rest", "before")]
+    state, width, left = state.withColumn("lo", F.lit(0.0)), 1.0, rows
     for _ in range(LEVELS):
         width /= BUCKETS
-        bucket = F.least(F.floor((F.col("rank") - F.col("lo")) / F.lit(width)), F.lit(BUCKETS - 1))
-        inside = _join(left, state).withColumn("bucket", bucket)
+        bucket = F.least(F.floor((F.col(key) - F.col("lo")) / F.lit(width)), F.lit(BUCKETS - 1))
+        inside = _join(left, state.select("source", "rest", "before", "lo")).withColumn("bucket", bucket)
         sums = inside.groupBy("source", "bucket").agg(
             F.sum("size").alias("words"), F.first("rest").alias("rest"),
             F.first("lo").alias("lo"), F.first("before").alias("before"))
-        run = W.partitionBy("source").orderBy("bucket")      # at most BUCKETS rows a source
-        sums = sums.withColumn("upto", F.col("before") + F.sum("words").over(run))
-        hit = sums.filter((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("words") < F.col("rest")))
-        state = materialize(hit.select(
-            "source", "rest", (F.col("lo") + F.col("bucket") * F.lit(width)).alias("lo"),
-            (F.col("upto") - F.col("words")).alias("before")), "mix-cut")
-        last = _join(left.select(*ranked.columns), state.select("source", "lo"))
-        keep = (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("lo") + F.lit(width))
-        left = last.filter(keep).select(*ranked.columns)
-    order = W.partitionBy("source").orderBy("rank", RID)
+        hit = _passing(sums, "bucket").select(
+            "source", "rest", "before", (F.col("lo") + F.col("bucket") * F.lit(width)).alias("lo"))
+        state = materialize(_join(hit, state.select("source", *held)), "mix-cut")
+        last = _join(left, state.select("source", "lo"))
+        left = last.filter((F.col(key) >= F.col("lo")) & (F.col(key) < F.col("lo") + F.lit(width))).select(*columns)
+    return left, state
+
+
+def _tie(rid: str = RID) -> Column:
+    """Order of rows of one rank."""
+    return uniform(F.lit(SEED), F.col(rid))
+
+
+def _cuts(ranked: DataFrame, src: DataFrame) -> DataFrame:
+    """(source, cut_rank, cut_tie, cut_rid): the last document taken in the order of rank, tie
+    and row id; absent if none is.
+
+    ``ranked``: (rid, source, size, rank) with ranks in [0, 1), ``src``: (source, rest).
+    """
+    left, state = _narrow(ranked, src.select("source", "rest", F.lit(0).cast("long").alias("before")), "rank")
+    sums = _join(left, state).groupBy("source", "rank").agg(
+        F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("before").alias("before"))
+    state = materialize(_passing(sums, "rank").select("source", "rest", "before", F.col("rank").alias("cut_rank")), "mix-cut")
+    equal = _join(left, state.select("source", "cut_rank")).filter("rank = cut_rank")
+    equal = materialize(equal.select(RID, "source", "size", _tie().alias("tie")), "mix-ties")
+    left, state = _narrow(equal, state, "tie")
+    order = W.partitionBy("source").orderBy("tie", RID)
     rows = _join(left, state).withColumn("upto", F.col("before") + F.sum("size").over(order))
     nearer = F.col("upto") - F.col("rest") <= F.col("rest") - (F.col("upto") - F.col("size"))
     taken = rows.filter((F.col("upto") <= F.col("rest")) | nearer)
-    cut = taken.groupBy("source").agg(F.max(F.struct("rank", RID)).alias("cut"))
+    cut = taken.groupBy("source").agg(F.max(F.struct("tie", RID)).alias("cut"))
     # A source whose first left document is already too far stops at the range's lower end.
-    out = state.select("source", "lo").join(
-        cut.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")), "left")
-    return materialize(out.select("source", F.coalesce("cut.rank", "lo").alias("cut_rank"),
+    out = _join(state.select("source", "cut_rank", "lo"), cut, "left")
+    return materialize(out.select("source", "cut_rank", F.coalesce("cut.tie", "lo").alias("cut_tie"),
                                   F.coalesce(F.col(f"cut.{RID}"), F.lit(-1)).alias("cut_rid")), "mix-cuts")
 
 
@@ -140,7 +165,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
 
     Null and empty texts have size 0: they get the certain copies of their source and
     are never drawn for the rest. A null source is a source of its own, the last. Rows
-    repeated whole are drawn alike and told apart by row id. An empty table gives no rows.
+    repeated whole have one rank and are told apart by a hash of the row id. An empty table gives no rows.
     """
     size = words(F.col(f"`{text}`"))
     u = uniform(F.lit(seed), F.col(f"`{doc_id}`"), F.xxhash64(F.col(f"`{text}`")))
@@ -169,7 +194,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     full = _join(base, plan)
     rank = odds / (1 + odds)
     drawn = ((F.col("size") > 0) & (F.col("k") * F.col("w") > 0)
-             & ((rank < F.col("cut_rank")) | ((rank == F.col("cut_rank")) & (F.col(RID) <= F.col("cut_rid")))))
+             & ((rank < F.col("cut_rank")) | ((rank == F.col("cut_rank")) & (
+                 (_tie() < F.col("cut_tie")) | ((_tie() == F.col("cut_tie")) & (F.col(RID) <= F.col("cut_rid")))))))
     copies = F.col("whole") + F.when(drawn, F.lit(1)).otherwise(F.lit(0))
     return full.select(ROW, RID, "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
 

@@ -1,4 +1,6 @@
 import base64
+import datetime as dt
+import gzip
 import hashlib
 import random
 import re
@@ -7,7 +9,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from rollcall.llm import mixing, warc
 from rollcall.llm.mixing import mix, mixed, op2_pareto_mix, source_targets
 from rollcall.llm.packing import SegmentTree, best_fit_plan, chunks, cut, op3_best_fit_packing, pack
 from rollcall.llm.warc import op1_warc_round_trip, read_chunks, read_warc, spans, write_warc
@@ -215,3 +219,66 @@ def test_a_payload_is_cut_and_hashed_without_a_copy():
     assert [p[0] for p in parts] == [0, *[p[1] for p in parts[:-1]]] and parts[-1][1] == len(data)
     assert {at + 5 for at in marks} <= {hi for _, hi in parts} and max(hi - lo for lo, hi in parts) <= CHUNK_BYTES
     assert digests[-1] == base64.b32encode(hashlib.sha1(data).digest()).decode() and len(digests) == len(parts)
+
+
+def test_rows_of_one_rank_are_split_by_a_second_number(spark):
+    """A large equal group is cut to the nearest word; hardly any of its rows meet in one task."""
+    rows = spark.range(30_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one two three").alias("text"),
+                                      F.when(F.col("id") % 3 == 0, F.lit("a")).otherwise(F.lit("b")).alias("source"))
+    got = {r.source: r for r in mixing.mix(rows, weights=(1, 3)).groupBy("source").agg(
+        F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()}
+    assert all(abs(r.taken - r.target) <= 1.5 for r in got.values()) and len(got) == 2
+
+    equal = spark.range(30_000).select(F.lit("a").alias("source"), F.lit(3).cast("long").alias("size"),
+                                       mixing._tie("id").alias("tie"))
+    state = spark.createDataFrame([("a", 40_000.0, 0)], "source string, rest double, before long")
+    left, _ = mixing._narrow(equal, state, "tie")
+    assert 1 <= left.count() <= 5
+
+
+def test_draw_against_brute_force(spark):
+    """The rows drawn are those of lowest rank, by the formula, up to the words nearest the rest."""
+    rng = np.random.default_rng(9)
+    data = [(i, " ".join(["w"] * int(rng.integers(1, 60))), "ab"[int(rng.integers(0, 2))]) for i in range(400)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = mixing.mix(df).select("__row.doc_id", "source", "size", "source_size", "target", "copies",
+                                mixing.uniform(F.lit(mixing.SEED), F.col("__row.doc_id"), F.xxhash64("__row.text")).alias("u")).collect()
+    for source in "ab":
+        rows = [r for r in got if r.source == source]
+        size, u = np.array([r["size"] for r in rows], float), np.array([r.u for r in rows])
+        whole = int(rows[0].target // rows[0].source_size)
+        rest = rows[0].target - whole * rows[0].source_size
+        w, k = np.log2(1 + size), 0.0
+        for _ in range(200):
+            sure = k * w >= 1
+            k = (rest - size[sure].sum()) / (size * w)[~sure].sum() if rest > 0 else 0.0
+        p = np.minimum(1, k * w)
+        odds = u / (1 - u) * (1 - p) / np.where(p > 0, p, 1)
+        order = np.argsort(odds / (1 + odds))
+        total = np.concatenate([[0], np.cumsum(size[order])])
+        n = int(np.argmin(np.abs(total - rest))) if rest > 0 else 0
+        assert [r.copies - whole for r in rows] == [int(i in set(order[:n].tolist())) for i in range(len(rows))]
+
+
+def test_archives_hold_the_fields_the_format_asks_for(spark, tmp_path):
+    """Read by a parser of its own: version line, header lines, a blank line, a block of the stated length."""
+    pages = spark.createDataFrame([(1, "http://x/1", "a" * 2500), (2, "http://x/2", "b"), (3, None, "b")],
+                                  "page_id long, url string, html string")
+    warc.write_warc(pages, str(tmp_path / "w"), chunk_bytes=1000)
+    records = []
+    for f in sorted((tmp_path / "w").glob("*.gz")):
+        data = gzip.decompress(f.read_bytes())
+        while data:
+            head, data = data.split(b"\r\n\r\n", 1)
+            version, *lines = head.decode().split("\r\n")
+            fields = dict(x.split(": ", 1) for x in lines)
+            n = int(fields["Content-Length"])
+            assert version == "WARC/1.1" and data[n:n + 4] == b"\r\n\r\n"
+            records.append(fields)
+            data = data[n + 4:]
+    assert len(records) == 5
+    for f in records:
+        assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= set(f)
+        assert dt.datetime.strptime(f["WARC-Date"], "%Y-%m-%dT%H:%M:%SZ")
+    totals = {f["WARC-Segment-Number"]: f.get("WARC-Segment-Total-Length") for f in records if "WARC-Segment-Number" in f}
+    assert totals == {"1": None, "2": None, "3": "2500"}
