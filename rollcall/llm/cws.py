@@ -8,9 +8,11 @@ that smallest value, which two texts share exactly when they drew the same word
 ``t``. The chance of that is their generalised Jaccard similarity, so the share of equal
 samples estimates it.
 
-Neighbours in document order are brought together in buckets of 256 ids (no
-larger than that while ids are distinct), each with a copy of the next bucket's first
-row. One shuffle of the texts serves the neighbour, the counts and all samples.
+Neighbours in document order are brought together in buckets of consecutive rows, each
+with a copy of the next bucket's first row. Where buckets begin is read off the sorted
+keys (id and a hash of the text), so buckets are of one size however ids are spread,
+null or repeated; only rows equal in id and text cannot be parted. One shuffle of the
+texts serves the neighbour, the counts and all samples.
 """
 
 from __future__ import annotations
@@ -19,12 +21,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import small, table
+from rollcall.llm.common import materialize, small, table
 
 SAMPLES = 32
-BUCKET_BITS = 8               # 256 ids a bucket
-_SUPER_BITS = 12             # 4096 buckets a group
-_NULL_BUCKET = -(1 << 56)     # below the bucket of any id
+BUCKET, MOST = 256, 16384     # least and most rows a bucket
 _SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -92,25 +92,36 @@ def as_text(fp: Column, samples: int = SAMPLES) -> Column:
                       for i in range(samples)])
 
 
-def _bucket(doc_id: str) -> Column:
-    return F.coalesce(F.shiftright(F.col(doc_id), BUCKET_BITS), F.lit(_NULL_BUCKET))
+def order_key(doc_id: Column, text: Column) -> Column:
+    """32 characters that sort by descending id, null last, then by a hash of the text."""
+    high = F.lpad(F.hex(doc_id.bitwiseXOR(F.lit((1 << 63) - 1))), 16, "0")
+    return F.concat(F.coalesce(high, F.lit("Z" * 16)), F.lpad(F.hex(F.xxhash64(text)), 16, "0"))
 
 
-def next_heads(ids: DataFrame) -> DataFrame:
-    """(into, head): for each bucket the first id of the next bucket with rows, in descending
-    order; after the last comes the first. Reads ids only; one row per bucket."""
-    heads = ids.groupBy(_bucket("doc_id").alias("into")).agg(F.max("doc_id").alias("top"))
-    heads = heads.withColumn("sup", F.shiftright(F.col("into"), _SUPER_BITS))
-    sups = heads.groupBy("sup").agg(F.max_by("top", "into").alias("sup_top"))
-    first = F.max_by("sup_top", "sup").over(W.partitionBy(F.lit(0)))
-    before = F.lag("sup_top").over(W.partitionBy(F.lit(0)).orderBy("sup"))   # one row a million ids
-    isfirst = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("sup")) == 1
-    sups = sups.select("sup", F.when(isfirst, first).otherwise(before).alias("below"))
-    inside = W.partitionBy("sup").orderBy("into")
-    heads = (heads.withColumn("prev", F.lag("top").over(inside))
-             .withColumn("lowest", F.row_number().over(inside) == 1))
-    return (heads.join(small(sups), "sup")
-            .select("into", F.when(F.col("lowest"), F.col("below")).otherwise(F.col("prev")).alias("head")))
+def bounds(keys: DataFrame) -> tuple[DataFrame, list[tuple[int, str, int]]]:
+    """Where buckets begin in the order of ``keys`` (a stored table of one column, key).
+
+    The keys are sorted by range, and every so many of a range begin a bucket: the sorted
+    beginnings of each range (range, begins), and for each range in order its number, its
+    first key and the number of its buckets. The list has at most as many entries as
+    there are shuffle partitions.
+    """
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = min(max(keys.count() // (32 * parts), BUCKET), MOST)
+    at = F.monotonically_increasing_id()         # the range, and from bit 33 down the place in it
+    begins = (keys.repartitionByRange("key").sortWithinPartitions("key").select("key", at.alias("at"))
+              .filter(F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) % rows == 0))
+    ranges = materialize(begins.groupBy(F.shiftright("at", 33).alias("range")).agg(
+        F.array_sort(F.collect_set("key")).alias("begins")), "cws-bounds")
+    first = ranges.select("range", F.get("begins", F.lit(0)).alias("key"), F.size("begins").alias("n"))
+    return ranges, sorted((r["range"], r["key"], r["n"]) for r in first.collect())
+
+
+def searched(begins: Column, key: Column, size: int) -> Column:
+    """Place of the last of the sorted ``begins`` (at most ``size``) that is not above ``key``."""
+    steps = [1 << i for i in reversed(range(max(size, 2).bit_length()))]
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0),
+                       lambda i, s: F.when(F.get(begins, i + s) <= key, i + s).otherwise(i))
 
 
 def with_next(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -119,12 +130,25 @@ def with_next(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
     ordered by a hash of their text."""
     src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
                       F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    heads = small(next_heads(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"))))
-    own = src.select(_bucket("doc_id").alias("bucket"), F.lit(True).alias("own"), "doc_id", "text")
-    ends = src.join(heads, F.col("doc_id").eqNullSafe(F.col("head")), "inner").select(
-        F.col("into").alias("bucket"), F.lit(False).alias("own"), "doc_id", "text")
-    order = W.partitionBy("bucket").orderBy(F.col("own").desc(), F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
-    return own.unionByName(ends).select(
+    src = src.withColumn("key", order_key(F.col("doc_id"), F.col("text")))
+    ranges, first = bounds(materialize(src.select("key"), "cws-keys"))
+    numbers, keys, counts = zip(*first) if first else ((0,), ("",), (1,))
+    # Buckets are numbered by range and place in it; the last of the range before each range,
+    # and for the first range the last of all.
+    last = [(n << 32) + c - 1 for n, c in zip(numbers, counts)]
+    listed = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",")
+    at = src.withColumn("of", searched(listed(keys), F.col("key"), len(keys)))
+    at = (at.withColumn("range", F.get(listed(numbers).cast("array<long>"), F.col("of")))
+          .withColumn("before", F.get(listed(last[-1:] + last[:-1]).cast("array<long>"), F.col("of")))
+          .join(small(ranges), "range"))
+    at = at.withColumn("i", searched(F.col("begins"), F.col("key"), max(counts)))
+    bucket = F.shiftleft("range", 32) + F.col("i")
+    copy = F.when(F.get("begins", F.col("i")) == F.col("key"), F.struct(
+        F.when(F.col("i") > 0, bucket - 1).otherwise(F.col("before")).alias("bucket"), F.lit(False).alias("own")))
+    places = F.array(F.struct(bucket.alias("bucket"), F.lit(True).alias("own")), copy)
+    dealt = at.select("doc_id", "text", "key", F.explode(F.array_compact(places)).alias("p"))
+    order = W.partitionBy("bucket").orderBy(F.col("own").desc(), "key")
+    return dealt.select("p.bucket", "p.own", "doc_id", "text", "key").select(
         "bucket", F.row_number().over(order).alias("place"), "own", "doc_id", "text",
         F.lead("text").over(order).alias("next_text"))
 
@@ -141,7 +165,7 @@ def fingerprint_neighbours(docs: DataFrame, samples: int = SAMPLES) -> DataFrame
 
     A null text is empty; its fingerprint is that of no words, like only to itself. Rows
     that repeat an id are neighbours of each other. A single row is its own next one. An
-    empty table gives no rows.
+    empty table gives no rows. Very long texts are sampled whole: their words become rows.
     """
     rows = with_next(docs)
     rows = rows.withColumn("edited", edited(F.col("text"), F.col("next_text")))
