@@ -115,10 +115,15 @@ class Lattice:
 
     def log_prob(self, words: list[str], logp: np.ndarray) -> np.ndarray:
         """Natural log of each word's marginal probability."""
-        out = np.zeros(len(words))
+        return self.log_probs(words, logp)[0]
+
+    def log_probs(self, words: list[str], *logps: np.ndarray) -> np.ndarray:
+        """One row of :meth:`log_prob` for each of ``logps``; pieces are looked up once."""
+        out = np.zeros((len(logps), len(words)))
         for idx, codes in self.groups(words):
             found = self.match(codes)
-            out[idx] = self.forward(self.scores(codes, found, logp), codes.shape[1])[-1]
+            for row, logp in zip(out, logps):
+                row[idx] = self.forward(self.scores(codes, found, logp), codes.shape[1])[-1]
         return out
 
     def expected(self, words: list[str], counts: np.ndarray, logp: np.ndarray) -> np.ndarray:

@@ -134,8 +134,20 @@ def test_scores_against_counts(spark):
     train = [t for d, t in all_texts if zlib.crc32(str(d).encode()) % 7 != 2]
     c = Counter(w for t in train for w in (t or "").encode().lower().split())
     n, v = sum(c.values()) + len(train), len(c) + 1
+    lat, first, _ = _vocabulary()
+    words = sorted(c)
+    logp = first
+    for _ in range(3):
+        uses = lat.expected([w.decode() for w in words], np.array([float(c[w]) for w in words]), logp)
+        uses += np.where(np.isfinite(logp), 0.01, 0.0)
+        logp = np.log(uses / (uses.sum() + len(train) + 0.01), where=uses > 0, out=np.full(len(uses), -np.inf))
     for d, t in all_texts:
         w = (t or "").encode().lower().split()
+        plain = lat.log_prob([x.decode() for x in w], first).sum() / math.log(10)
+        pieces = lat.log_prob([x.decode() for x in w], logp)
+        model = sum(math.log10((max(c[x] - 0.75, 0) + 0.75 * v * math.exp(p)) / n) for x, p in zip(w, pieces))
+        model += math.log10((len(train) - 0.75) / n)
+        assert abs(plain - got[d].vocab_score) < 1e-6 * max(1, -plain) and abs(model - got[d].score) < 1e-6 * max(1, -model)
         base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w) + math.log10((len(train) + 1) / (n + v + 1))
         r = got[d]
         assert abs(base - r.base_score) < 1e-6 and r.train_tokens == n and math.isfinite(r.score) and r.score < 0
