@@ -122,8 +122,9 @@ class Lattice:
         out = np.zeros((len(logps), len(words)))
         for idx, codes in self.groups(words):
             found = self.match(codes)
-            for row, logp in zip(out, logps):
-                row[idx] = self.forward(self.scores(codes, found, logp), codes.shape[1])[-1]
+            scores = [self.scores(codes, found, logp) for logp in logps]
+            stacked = {n: np.concatenate([s[n] for s in scores]) for n in found}
+            out[:, idx] = self.forward(stacked, codes.shape[1])[-1].reshape(len(logps), -1)
         return out
 
     def expected(self, words: list[str], counts: np.ndarray, logp: np.ndarray) -> np.ndarray:
