@@ -16,11 +16,13 @@ buckets before) and looks each piece up in the runs.
 
 from __future__ import annotations
 
+import codecs
 import math
-import re
 import sys
 import zlib
 from array import array
+from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -103,37 +105,48 @@ def best_fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarra
 
 # ---- tokenising ---------------------------------------------------------------------
 
-_CACHE_MAX = 250_000           # chunks, in each of two generations
-_SPACE_RUN = re.compile(r" \s")
-_SAFE_CUT = re.compile(r"(?<=\S)(?= )")
+_CACHE_MAX = 350_000           # chunks, in each of two generations
 _SPACE_SIGN = chr(256 + 0x20)                  # how a byte-level vocabulary writes a space
 
 
-def chunks(text: str) -> list[str]:
-    """``text`` cut before single spaces that follow a non-space, and around single line feeds
-    between non-spaces. The pre-tokeniser always starts a new token there, so the chunks'
-    ids, joined, are the text's ids."""
+def _split(text: str) -> list[str]:
+    """``text`` cut before every space and line feed. A part with a line feed begins with it;
+    the space of the others is left out; the first begins with a space that is not the text's."""
+    parts = text.replace("\n", " \n").split(" ")
+    parts[0] = " " + parts[0]
+    return parts
+
+
+def _chunk(part: str) -> str:
+    """The text that a part of :func:`_split` stands for."""
+    return part[1:] if part[:1] == " " else part if part[:1] == "\n" else " " + part
+
+
+def _cut_inside(part: str, added: tuple[str, ...] = ()) -> bool:
+    """Whether a part begins inside a token: white space, an added token or nothing follows its
+    space or line feed."""
+    if part[:1] == " ":
+        return False
+    rest = part[1:] if part[:1] == "\n" else part
+    return not rest or rest[0].isspace() or rest.startswith(added)
+
+
+def _mended(parts: list[str], added: tuple[str, ...] = ()) -> list[str]:
+    """``parts``, those that begin inside a token put back on the part before."""
     out: list[str] = []
-    lines = text.split("\n")
-    held = lines[0]
-    for line in lines[1:]:
-        if held and line and not held[-1].isspace() and not line[0].isspace():
-            _cut_line(held, out)
-            out.append("\n")
-            held = line
+    for p in parts:
+        if p[:1].isalnum() and not p.startswith(added) or not _cut_inside(p, added):
+            out.append(p)
         else:
-            held = f"{held}\n{line}"
-    _cut_line(held, out)
+            out[-1] += _chunk(p)
     return out
 
 
-def _cut_line(line: str, out: list[str]) -> None:
-    if _SPACE_RUN.search(line):
-        out += _SAFE_CUT.split(line)
-    else:
-        head, *rest = line.split(" ")
-        out.append(head)
-        out += [" " + c for c in rest]
+def chunks(text: str) -> list[str]:
+    """``text`` cut before each space or line feed that a non-space follows. The pre-tokeniser
+    always starts a new token there (of a run of white space it takes all but the last sign),
+    so the chunks' ids, joined, are the text's ids."""
+    return [_chunk(p) for p in _mended(_split(text))]
 
 
 def byte_letters() -> dict[int, str]:
@@ -151,8 +164,35 @@ def _packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+class _CutInside(Exception):
+    """A part that is no chunk of its own."""
+
+
+class _Kept(dict):
+    """Ids of parts, made when first asked for. Two generations of at most ``most``: what was
+    asked for since the last change stays at hand; what was not, goes."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        self.make, self.most = make, most
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, part: str) -> bytes:
+        got = self.older.get(part)
+        if got is None:
+            got = self.make(part)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[part] = got
+        return got
+
+    def peek(self, part: str) -> bytes | None:
+        got = self.get(part)
+        return self.older.get(part) if got is None else got
+
+
 class ChunkEncoder:
-    """Little-endian unsigned 32-bit ids of texts; common chunks are encoded once a task.
+    """Little-endian unsigned 32-bit ids of texts; common chunks are encoded once a worker.
 
     A chunk of letters with or without marks after them is known to be one or two tokens
     of the pre-tokeniser, so the vocabulary's model gets them as they are; any other
@@ -165,56 +205,39 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
-        self.letters = byte_letters()
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _part(self, p: str) -> bytes:
-        got = self.parts.get(p)
-        if got is None:
-            if len(self.parts) > _CACHE_MAX:
-                self.parts.clear()
-            if p.isascii():                    # letters and marks stand for themselves
-                signs = _SPACE_SIGN + p[1:] if p[:1] == " " else p
-            else:
-                signs = p.encode("utf-8").decode("latin-1").translate(self.letters)
-            got = self.parts[p] = _packed([t.id for t in self.model.tokenize(signs)])
-        return got
-
-    def _encode(self, chunks_: list[str]) -> dict[str, bytes]:
-        out, other, part, marks = {}, [], self._part, self._MARKS
-        for c in chunks_:
-            if (c[1:] if c[:1] == " " else c).isalpha():
-                out[c] = part(c)
-                continue
-            core = c.rstrip(marks)
-            if (core[1:] if core[:1] == " " else core).isalpha():
-                out[c] = part(core) + part(c[len(core):])
-            else:
-                other.append(c)
-        for c, e in zip(other, self.tok.encode_batch(other, add_special_tokens=False) if other else ()):
-            out[c] = _packed(e.ids)
-        return out
+        self.added = tuple(t.content for t in self.tok.get_added_tokens_decoder().values())
+        letters = byte_letters()
+        self.letters = "".join(letters[b] for b in range(256))
+        self.marks = lru_cache(1 << 14)(self._token)
+        self.cache = _Kept(self._encode, _CACHE_MAX)
+
+    def _token(self, text: str) -> bytes:
+        """Ids of one token of the pre-tokeniser."""
+        signs = codecs.charmap_decode(text.encode("utf-8"), "strict", self.letters)[0]
+        return _packed([t.id for t in self.model.tokenize(signs)])
+
+    def _encode(self, part: str) -> bytes:
+        core = part.rstrip(self._MARKS)
+        if core.isalpha() and not part.startswith(self.added):
+            if len(core) == len(part):
+                return self._token(" " + part)
+            return (self.cache.peek(core) or self._token(" " + core)) + self.marks(part[len(core):])
+        if _cut_inside(part, self.added):
+            raise _CutInside
+        lead, word = part[:1], core[1:]
+        if lead in (" ", "\n") and word.isalpha():
+            out = self._token(word) if lead == " " else self.marks(lead) + self._token(word)
+            return out if len(core) == len(part) else out + self.marks(part[len(core):])
+        return _packed(self.tok.encode(_chunk(part), add_special_tokens=False).ids)
 
     def __call__(self, text: str) -> bytes:
-        parts = chunks(text)
-        cache, older = self.cache, self.older
-        new = [p for p in set(parts) if p not in cache]
-        if new:
-            if len(cache) + len(new) > _CACHE_MAX:
-                # What was met since the last change stays at hand; what was not, goes.
-                self.older = older = cache
-                self.cache = cache = {}
-                new = list(set(parts))
-            unseen = [p for p in new if p not in older]
-            if len(unseen) > _CACHE_MAX:       # one very long text: its own ids, not kept
-                got = self._encode(new)
-                return b"".join(map(got.__getitem__, parts))
-            if len(unseen) < len(new):
-                cache.update([(p, older[p]) for p in new if p in older])
-            cache.update(self._encode(unseen))
-        return b"".join(map(cache.__getitem__, parts))
+        parts = _split(text)
+        if "" in parts or "\n" in parts:
+            parts = _mended(parts, self.added)
+        try:
+            return b"".join(map(self.cache.__getitem__, parts))
+        except _CutInside:
+            return b"".join(map(self.cache.__getitem__, _mended(parts, self.added)))
 
 
 def encoder(path: str) -> ChunkEncoder:

@@ -199,6 +199,45 @@ def test_chunks_join_to_the_text():
         assert "".join(chunks(x)) == x
 
 
+def _ids(encode, text):
+    return np.frombuffer(encode(text), "<u4").tolist()
+
+
+def test_chunk_ids_are_the_tokenisers():
+    """Random texts of awkward signs, also while hardly any chunk can be kept."""
+    import public_tokenizers
+    from rollcall.llm.packing import ChunkEncoder
+    signs = [*" \n\n\t\r\x0b\x1c\x85\xa0\u3000\u2028aéßĠĊ.,-_(½٣1'\u0301\u200d", "The", "word", "日本", "'s", "!!", "***",
+             "23", "<|endoftext|>", "\U0001F600"]
+    rng = random.Random(4)
+    for most in (1000, 5):
+        encode = ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+        encode.cache.most = most
+        for _ in range(3000):
+            text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 14)))
+            assert _ids(encode, text) == encode.tok.encode(text, add_special_tokens=False).ids, text
+            assert len(encode.cache) <= most and len(encode.cache.older) <= most
+
+
+def test_known_chunks_cost_no_python_step():
+    """Lines and words whose ids are at hand are looked up without a call for each."""
+    import sys
+
+    import public_tokenizers
+    from rollcall.llm.packing import ChunkEncoder
+    encode = ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "\n".join(f"Some words, {i % 9} of them." for i in range(500))
+    want = encode(text)
+    steps = []
+    before = sys.getprofile()
+    sys.setprofile(lambda frame, event, arg: steps.append(event))
+    try:
+        got = encode(text)
+    finally:
+        sys.setprofile(before)
+    assert got == want and len(steps) < 50
+
+
 def test_a_payload_is_cut_and_hashed_without_a_copy():
     import tracemalloc
 
