@@ -182,7 +182,9 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
                       "mix-targets")
     open_src = src.filter(F.col("rest") > 0)
     scale = _solve_scale(flat.filter(F.col("size") > 0), open_src)
-    p = F.least(F.lit(1.0), F.col("k") * F.col("w"))
+    # Null, not 0, for what is never drawn: a plan works out a value that occurs twice in a
+    # condition ahead of the parts before it, and division by 0 is an error.
+    p = F.when((F.col("size") > 0) & (F.col("k") * F.col("w") > 0), F.least(F.lit(1.0), F.col("k") * F.col("w")))
     odds = (F.col("u") / (1 - F.col("u"))) * (1 - p) / p
     scored = (_join(flat.filter(F.col("size") > 0), scale).filter(F.col("k") * F.col("w") > 0)
               .withColumn("rank", odds / (1 + odds)))

@@ -114,6 +114,23 @@ def test_mix_odd_rows(spark, tmp_path):
     assert {r.target for r in source_targets(no_words).collect()} == {0.0}
 
 
+def test_texts_without_words_beside_others_of_a_source_with_a_rest(spark, tmp_path):
+    rows = [(i, "w " * (i % 7 + 1), "en", "abc"[i % 3]) for i in range(300)]
+    rows += [(1000 + i, (None, "", " \n")[i % 3], "en", (*"abc", None)[i % 4]) for i in range(24)]
+    d = folder(spark, tmp_path, documents=docs(*rows))
+    got = {r.doc_id: r for r in op2_pareto_mix(spark, d).collect()}
+    source, sizes, taken = {r[0]: r[3] for r in rows}, Counter(), Counter()
+    for i, r in got.items():
+        sizes[source[i]] += r.size
+        taken[source[i]] += r.taken
+    want = _targets(dict(sizes))
+    assert len(got) == len(rows) and any(want[s] % sizes[s] for s in "abc")
+    assert all(got[i].size == got[i].taken == 0 for i in got if i >= 1000)
+    assert all(abs(taken[s] - want[s]) <= 7 / 2 + 1e-6 for s in want)
+    copies = {r[mixing.ROW].doc_id: r.copies for r in mix(spark.createDataFrame(*docs(*rows))).collect()}
+    assert all(copies[i] == (want[s] // sizes[s] if sizes[s] else 0) for i, s in source.items() if i >= 1000)
+
+
 def test_longer_documents_are_drawn_more_often(spark):
     df = spark.range(2000).selectExpr("id as doc_id", "repeat('w ', if(id % 2 = 0, 3, 200)) as text", "'s' as source")
     m = mix(df, share=0.3).groupBy("size").avg("copies").collect()
