@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +66,19 @@ def arrow_rows(spark: SparkSession, rows: int) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+@contextmanager
+def reader_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Rows a batch of Spark's Parquet reader in this block: few for whole texts, as the reader
+    holds a batch of them, and up to twice its bytes while it grows, in each task."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def small(df: DataFrame) -> DataFrame:
     """Broadcast ``df`` if its measured size is under the library's bound; else leave the
     join to Spark (sort-merge, skewed keys split by AQE)."""

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import RID, ROW, WORD, materialize, packed, small, table, uniform, unpacked, with_rid
+from rollcall.llm.common import RID, ROW, WORD, materialize, packed, reader_rows, small, table, uniform, unpacked, with_rid
 
 SEED = 20240
 MAX_COPIES = 3
@@ -172,7 +172,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     base = packed(docs, size.alias("size"), F.col(f"`{source}`").cast("string").alias("source"),
                   u.alias("u"), columns=carry)
     base = base.withColumn("w", F.log2(F.col("size") + 1.0) if weight is None else weight)
-    base = materialize(with_rid(base), "mix-docs")
+    with reader_rows(docs.sparkSession, 256):
+        base = materialize(with_rid(base), "mix-docs")
     flat = base.select(RID, "source", "size", "w", "u")
     sizes = flat.groupBy("source").agg(F.sum("size").alias("source_size"))
     src = source_targets(sizes, share, weights)

@@ -131,6 +131,20 @@ def test_texts_without_words_beside_others_of_a_source_with_a_rest(spark, tmp_pa
     assert all(copies[i] == (want[s] // sizes[s] if sizes[s] else 0) for i, s in source.items() if i >= 1000)
 
 
+def test_texts_are_read_in_small_batches_and_other_tables_as_before(spark, tmp_path, monkeypatch):
+    key, seen, write = "spark.sql.parquet.columnarReaderBatchSize", {}, mixing.materialize
+
+    def watch(df, name):
+        seen[name] = int(spark.conf.get(key))
+        return write(df, name)
+
+    monkeypatch.setattr(mixing, "materialize", watch)
+    before = int(spark.conf.get(key))
+    d = folder(spark, tmp_path, documents=docs((1, "a b", "en", "x"), (2, "c " * 300000, "en", "x"), (3, "d", "en", "y")))
+    assert {r.doc_id: r.size for r in op2_pareto_mix(spark, d).collect()} == {1: 2, 2: 300000, 3: 1}
+    assert seen["mix-docs"] <= 256 < before == int(spark.conf.get(key)) == seen["mix-ranked"]
+
+
 def test_longer_documents_are_drawn_more_often(spark):
     df = spark.range(2000).selectExpr("id as doc_id", "repeat('w ', if(id % 2 = 0, 3, 200)) as text", "'s' as source")
     m = mix(df, share=0.3).groupBy("size").avg("copies").collect()
