@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.operators.joins import maybe_broadcast
+from rollcall.operators.joins import broadcast_bound, maybe_broadcast
 from rollcall.session import scratch_path
 
 RID = "__rid"
@@ -79,7 +79,7 @@ def reader_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Broadcast ``df`` if its measured size is under the library's bound; else leave the
-    join to Spark (sort-merge, skewed keys split by AQE)."""
-    return maybe_broadcast(df)
+def small(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Broadcast ``df`` if its measured size is under the library's bound, and ``max_bytes`` if
+    given; else leave the join to Spark (sort-merge, skewed keys split by AQE)."""
+    return maybe_broadcast(df, None if max_bytes is None else min(max_bytes, broadcast_bound(df)))

@@ -31,6 +31,9 @@ MAX_COPIES = 3
 WEIGHTS = (1, 2, 3)
 BUCKETS = 256
 LEVELS = 3
+# Broadcast bound of a table of sources: a plan holds up to eight of them, each some three
+# times in the driver while it is built.
+SOURCE_BYTES = 16 * 1024 * 1024
 
 
 def words(text: Column) -> Column:
@@ -67,7 +70,7 @@ def source_targets(sizes: DataFrame, share: float = 1.0, weights=WEIGHTS,
 def _join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     """Null-safe join on the source; the source table is broadcast when its size allows."""
     r = right.withColumnRenamed("source", "__source")
-    return left.join(small(r), left["source"].eqNullSafe(r["__source"]), how).drop("__source")
+    return left.join(small(r, SOURCE_BYTES), left["source"].eqNullSafe(r["__source"]), how).drop("__source")
 
 
 def _solve_scale(docs: DataFrame, src: DataFrame) -> DataFrame:

@@ -145,6 +145,20 @@ def test_texts_are_read_in_small_batches_and_other_tables_as_before(spark, tmp_p
     assert seen["mix-docs"] <= 256 < before == int(spark.conf.get(key)) == seen["mix-ranked"]
 
 
+def test_many_sources_are_not_broadcast(spark, tmp_path, monkeypatch):
+    left = spark.createDataFrame([("s1",), (None,)], "source string")
+    few = spark.createDataFrame([("s1", 1.0), (None, 2.0)], "source string, k double")
+    many = spark.range(200000).selectExpr("concat('s', id) as source", "double(id) as k")
+    hint = {n: "strategy=broadcast" in mixing._join(left, r)._jdf.queryExecution().analyzed().toString()
+            for n, r in (("few", few), ("many", many))}
+    assert hint == {"few": True, "many": False}
+    rows = [(i, "w " * (i % 5 + 1), "en", (None, "a", "b", "c")[i % 4]) for i in range(200)]
+    d = folder(spark, tmp_path, documents=docs(*rows))
+    want = sorted(map(tuple, op2_pareto_mix(spark, d).collect()))
+    monkeypatch.setattr(mixing, "SOURCE_BYTES", 0)
+    assert sorted(map(tuple, op2_pareto_mix(spark, d).collect())) == want
+
+
 def test_longer_documents_are_drawn_more_often(spark):
     df = spark.range(2000).selectExpr("id as doc_id", "repeat('w ', if(id % 2 = 0, 3, 200)) as text", "'s' as source")
     m = mix(df, share=0.3).groupBy("size").avg("copies").collect()
